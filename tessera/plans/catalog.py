@@ -1,0 +1,4 @@
+"""Queries of the knowledge-graph operators over the test tables, each with the SQL it must agree with."""
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
