@@ -7,9 +7,9 @@ gives the missing keys; an inner join of the same two tables gives, for the othe
 was first loaded and since when it has had a row that is never withdrawn.  The verdict per key is
 then joined back to the endpoints.
 
-Skew.  Keys with at least 1/``HOT_SHARE`` of all references number at most ``HOT_SHARE``; their
-verdicts alone are broadcast (bound proven by that share), so their rows are never shuffled by key.
-All other keys go through a shuffled join.  Endpoints that the verdict per key cannot settle (loaded
+Skew.  Keys with at least 1/``HOT_SHARE`` of all references number at most ``HOT_SHARE``; only those
+keys are broadcast (bound proven by that share), and their rows are salted for the join back.
+Endpoints that the verdict per key cannot settle (loaded
 before the key's lasting row but after its first row) are settled by a running maximum over time,
 cut into days per key with a carried-in maximum, so that one key's history is not one task.
 """
@@ -21,9 +21,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.names import same_name
+from tessera.session import Scratch
 
 #: A key with at least this fraction (1/HOT_SHARE) of all references counts as hot: at most HOT_SHARE keys can.
 HOT_SHARE = 256
+#: A hot key's rows are spread over this many parts of the join back.
+SALTS = 64
 
 
 def endpoints(relationships: DataFrame) -> DataFrame:
@@ -74,26 +77,25 @@ def orphan_references(relationships: DataFrame, entities: DataFrame) -> DataFram
     missing = wanted.join(parents, ["topic", "key"], "left_anti").select(
         "topic", "key", "n", none.alias("first_at"), none.alias("lasting_at"), none.alias("last_deleted")
     )
-    # Keys that always had a lasting row from their first load on can only be late or fine.
-    verdicts = missing.unionByName(wanted.join(parents, ["topic", "key"]))
+    scratch = Scratch(relationships.sparkSession, "references")
+    verdicts = scratch.write(missing.unionByName(wanted.join(parents, ["topic", "key"])), "verdicts")
 
     total = verdicts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    hot = (
-        verdicts.join(F.broadcast(total), F.col("n") * HOT_SHARE >= F.col("total"))
-        .drop("total", "n")
-    )
-    joined_hot = refs.join(F.broadcast(hot), ["topic", "key"])
-    cold_refs = refs.join(F.broadcast(hot.select("topic", "key")), ["topic", "key"], "left_anti")
-    judged = joined_hot.unionByName(cold_refs.join(verdicts.drop("n"), ["topic", "key"]))
+    hot = verdicts.join(F.broadcast(total), F.col("n") * HOT_SHARE >= F.col("total")).select("topic", "key", F.lit(True).alias("hot"))
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    salted = verdicts.drop("n").join(F.broadcast(hot), ["topic", "key"], "left").withColumn("salt", salts).drop("hot")
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("rel_id", "endpoint"), F.lit(SALTS)).cast("int")).otherwise(0)
+    judged = refs.join(F.broadcast(hot), ["topic", "key"], "left").withColumn("salt", spread).drop("hot").join(salted, ["topic", "key", "salt"])
 
     state = (
         F.when(F.col("first_at").isNull(), "missing")
         .when(F.col("at") < F.col("first_at"), "late")
         .when(F.col("at") >= F.col("lasting_at"), "fine")
-        .when(F.col("at") >= F.col("last_deleted"), F.when(F.col("lasting_at").isNull(), "deleted").otherwise("open"))
+        .when((F.col("at") >= F.col("last_deleted")) & F.col("lasting_at").isNull(), "deleted")
         .otherwise("open")
     )
     judged = judged.withColumn("state", state).where("state <> 'fine'")
+    judged = scratch.write(judged.select("rel_id", "endpoint", "topic", "key", "at", "period", "state"), "judged")
     settled = judged.where("state <> 'open'").select("rel_id", "endpoint", "state", "period")
     unsettled = judged.where("state = 'open'").select("rel_id", "endpoint", "topic", "key", "at", "period")
     deleted = _withdrawn_by_then(unsettled, rows.where("deleted_at is not null"))
