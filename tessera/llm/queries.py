@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, splitting
+from tessera.llm import components, spam, splitting
 from tessera.plans.tables import table
 
 QUERIES: dict = {}
@@ -68,3 +68,16 @@ ORACLE["p6_sizes"] = (
     "WITH g AS (" + ORACLE["p6_found"] + "), s AS (SELECT topic, group_name, CAST(count(*) AS BIGINT) AS n_names FROM g GROUP BY topic, group_name)"
     " SELECT n_names, CAST(count(*) AS BIGINT) AS n_groups FROM s GROUP BY n_names"
 )
+
+
+# Problem 9: keyword-stuffed and link-list pages
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_shares(table(spark, d, "documents"))
