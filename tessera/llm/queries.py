@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, spam, splitting
+from tessera.llm import components, leakage, spam, splitting
 from tessera.plans.tables import table
 
 QUERIES: dict = {}
@@ -81,3 +81,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_shares(table(spark, d, "documents"))
+
+
+# Problem 8: evaluation texts in training text
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id", "part").agg(F.countDistinct("doc_id").alias("n_docs"), F.max(F.col("words") / F.col("of_words")).alias("most"))

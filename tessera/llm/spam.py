@@ -91,7 +91,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")]).astype({"doc_id": "Int64"})
 
 
-def spam_shares(documents: DataFrame, redundant: float = 0.82, extreme: float = 0.45, sentences: float = 0.03, clauses: float = 0.055) -> DataFrame:
+def spam_shares(documents: DataFrame, redundant: float = 0.9, extreme: float = 0.45, sentences: float = 0.03, clauses: float = 0.055) -> DataFrame:
     """``doc_id, n_chars, spam_chars, spam_share`` of each text that is not blank.
 
     documents: ``doc_id, text``; further columns are ignored (the language is judged per block, since a
