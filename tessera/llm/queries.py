@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, leakage, spam, splitting
+from tessera.llm import components, leakage, packing, spam, splitting, survivors
 from tessera.plans.tables import table
 
 QUERIES: dict = {}
@@ -95,3 +95,49 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.groupBy("item_id", "part").agg(F.countDistinct("doc_id").alias("n_docs"), F.max(F.col("words") / F.col("of_words")).alias("most"))
+
+
+# Problem 7: filling containers
+
+
+@query
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+@query
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(packing.pack_documents(table(spark, d, "documents")))
+
+
+# Problem 4: best representative of each duplicate group
+
+
+def _survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.surviving_records(*(table(spark, d, t) for t in ("extracted_entities", "extractors", "ontology_terms", "entity_index")))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d)
+
+
+@query
+def p4_types_and_sources(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d).where("field <> 'description'")
+
+
+ORACLE["p4_types_and_sources"] = r"""
+WITH live AS (SELECT *, lower(regexp_replace(trim(name), ' +', ' ', 'g')) AS key FROM extracted_entities WHERE deleted_at IS NULL),
+g AS (SELECT topic, key, min(ent_id) AS first_id FROM live GROUP BY topic, key HAVING count(*) > 1),
+t AS (SELECT l.topic, l.key, upper(trim(l.type)) AS value,
+             row_number() OVER (PARTITION BY l.topic, l.key ORDER BY x.trust DESC, l.extracted_at DESC, l.ent_id) AS k
+      FROM live l JOIN extractors x ON l.extractor = x.extractor
+      WHERE upper(trim(l.type)) IN (SELECT upper(trim(term)) FROM ontology_terms WHERE kind = 'entity_type')),
+f AS (SELECT topic, key, filename AS file FROM live
+      UNION ALL SELECT topic, lower(regexp_replace(trim(name), ' +', ' ', 'g')), unnest(sources) FROM entity_index),
+s AS (SELECT DISTINCT topic, key, trim(regexp_replace(file, '^.*[/\\]', '')) AS value FROM f)
+SELECT first_id, 'type' AS field, value FROM g JOIN t USING (topic, key) WHERE k = 1
+UNION ALL
+SELECT first_id, 'sources', value FROM g JOIN s USING (topic, key) WHERE value <> ''
+"""
