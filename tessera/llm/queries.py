@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, leakage, packing, spam, splitting, survivors
+from tessera.llm import boilerplate, components, leakage, packing, spam, splitting, survivors
 from tessera.plans.tables import table
 
 QUERIES: dict = {}
@@ -141,3 +141,16 @@ SELECT first_id, 'type' AS field, value FROM g JOIN t USING (topic, key) WHERE k
 UNION ALL
 SELECT first_id, 'sources', value FROM g JOIN s USING (topic, key) WHERE value <> ''
 """
+
+
+# Problem 1: page boilerplate
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, d, "parsed_files"))
+
+
+@query
+def p1_main_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, d, "parsed_files"))
