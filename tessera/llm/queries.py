@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import boilerplate, components, leakage, packing, spam, splitting, survivors
+from tessera.llm import boilerplate, components, entity_names, leakage, packing, spam, splitting, survivors
 from tessera.plans.tables import table
 
 QUERIES: dict = {}
@@ -154,3 +154,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_main_bodies(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_bodies(table(spark, d, "parsed_files"))
+
+
+# Problem 2: variant spellings of names
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return entity_names.linked_names(table(spark, d, "extracted_entities"), table(spark, d, "aliases"))
+
+
+@query
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return entity_names.clustered_names(table(spark, d, "extracted_entities"), table(spark, d, "aliases"))
