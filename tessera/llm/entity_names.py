@@ -93,8 +93,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = _form(fa, oa), _form(fb, ob)
             score, weak = same_entity(a, b)
             if score > 0:
-                if weak and a.kind in ("person", "org"):  # the short form comes first
-                    fa, fb = fb, fa
+                if weak and (a.kind == "person" or a.kind == "org" and (b.kind != "org" or any(len(w) == 1 for w in b.words))):
+                    fa, fb = fb, fa  # the short form comes first
                 out.append((topic, fa, fb, round(score, 6), weak))
         yield pd.DataFrame(out, columns=["topic", "form_a", "form_b", "score", "weak"])
 

@@ -30,7 +30,9 @@ SMALL = frozenset("the of and for de la le les del der die das und et & van von
 #: Heads of terms, documents, events and places, none of which are persons or organisations.
 TERM_WORDS = frozenset(
     """function transform model score ratio constraint estimate test effect window index curve scenario term equation framework method approach concept theory family guide notes handbook review manual report summit workshop forum
-    launch hearing conference region county district province version lite core studio panel trend""".split()
+    launch hearing conference region county district province version lite core studio panel trend step mix halo prior price reach lift decay saturation carryover holdout consent
+    frequency promotion forecast response spend budget channel attribution audience seasonal bayesian causal nested pooled dynamic sparse delayed stacked blended logistic hierarchical robust baseline adaptive
+    truncated geometric latent incremental calibrated weighted weibull marginal""".split()
 )
 FOLD = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "đ": "d", "ı": "i", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "’": "'"})
 GIVEN = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()} | {full: full for full in NICKNAMES}
@@ -65,14 +67,18 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def misspelt(a: str, b: str) -> bool:
-    """Are these likely one word with typing errors?  The first letter is rarely hit."""
+def misspelt(a: str, b: str, strict: bool = False) -> bool:
+    """Are these likely one word with typing errors?  The first letter is rarely hit.
+
+    ``strict``, for surnames, of which many are alike: two errors need the same first two letters.
+    """
     if a == b:
         return True
     short = min(len(a), len(b))
     if short < 4 or a[0] != b[0] and not (a[1:2] == b[0] and b[1:2] == a[0]):
         return False
-    return edits(a, b) <= (1 if short < 6 else 2)
+    d = edits(a, b)
+    return d <= 1 or d == 2 and short >= 5 and (not strict or sorted(a[:2]) == sorted(b[:2]))
 
 
 def abbreviates(a: str, b: str) -> bool:
@@ -85,21 +91,23 @@ def abbreviates(a: str, b: str) -> bool:
     return all(c in rest for c in a) and (len(a) >= 3) and not set("aeiou").issuperset(a[1:])
 
 
-def word_similarity(a: str, b: str) -> float:
+def word_similarity(a: str, b: str, strict: bool = False) -> float:
     if a == b:
         return 1.0
-    if misspelt(a, b):
+    if misspelt(a, b, strict):
         return 1.0 - edits(a, b) / (2 + max(len(a), len(b)))
     if abbreviates(a, b) or abbreviates(b, a):
         return 0.9
+    if len(a) == 1 and len(b) > 3 and a == b[0] or len(b) == 1 and len(a) > 3 and b == a[0]:
+        return 0.8  # a word given by its initial
     return 0.0
 
 
-def monge_elkan(a: list[str], b: list[str]) -> tuple[float, float]:
+def monge_elkan(a: list[str], b: list[str], strict: bool = False) -> tuple[float, float]:
     """Mean and least similarity of each word to its best partner, of both directions; every partner is used once."""
     if not a or not b:
         return 0.0, 0.0
-    pairs = sorted(((word_similarity(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
+    pairs = sorted(((word_similarity(x, y, strict), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
     used_a, used_b, got = set(), set(), []
     for s, i, j in pairs:
         if s > 0 and i not in used_a and j not in used_b:
@@ -146,7 +154,14 @@ def _legal(word: str) -> bool:
 
 
 def _is_org_word(word: str) -> bool:
-    return word in INDUSTRY or word in BODIES or (len(word) >= 5 and word not in TERM_WORDS and any(misspelt(word, x) for x in _ORG_BY_LETTER.get(word[0], ())))
+    if word in INDUSTRY or word in BODIES:
+        return True
+    if word in TERM_WORDS or len(word) < 3:
+        return False
+    known = _ORG_BY_LETTER.get(word[0], ())
+    if len(word) >= 4 and any(misspelt(word, x) for x in known):
+        return True
+    return sum(c in "aeiou" for c in word) <= 1 and any(abbreviates(word, x) for x in known)  # contracted, as in bcast
 
 
 _ORG_BY_LETTER: dict[str, list[str]] = {}
@@ -174,32 +189,34 @@ def parse(name: str, person_votes: int = 0, org_votes: int = 0, other_votes: int
     if not plain or any(any(c.isdigit() for c in w) for w in plain):
         return Form("other", tuple(plain))
     body = list(plain)
-    while len(body) > 1 and _legal(body[-1]):
+    while len(body) > 1 and (_legal(body[-1]) or len(body) > 2 and 1 <= len(body[-1]) <= 3 and any(map(_is_org_word, body[:-1])) and any(len(x) <= 3 and edits(body[-1], x) <= 1 for x in LEGAL)):
         body.pop()
     had_legal = len(body) < len(plain)
     significant = [w for w in body if w not in SMALL]
-    org_words = [w for w in significant if _is_org_word(w)]
+    org_words = [w for w in significant if w not in GIVEN and _is_org_word(w)]
     short_org = any(len(w) >= 3 and raw[words.index(w)].endswith(".") for w in significant if w in words and w not in TITLES)
     shouted = text.upper() == text
     typed = dict(zip(words, raw))
     in_titles = [w for w in significant if w not in TITLES or len(significant) == 1 or (len(w) == 2 and typed.get(w, "").isupper() and not shouted and len(significant) == 2)]
     known = [given_name(w) for w in in_titles]
     exact = [w in GIVEN for w in in_titles]
-    bodies = any(w in BODIES or any(misspelt(w, x) for x in BODIES if len(x) >= 5 and x[0] == w[0]) for w in significant)
+    bodies = any(w in BODIES or any(misspelt(w, x) or abbreviates(w, x) and (len(w) >= 5 or sum(c in "aeiou" for c in w) <= 1) for x in BODIES if len(x) >= 5 and x[0] == w[0]) for w in significant)
     if 2 <= len(in_titles) <= 4 and not org_words and not any(w in TERM_WORDS for w in in_titles):
         initials = [k for k, w in enumerate(in_titles) if len(w) == 1 and (typed.get(w, "").isupper() or "." in typed.get(w, ""))]
-        run_in = [k for k, w in enumerate(in_titles) if len(w) == 2 and k in (0, len(in_titles) - 1) and typed.get(w, "").isupper() and w not in GIVEN and not shouted]
+        run_in = [k for k, w in enumerate(in_titles) if len(w) == 2 and k in (0, len(in_titles) - 1) and typed.get(w, "").isupper() and not shouted]
+        for k in run_in:
+            known[k], exact[k] = None, False
         votes_person = person_votes >= 2 and person_votes > org_votes and person_votes > 2 * other_votes
         if any(known) or (initials or run_in) and len(in_titles) - len(initials) - len(run_in) == 1 and not had_legal or votes_person:
             return _person(in_titles, known, exact, initials + run_in, comma is not None)
     if not significant:
         return Form("other", tuple(plain))
     voted_org = org_votes >= 2 and org_votes > person_votes and org_votes > 2 * other_votes
-    if org_words or had_legal or short_org or (voted_org and not any(w in TERM_WORDS for w in significant)):
+    if org_words or had_legal or short_org or bodies and len(significant) >= 3 or (voted_org and not any(w in TERM_WORDS for w in significant)):
         if len(significant) == 1:
             return Form("stem", tuple(significant))
         return Form("org", tuple(significant)) if not (len(significant) > 1 and any(w in TERM_WORDS for w in significant) and not bodies and not had_legal) else Form("other", tuple(significant))
-    if len(significant) == 1 and len(significant[0]) >= 4 and other_votes <= person_votes + org_votes:
+    if len(significant) == 1 and len(significant[0]) >= 4 and (other_votes <= person_votes + org_votes or text[0].isupper()):
         return Form("stem", tuple(significant))
     if len(significant) >= 3 and other_votes <= org_votes + person_votes and any(abbreviates(w, x) for w in significant for x in BODIES):
         return Form("org", tuple(significant))
@@ -231,17 +248,18 @@ def same_entity(a: Form, b: Form) -> tuple[float, bool]:
         given = word_similarity(a.words[0], b.words[0]) if kinds == {"person"} else float(a.words[0] == b.words[0])
         if not given or (kinds == {"person"} and a.words[0] != b.words[0] and a.words[0] in NICKNAMES and b.words[0] in NICKNAMES):
             return 0.0, False
-        mean, least = monge_elkan(list(a.words[1:]), list(b.words[1:]))
+        mean, least = monge_elkan(list(a.words[1:]), list(b.words[1:]), strict=True)
         return ((given + 2 * mean) / 3, False) if least >= 0.75 else (0.0, False)
     if kinds == {"person", "initial"}:
         short, full = (a, b) if a.kind == "initial" else (b, a)
         if short.words[0] != full.words[0][0]:
             return 0.0, False
-        mean, least = monge_elkan(list(short.words[1:]), list(full.words[1:]))
+        mean, least = monge_elkan(list(short.words[1:]), list(full.words[1:]), strict=True)
         return (mean, True) if least >= 0.75 else (0.0, False)
     if kinds == {"org"} or kinds == {"stem"}:
         mean, least = monge_elkan(list(a.words), list(b.words))
-        return (mean, False) if least >= 0.7 and mean >= 0.85 else (0.0, False)
+        by_initial = any(len(w) == 1 for w in a.words) != any(len(w) == 1 for w in b.words)
+        return (mean, by_initial) if least >= 0.7 and mean >= 0.85 else (0.0, False)
     if kinds == {"org", "stem"}:
         short, full = (a, b) if a.kind == "stem" else (b, a)
         rest = [w for w in full.words if not _is_org_word(w)]
