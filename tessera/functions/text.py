@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # British spellings made American, in the order they are applied.
 SPELLINGS = (("odelling", "odeling"), ("rganisation", "rganization"), ("ptimisation", "ptimization"), ("nalyse", "nalyze"), ("ehaviour", "ehavior"))
@@ -132,7 +133,7 @@ def balanced_block(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_block(text: pd.Series) -> pd.Series:
     return text.map(balanced_block)
 
