@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import dedup, graph, incremental, index, search, upsert
+from tessera.operators import community, dedup, graph, incremental, index, search, upsert
 from tessera.plans.tables import table
+from tessera.sources import files
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -591,3 +592,66 @@ def topic_discovery(spark: SparkSession, d: str) -> DataFrame:
 def pinned_list(spark: SparkSession, d: str) -> DataFrame:
     ok = table(spark, d, "eval_items").where("trim(question) <> '' and trim(answer) <> ''")
     return ok.select("item_id", "suite", F.row_number().over(W.partitionBy("suite").orderBy(F.desc("item_id"))).cast("long").alias("place"))
+
+
+# Communities, sources
+
+
+@query()
+def community_detect(spark: SparkSession, d: str) -> DataFrame:
+    return community.detect_communities(graph.undirected(edges_of(spark, d)))
+
+
+@query(r"SELECT doc_id, sha1(regexp_replace(regexp_replace(text, '[ \t]*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_sha1 FROM documents WHERE text IS NOT NULL")
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<html><head><style>p { color: red }</style></head><body><nav>Home</nav><p>"), escaped, F.lit("</p><script>var x = 1;</script><footer>End</footer></body></html>"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha1(files.html_fallback(page).cast("binary")).alias("text_sha1"))
+
+
+@query("SELECT p_partkey, '## ' || p_name || chr(10) || '- **Type:** ' || p_type || chr(10) || '- **p_brand:** ' || p_brand || chr(10) || '- **p_size:** ' || CAST(p_size AS VARCHAR) AS block FROM part")
+def csv_entity_rows(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select("p_partkey", files.entity_block(F.col("p_name"), F.col("p_type"), {k: F.col(k) for k in ("p_brand", "p_size")}).alias("block"))
+
+
+@query("SELECT n_nationkey, '- n_nationkey=' || CAST(n_nationkey AS VARCHAR) || '; n_name=' || n_name || '; n_regionkey=' || CAST(n_regionkey AS VARCHAR) AS line FROM nation")
+def csv_table(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    return n.select("n_nationkey", files.table_line({k: F.col(k) for k in n.columns}).alias("line"))
+
+
+@query("SELECT s_nationkey AS nation, string_agg(s_name, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY s_suppkey) AS text FROM supplier GROUP BY s_nationkey")
+def csv_narrative(spark: SparkSession, d: str) -> DataFrame:
+    return files.narrative(table(spark, d, "supplier"), "s_nationkey", "s_name", "s_suppkey").withColumnRenamed("s_nationkey", "nation")
+
+
+# The star schema as a property graph
+
+
+_STAR = """star AS (SELECT 'nation:' || n_nationkey AS src, 'PART_OF' AS label, 'region:' || n_regionkey AS dst FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, 'LOCATED_IN', 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'LOCATED_IN', 'nation:' || s_nationkey FROM supplier
+  UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'SUPPORTS', 'part:' || l_partkey FROM lineitem UNION ALL SELECT DISTINCT 'customer:' || o_custkey, 'REFERENCES', 'part:' || l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
+
+
+def star_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, nations, customers, suppliers and parts as nodes of one graph."""
+    name = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+    part = lambda df, a, label, b: df.select(F.lit("star").alias("topic"), a.alias("src"), F.lit(label).alias("label"), b.alias("dst"))
+    line = table(spark, d, "lineitem")
+    edges = part(table(spark, d, "nation"), name("nation", "n_nationkey"), "PART_OF", name("region", "n_regionkey"))
+    edges = edges.unionByName(part(table(spark, d, "customer"), name("customer", "c_custkey"), "LOCATED_IN", name("nation", "c_nationkey")))
+    edges = edges.unionByName(part(table(spark, d, "supplier"), name("supplier", "s_suppkey"), "LOCATED_IN", name("nation", "s_nationkey")))
+    edges = edges.unionByName(part(line.select("l_suppkey", "l_partkey").distinct(), name("supplier", "l_suppkey"), "SUPPORTS", name("part", "l_partkey")))
+    bought = table(spark, d, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
+    return edges.unionByName(part(bought, name("customer", "o_custkey"), "REFERENCES", name("part", "l_partkey")))
+
+
+@query(f"WITH {_STAR}, ends AS (SELECT src AS id FROM star UNION ALL SELECT dst FROM star) SELECT id, CAST(count(*) AS BIGINT) AS degree FROM ends GROUP BY id")
+def star_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(star_edges(spark, d)).drop("topic")
+
+
+@query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n_events, max(ts) AS last_seen FROM events GROUP BY user_id, event_type")
+def event_activity(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n_events"), F.max("ts").alias("last_seen"))
