@@ -170,7 +170,7 @@ def detect_communities(undirected: DataFrame, cap: int = 10, seed: int = 42, mos
     else:
         lone = None
 
-    def cluster(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = hierarchical_leiden(list(zip(pdf["a"], pdf["b"])), cap, seed)
         return pd.DataFrame({"topic": key[0], "id": list(found), "community": [c for c, _ in found.values()], "level": [n for _, n in found.values()]})
 
