@@ -3,9 +3,9 @@
 Plan.  (1) One Arrow pass counts the tokens of each text; a text over the capacity is cut at multiples of the
 capacity, whose full pieces are containers of their own.  (2) The remaining items are spread by row number (not by id, which may repeat) over
 partitions of bounded size, each packed by best-fit decreasing.  A lower bound on a partition's containers, the
-largest that a family of dual feasible functions gives, certifies it: a partition that meets its bound is
-finished.  The others keep their full containers, and put the items of the containers with
-gaps into a pool, which is spread anew and packed again, so that partitions exchange items.
+largest that a family of dual feasible functions gives, certifies it: a partition that meets its bound keeps
+all containers that are nearly full; the others keep their full containers only.  The items of the
+containers not kept go into a pool, which is spread anew and packed again, so that partitions exchange items.
 (3) After ``rounds`` rounds, or when the pool is empty, the packing is complete.
 
 Scale.  Ids and sizes only are shuffled, never texts.  Each task handles at most about ``per_task`` items,
@@ -118,11 +118,12 @@ def best_fit_decreasing(sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.nda
 
 
 def _pack_group(cap: int, number: int, last: bool):
-    def pack(key, group: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         sizes = group["n_tokens"].to_numpy(np.int64)
         container, room = best_fit_decreasing(sizes, cap)
         certified = len(room) <= lower_bound(np.bincount(sizes, minlength=cap + 1))
-        done = np.ones(len(sizes), bool) if certified or last else room[container] == 0
+        keep = cap // 32 if certified else 0  # what is emptier is exchanged even so
+        done = np.ones(len(sizes), bool) if last else room[container] <= keep
         names = np.array([f"r{number}.{key[0]}.{b}" for b in range(len(room))])
         return group[["doc_id", "piece_no", "start_token", "n_tokens"]].assign(container=names[container], final=done)
 
@@ -157,7 +158,7 @@ def pack_documents(documents: DataFrame, capacity: int = 2048, tokenizer: str =
         if not n:
             break
         parts = -(-n // per_task)
-        last = k == rounds - 1
+        last = k == rounds - 1 or parts == 1  # one partition has none to exchange with
         spread = pool.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(k)), F.lit(parts)))
         done = scratch.write(spread.groupBy("part").applyInPandas(_pack_group(capacity, k, last), PACKED), f"round{k}")
         packed = packed.unionByName(done.where("final").drop("final"))

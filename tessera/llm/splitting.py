@@ -114,9 +114,12 @@ def split_points(text: str, limit: int = 6000, overlap: int = 200, shortest: flo
             found = index.query(cut + 1, least - 1)
         if found is None and cut > start:  # give up overlap, as little as needed
             i = np.searchsorted(where, start + limit, "right")
-            if i < len(where) and where[i] <= cut + limit:
-                found = int(where[i])
-                start = found - limit
+            following = int(where[i]) if i < len(where) else n  # the end of the text is a boundary as well
+            if following <= cut + limit:
+                start = following - limit
+                if following == n:
+                    break
+                found = following
         kind = "natural"
         if found is None:
             found, kind = start + limit, "forced"
