@@ -83,7 +83,7 @@ def _peel_giant(scratch: Scratch, edges: DataFrame, rounds: int) -> tuple[DataFr
             break
         reached = scratch.spark.read.schema(reached.schema).parquet(*paths)
     smallest = reached.groupBy("topic").agg(F.min("name").alias("group_name"))  # one row: one component has one topic
-    labels = reached.crossJoin(F.broadcast(smallest.select("group_name"))).select(*KEY, "group_name")
+    labels = reached.join(F.broadcast(smallest), "topic").select(*KEY, "group_name")
     start = reached.select("topic", F.col("name").alias("a"))
     if done:  # an edge whose one end was reached has both ends reached
         return labels, scratch.write(edges.join(start, ["topic", "a"], "left_anti"), "rest")

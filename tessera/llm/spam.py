@@ -108,10 +108,10 @@ def spam_shares(documents: DataFrame, redundant: float = 0.9, extreme: float = 0
     norms = prose.groupBy("lang", "klass").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count("*").alias("n"))
     overall = prose.groupBy("klass").agg(F.percentile_approx("ratio", 0.5, 1000).alias("any_usual"), F.count("*").alias("any_n"))
     # Long blocks are rare: their usual ratio is extrapolated from the fit of ratio on log size over all prose blocks.
-    line = prose.where("size >= 100").agg(F.regr_slope("ratio", F.log2(F.col("size").cast("double"))).alias("slope"), F.regr_intercept("ratio", F.log2(F.col("size").cast("double"))).alias("base"))
-    judged = blocks.join(F.broadcast(norms), ["lang", "klass"], "left").join(F.broadcast(overall), ["klass"], "left").crossJoin(F.broadcast(line))
-    fitted = F.greatest(F.col("base") + F.col("slope") * F.log2(F.col("size").cast("double")), F.lit(0.25))
-    usual = F.when(F.col("n") >= 30, F.col("usual")).when(F.col("any_n") >= 30, F.col("any_usual")).otherwise(fitted)
+    line = prose.where("size >= 100").agg(F.regr_slope("ratio", F.log2(F.col("size").cast("double"))).alias("slope"), F.regr_intercept("ratio", F.log2(F.col("size").cast("double"))).alias("base")).first()  # two numbers
+    judged = blocks.join(F.broadcast(norms), ["lang", "klass"], "left").join(F.broadcast(overall), ["klass"], "left")
+    fitted = F.greatest(F.lit(line["base"]) + F.lit(line["slope"]) * F.log2(F.col("size").cast("double")), F.lit(0.25))
+    usual = F.when(F.col("n") >= 30, F.col("usual")).when(F.col("any_n") >= 30, F.col("any_usual")).otherwise(fitted.cast("double"))
     relative = F.col("ratio") / F.coalesce(usual, F.lit(0.6))
     bare = (F.col("sentences") < sentences) & (F.col("clauses") < clauses)
     spam = ~F.col("exempt") & (F.col("chars") >= LEAST) & ((relative < extreme) | ((relative < redundant) & bare))
