@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -43,7 +45,9 @@ def scratch_root(spark: SparkSession) -> str:
         return set_before.rsplit("/", 1)[0]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = "file://" + folder
     spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -70,3 +74,7 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def clear(self) -> None:
+        """Drops all tables of this scratch, once nothing reads them any more."""
+        self.drop(self.base)
