@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,6 +79,9 @@ FOOTER = re.compile(
     re.I,
 )
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)]*)\)|https?://\S+|\[[^\]\n]{1,40}\](?!\()")
+PERSONAL = re.compile(r"\b(?:you|your|subscribe|optional|ihre|ihr|vous|votre|usted|su)\b", re.I)
+HEADING = re.compile(r"^#{1,6}\s")
+CODE_SIGNS = re.compile(r"[=(){}\[\];]|```")
 LIST_MARK = re.compile(r"^\s*(?:[-*•+–]|\d{1,3}[.)])\s+")
 CODE = re.compile(r"^\s*(?:```|~~~|[\w.\[\]]+ *(?:\+?=|:=) *\S.*[()\[\]{};]|(?:def|class|import|from|return|for|while|if|else|elif|print|const|let|var|function)\b.*[:;(){}]?$|[{}()\];]+$|#!|\$ |>>> )")
 CODE_START = re.compile(r"^\s*(?:def|class|import|return|print|const|let|var|function)\b")
@@ -114,39 +118,49 @@ def _is_menu(line: str) -> bool:
     return 2 * known >= len(parts)
 
 
+@lru_cache(maxsize=100_000)
+def _is_control(bare: str, listed: bool) -> bool:
+    """A short line that is a control, a menu entry or the heading of teasers; such lines recur from page to page."""
+    if bare.strip(" []().:!").lower() in MENU_WORDS:
+        return True
+    return not listed and bool(CONTROL.match(bare) or TEASER_HEAD.match(bare))
+
+
 def _decide(line: str, site: re.Pattern | None) -> int:
     """First pass, one line."""
     text = line.strip()
     bare = LIST_MARK.sub("", text).strip()
-    links = LINK.findall(bare)
-    if links or "](" in bare or "http" in bare:
+    if "](" in bare or "http" in bare or "[" in bare:
         label = LINK.sub(lambda m: m.group(1) or "", bare)
         rest = LINK.sub("", bare)
-        if len(re.sub(r"\W", "", rest)) <= 0.3 * max(1, len(re.sub(r"\W", "", label))) or not re.search(r"\w", rest):
+        if rest != bare and (len(re.sub(r"\W", "", rest)) <= 0.3 * max(1, len(re.sub(r"\W", "", label))) or not re.search(r"\w", rest)):
             return BAD
-    low = bare.strip(" []().:!").lower()
-    if low in MENU_WORDS or not LIST_MARK.match(text) and (CONTROL.match(bare) or TEASER_HEAD.match(bare)) or _is_menu(bare):
-        return BAD
-    words = WORDS.findall(bare)
-    n = len(words)
-    named = bool(site and site.search(bare))
-    if FOOTER.search(bare) and (n < 40 and not (n > 14 and SENTENCE.search(bare) and not named)):
-        return BAD
-    if n < 45 and ADDRESSED.search(bare) and NOTICE.search(bare) and (named or n < 22 and re.search(r"\b(?:you|your|subscribe|optional|ihre|ihr|vous|votre|usted|su)\b", bare, re.I)):
+    listed = bare is not text and bool(LIST_MARK.match(text))
+    if len(bare) <= 80 and _is_control(bare, listed):
         return BAD
-    if named and n < 16 and (re.fullmatch(r"\W*" + site.pattern + r"\W*", bare, re.I) or re.match(r"\W*" + site.pattern + r",\s.*\d", bare, re.I)):
+    ends = bool(SENTENCE.search(bare[-12:]))
+    if len(bare) <= 400 and not ends and _is_menu(bare):
         return BAD
-    if re.match(r"^#{1,6}\s", text) or text.startswith((">", "|")) or CODE.match(line) and (CODE_START.match(line) or re.search(r"[=(){}\[\];]|```", line)):
+    words = bare.split()
+    n = len(words)
+    if n < 45:
+        named = bool(site and site.search(bare))
+        if n < 40 and FOOTER.search(bare) and not (n > 14 and ends and not named):
+            return BAD
+        if (named or n < 22) and NOTICE.search(bare) and ADDRESSED.search(bare) and (named or PERSONAL.search(bare)):
+            return BAD
+        if named and n < 16 and (re.fullmatch(r"\W*" + site.pattern + r"\W*", bare, re.I) or re.match(r"\W*" + site.pattern + r",\s.*\d", bare, re.I)):
+            return BAD
+    if text.startswith((">", "|")) or text.startswith("#") and HEADING.match(text) or CODE.match(line) and (CODE_START.match(line) or CODE_SIGNS.search(line)):
         return GOOD
-    if READING_TIME.search(bare):
+    if not ends and READING_TIME.search(bare[-40:]):
         return BAD
-    if LIST_MARK.match(text):
-        return GOOD
-    stop = sum(w.lower() in ALL_STOP for w in words)
-    if n >= 8 and SENTENCE.search(bare) and stop >= 0.15 * n:
-        return GOOD
-    if len(bare) > 160 and stop >= 0.2 * n:
+    if listed:
         return GOOD
+    if n >= 8 and (ends or len(bare) > 160):
+        stop = sum(w in ALL_STOP for w in bare.lower().replace("'", " ").replace("’", " ").split())
+        if ends and stop >= 0.15 * n or len(bare) > 160 and stop >= 0.2 * n:
+            return GOOD
     return OPEN
 
 
