@@ -57,7 +57,7 @@ def banding(recall: float, similarity: float, background: float, most: int = 160
 def band_keys(grams: list[str], rows: int, bands: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     h = np.array([zlib.crc32(g.encode()) for g in set(grams)], np.uint64) % _P
     low = ((h[:, None] * a[None, :] + b[None, :]) % _P).min(axis=0).astype(np.uint32).reshape(bands, rows)
-    return [zlib.crc32(low[k].tobytes(), k) for k in range(bands)]
+    return [zlib.crc32(low[k].tobytes()) for k in range(bands)]
 
 
 def _bander(rows: int, bands: int, seed: int):
@@ -67,11 +67,10 @@ def _bander(rows: int, bands: int, seed: int):
         b = rng.integers(0, 1 << 31, rows * bands, dtype=np.uint64) % _P
         for batch in batches:
             out = []
-            for topic, form, ordered in zip(batch["topic"], batch["form"], batch["ordered"]):
+            for n, topic, form, ordered in zip(batch["n"], batch["topic"], batch["form"], batch["ordered"]):
                 for view, grams, exact in blocking_sets(_form(form, ordered)):
-                    keys = grams if exact else [f"{k}.{key}" for k, key in enumerate(band_keys(grams, rows, bands, a, b))]
-                    out += [(topic, form, ordered, f"{view}:{key}") for key in keys]
-            yield pd.DataFrame(out, columns=["topic", "form", "ordered", "bucket"])
+                    out.append((n, topic, view, [zlib.crc32(g.encode()) for g in grams] if exact else band_keys(grams, rows, bands, a, b)))
+            yield pd.DataFrame(out, columns=["n", "topic", "view", "keys"])
 
     return band
 
@@ -130,13 +129,17 @@ def clustered_names(entities: DataFrame, aliases: DataFrame, recall: float = 0.9
     strings = scratch.write(name_strings(entities, aliases).mapInPandas(_parse, FORMS).where("kind <> 'other'"), "strings")
     votes = ["person_votes", "org_votes", "other_votes"]
     forms = strings.groupBy("topic", "form", "kind").agg(F.min("ordered").alias("ordered"), F.count("*").alias("weight"), *[F.sum(v).alias(v) for v in votes])
-    forms = scratch.write(forms, "forms")
+    forms = scratch.write(forms.withColumn("n", F.monotonically_increasing_id()), "forms")  # numbered once, as written
 
+    # Only two numbers a band are shuffled.  The join is told not to broadcast: bands are many times the size of
+    # the forms, by which their size would be estimated.
     rows, bands = banding(recall, similarity, background)
-    banded = forms.select("topic", "form", "ordered").mapInPandas(_bander(rows, bands, seed), "topic string, form string, ordered string, bucket string")
-    left = banded.select("topic", "bucket", F.col("form").alias("form_a"), F.col("ordered").alias("ordered_a"))
-    right = banded.select("topic", "bucket", F.col("form").alias("form_b"), F.col("ordered").alias("ordered_b"))
-    met = left.join(right, ["topic", "bucket"]).where("form_a < form_b").select("topic", "form_a", "ordered_a", "form_b", "ordered_b").distinct()
+    banded = forms.select("n", "topic", "form", "ordered").mapInPandas(_bander(rows, bands, seed), "n long, topic string, view string, keys array<long>")
+    banded = banded.select("n", "topic", "view", F.posexplode("keys").alias("band", "key")).select("n", F.xxhash64("topic", "view", "band", "key").alias("bucket"))
+    left, right = (banded.select("bucket", F.col("n").alias(x)).hint("merge") for x in ("n_a", "n_b"))
+    met = left.join(right, "bucket").where("n_a < n_b").select("n_a", "n_b").distinct()
+    a, b = (forms.select("topic", F.col("n").alias(f"n_{x}"), F.col("form").alias(f"form_{x}"), F.col("ordered").alias(f"ordered_{x}")) for x in "ab")
+    met = met.join(a, "n_a").join(b, ["n_b", "topic"]).select("topic", "form_a", "ordered_a", "form_b", "ordered_b")
     edges = scratch.write(met.mapInPandas(_verify, "topic string, form_a string, form_b string, score double, weak boolean"), "edges")
 
     stars = star_clusters(scratch, forms.select("topic", "form", "weight"), edges.where("not weak").drop("weak"))
