@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.ranking import placed
 from tessera.operators.upsert import collapse_edges, folded_text
 from tessera.session import Scratch
 
@@ -133,7 +133,7 @@ def deduplicate(nodes: DataFrame, edges: DataFrame, degree: DataFrame, aliases:
 def resolver_order(nodes: DataFrame, by: str = "signature") -> DataFrame:
     """``topic, id, place``: nodes in the order in which a resolver sees them, by signature and name or by type and name."""
     key = T.token_signature(F.col("id")) if by == "signature" else F.coalesce("type", F.lit(""))
-    return nodes.withColumn("k", key).select("topic", "id", F.row_number().over(W.partitionBy("topic").orderBy("k", "id")).cast("long").alias("place"))
+    return placed(nodes.select("topic", "id", key.alias("k")), ["topic"], [F.col("k"), F.col("id")]).select("topic", "id", "place")
 
 
 def resolver_batches(nodes: DataFrame, most: int = 25, chars: int = 6000) -> DataFrame:

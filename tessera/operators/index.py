@@ -7,28 +7,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.ranking import placed
 
 DASH = " — "
 
 
+def _by_degree():
+    return [F.desc("degree"), F.col("ord"), F.col("id")]
+
+
 def type_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("topic", F.coalesce("type", F.lit("ENTITY")).alias("type")).agg(F.count("*").alias("n_entities"))
 
 
 def grouped(index: DataFrame, by: str) -> DataFrame:
     """``topic, <by>, place, id, degree``: entities of a type or community in order of degree, then of their node."""
-    w = W.partitionBy("topic", by).orderBy(F.desc("degree"), "ord", "id")
-    return index.where(F.col(by).isNotNull()).select("topic", by, F.row_number().over(w).cast("long").alias("place"), "id", "degree")
+    rows = index.where(F.col(by).isNotNull()).select("topic", by, "id", "degree", "ord")
+    return placed(rows, ["topic", by], _by_degree()).select("topic", by, "place", "id", "degree")
 
 
 def digest(index: DataFrame, most: int = 120) -> DataFrame:
     """``topic, type, line``: one line per type with its best-connected entities, at most max(5, most / types) of them."""
     types = index.groupBy("topic").agg(F.countDistinct("type").alias("n_types"))
     cap = F.greatest(F.lit(5), F.floor(F.lit(most) / F.greatest(F.lit(1), F.col("n_types"))))
-    placed = grouped(index, "type").join(types, "topic").withColumn("cap", cap)
-    totals = placed.groupBy("topic", "type", "cap").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= F.col("cap"), F.struct("place", "id")))).alias("l")
-    )
+    counts = index.where("type is not null").groupBy("topic", "type").agg(F.count("*").alias("n")).join(types, "topic").withColumn("cap", cap)
+    # No type shows more than ``most`` or 5 names, so a rank limit before the shuffle is enough.
+    place = F.row_number().over(W.partitionBy("topic", "type").orderBy(*_by_degree()))
+    first = index.where("type is not null").select("topic", "type", "id", "degree", "ord").withColumn("place", place).where(F.col("place") <= max(5, most))
+    shown = first.join(counts, ["topic", "type"]).where("place <= cap")
+    totals = shown.groupBy("topic", "type", "cap", "n").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("l"))
     names = F.array_join(F.transform("l", lambda x: x.id), ", ")
     more = F.when(F.col("n") > F.col("cap"), F.concat(F.lit(", … (+"), (F.col("n") - F.col("cap")).cast("string"), F.lit(" more)"))).otherwise("")
     return totals.select("topic", "type", F.concat(F.lit("- **"), F.col("type"), F.lit("**: "), names, more).alias("line"))
@@ -37,17 +44,19 @@ def digest(index: DataFrame, most: int = 120) -> DataFrame:
 def index_lines(index: DataFrame) -> DataFrame:
     """``topic, section, place, line``: the lines of the index page, entities of a type by degree."""
     tail = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(DASH), F.col("description"))).otherwise("")
-    w = W.partitionBy("topic", "type").orderBy(F.desc("degree"), "ord", "id")
-    return index.where("type is not null").select("topic", F.col("type").alias("section"), F.row_number().over(w).cast("long").alias("place"), F.concat(F.lit("- **"), F.col("name"), F.lit("**"), tail).alias("line"))
+    rows = placed(index.where("type is not null").select("topic", "type", "id", "name", "description", "degree", "ord"), ["topic", "type"], _by_degree())
+    return rows.select("topic", F.col("type").alias("section"), "place", F.concat(F.lit("- **"), F.col("name"), F.lit("**"), tail).alias("line"))
 
 
 def source_entities(index: DataFrame, shown: int = 8) -> DataFrame:
     """``topic, source, n_entities, line``: the first entities of each file, and how many more there are."""
     each = index.select("topic", F.explode(F.array_distinct("sources")).alias("source"), "id", "ord").where("trim(source) <> ''")
     place = F.row_number().over(W.partitionBy("topic", "source").orderBy("ord", "id"))
-    g = each.withColumn("place", place).groupBy("topic", "source").agg(F.count("*").alias("n_entities"), F.array_sort(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", "id")))).alias("l"))
+    first = each.withColumn("place", place).where(F.col("place") <= shown)  # limited before the shuffle
+    lists = first.groupBy("topic", "source").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("l"))
+    counts = each.groupBy("topic", "source").agg(F.count("*").alias("n_entities"))
     more = F.when(F.col("n_entities") > shown, F.concat(F.lit(" (+"), (F.col("n_entities") - shown).cast("string"), F.lit(" more)"))).otherwise("")
-    return g.select("topic", "source", "n_entities", F.concat(F.array_join(F.transform("l", lambda x: x.id), ", "), more).alias("line"))
+    return lists.join(counts, ["topic", "source"]).select("topic", "source", "n_entities", F.concat(F.array_join(F.transform("l", lambda x: x.id), ", "), more).alias("line"))
 
 
 def node_search(index: DataFrame, query: str, k: int = 10) -> DataFrame:
@@ -91,5 +100,4 @@ def blog_context(index: DataFrame, edges: DataFrame, entities: int = 30, relatio
 def file_stems(nodes: DataFrame) -> DataFrame:
     """``topic, id, stem``: file names of notes; the n-th node of a name gets `` (n)``."""
     base = nodes.select("topic", "id", "ord", T.safe_filename(F.col("name")).alias("base"))
-    n = F.row_number().over(W.partitionBy("topic", "base").orderBy("ord", "id"))
-    return base.withColumn("n", n).select("topic", "id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("stem"))
+    return placed(base, ["topic", "base"], [F.col("ord"), F.col("id")], "n").select("topic", "id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("stem"))

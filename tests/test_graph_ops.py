@@ -131,3 +131,14 @@ def test_label_lookup(spark):
     n = nodes(spark, [("Media Mix", "", "", []), ("media", "", "", []), ("Mixed Media", "", "", [])])
     labels = spark.createDataFrame([("t", "MEDIA"), ("t", "mix"), ("t", "none")], "topic string, label string")
     assert {r["label"]: r["id"] for r in index.lookup_label(labels, n).collect()} == {"MEDIA": "media", "mix": "Media Mix"}
+
+
+def test_places_of_a_hot_group(spark):
+    from tessera.operators.ranking import placed
+
+    rows = [("hot", i % 97, i) for i in range(2000)] + [(None, 1, 5000), (None, 0, 5001), ("cold", 3, 6000)]
+    df = spark.createDataFrame(rows, "topic string, k int, i int").repartition(5)
+    got = {r["i"]: r["place"] for r in placed(df, ["topic"], [F.col("k"), F.desc("i")]).collect()}
+    for t in ("hot", None, "cold"):
+        for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == t), key=lambda r: (r[1], -r[2])), 1):
+            assert got[i] == n
