@@ -14,6 +14,7 @@ set means further passes, not a larger automaton.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -44,14 +45,13 @@ def normal_words(text: str) -> list[str]:
 def words_with_offsets(text: str) -> list[tuple[str, int, int]]:
     """The same words with their places in the original text."""
     blank = lambda m: " " * (m.end() - m.start())
-    if len(text.casefold()) != len(text):  # letters that fold to several: place by the character they came from
-        text = "".join(c if len(c.casefold()) == 1 else c.lower()[0] for c in text)
-    masked = SPLIT.sub(" ", TAG.sub(blank, text.casefold()))
+    folded = text.casefold()
+    back = None if len(folded) == len(text) else [i for i, c in enumerate(text) for _ in c.casefold()]  # some letters fold to several
     out = []
-    for m in re.finditer(r"\S+", masked):
+    for m in re.finditer(r"\S+", SPLIT.sub(" ", TAG.sub(blank, folded))):
         word = DROP.sub("", m.group())
         if word:
-            out.append((word, m.start(), m.end()))
+            out.append((word, m.start(), m.end()) if back is None else (word, back[m.start()], back[m.end() - 1] + 1))
     return out
 
 
@@ -99,11 +99,11 @@ class LeakFinder:
                 continue
             if words is None:
                 words = words_with_offsets(text)
+                if len(words) != normal.count(" ") - 1:  # cannot be placed: the whole text is given as the place
+                    words = [(w, 0, len(text)) for w in normal.split()]
                 index = [0]
                 for w, _, _ in words:
                     index.append(index[-1] + len(w) + 1)
-                if index[-1] + 1 != len(normal):  # folding changed the words: compare on the words found here
-                    continue
             places = [self._word_at(index, end) for end, _ in at]
             if k < 0:
                 item_id, n = self.questions[-1 - k][0], at[0][1]
@@ -119,8 +119,6 @@ class LeakFinder:
     @staticmethod
     def _word_at(index: list[int], end: int) -> int:
         """Number of the word before the blank at ``end`` of the normalised text."""
-        import bisect
-
         return bisect.bisect_left(index, end) - 1
 
     @staticmethod

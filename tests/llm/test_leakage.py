@@ -33,9 +33,9 @@ def test_answers_and_offsets():
     text = FILL + "“" + ITEMS[0][2] + "” " + FILL
     (hit,) = L.LeakFinder(ITEMS).search(text, 0.5)
     assert hit[:2] == (1, "answer") and text[hit[4] : hit[5]].strip("“”").startswith("The colder quarter") and "spring" in text[hit[4] : hit[5]]
-    text = "É <i>x</i> " + FILL + Q
+    text = "É <i>Straße</i> ß " + FILL + Q
     hit = next(x for x in L.LeakFinder(ITEMS).search(text, 0.5) if x[1] == "question")
-    assert text[hit[4] : hit[5]] == Q or Q.startswith(text[hit[4] : hit[5]][:40])
+    assert text[hit[4] : hit[5]] == Q
 
 
 def brute_passage(q, d, gap=L.GAP):
