@@ -150,15 +150,15 @@ def citations(text: Column) -> Column:
 def enforce_citations(text: Column) -> Column:
     """Lines that make claims keep only their cited sentences; other lines stay; nothing left gives a fixed answer."""
 
-    def line(raw: Column) -> Column:
-        s = strip_space(raw)
-        structural = (s == "") | s.rlike(r"^(#|-|\*|>|\||```)") | s.endswith(":") | (F.length(s) < 50) | F.contains(F.lower(s), F.lit("not in the graph"))
-        kept = F.filter(F.split(s, r"(?U)(?<=[.!?])\s+"), lambda x: x.rlike(CITATION))
-        lead = F.regexp_extract(raw, r"(?U)^(\s*)", 1)
-        cited = F.when(F.size(kept) > 0, F.concat(lead, F.array_join(kept, " ")))
-        return F.when(structural, raw).otherwise(cited)
-
-    lines = F.filter(F.transform(F.split(text, "\r\n|\r|\n"), line), lambda x: x.isNotNull())
+    def line(x: Column) -> Column:
+        raw, s = x.raw, x.s
+        structural = (F.length(s) < 50) | s.rlike(r"^(#|-|\*|>|\||```)") | s.endswith(":") | F.contains(F.lower(s), F.lit("not in the graph"))
+        kept = F.array_join(F.filter(F.split(s, r"(?U)(?<=[.!?])\s+"), lambda c: c.rlike(CITATION)), " ")
+        return F.when(structural, raw).otherwise(F.concat(F.regexp_extract(raw, r"(?U)^(\s*)", 1), F.nullif(kept, F.lit(""))))
+
+    # Each line is stripped once: the pair of forms is built by a first pass, the rules read it in a second.
+    pairs = F.transform(F.split(text, "\r\n|\r|\n"), lambda raw: F.struct(raw.alias("raw"), strip_space(raw).alias("s")))
+    lines = F.filter(F.transform(pairs, line), lambda x: x.isNotNull())
     clean = strip_space(F.array_join(lines, "\n"))
     return F.when(text.isNull() | (text == ""), text).when(clean == "", NOT_CITED).otherwise(clean)
 
