@@ -10,6 +10,8 @@ from tessera.functions import text as T
 from tessera.operators.ranking import placed
 
 DASH = " — "
+#: Letters by which parts of names are looked up.
+GRAM = 3
 
 
 def _by_degree():
@@ -75,7 +77,11 @@ def lookup_label(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.select("topic", "id", "ord", F.lower("id").alias("name"))
     exact = l.join(n.withColumnRenamed("name", "low"), ["topic", "low"]).select("topic", "label", "id", F.lit(0).alias("kind"), "ord")
     rest = l.join(exact.select("topic", "label").distinct(), ["topic", "label"], "left_anti").where("low <> ''")
-    part = rest.join(n, "topic").where(F.contains("name", "low")).select("topic", "label", "id", F.lit(1).alias("kind"), "ord")
+    # A name that contains a label contains its first three letters: an equi-join instead of all pairs of a topic.
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name"))), lambda i: F.substr(F.col("name"), i, F.lit(GRAM))))
+    parts = n.select("topic", "id", "ord", "name", F.explode(F.array_union(grams, F.transform(grams, lambda g: F.left(g, F.least(F.length(g), F.lit(2)))))).alias("gram"))
+    parts = parts.select("topic", "id", "ord", "name", F.explode(F.array_distinct(F.array("gram", F.left("gram", F.lit(1))))).alias("gram")).distinct()
+    part = rest.withColumn("gram", F.left("low", F.lit(GRAM))).join(parts, ["topic", "gram"]).where(F.contains("name", "low")).select("topic", "label", "id", F.lit(1).alias("kind"), "ord")
     return exact.unionByName(part).groupBy("topic", "label").agg(F.min_by("id", F.struct("kind", "ord", "id")).alias("id"))
 
 

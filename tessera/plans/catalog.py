@@ -655,3 +655,40 @@ def star_degree(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n_events, max(ts) AS last_seen FROM events GROUP BY user_id, event_type")
 def event_activity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n_events"), F.max("ts").alias("last_seen"))
+
+
+_CITED = "cited AS (SELECT DISTINCT topic, regexp_extract(name, '^(\\S+)', 1) AS label FROM extracted_entities WHERE ent_id % 100 = 0 AND regexp_matches(name, '^\\S'))"
+
+
+@query(
+    f"""WITH {_NODES}, {_CITED}, x AS (SELECT c.topic, c.label, n.id, CASE WHEN lower(n.id) = lower(c.label) THEN 0 ELSE 1 END AS kind, n.ord FROM cited c JOIN nodes n ON c.topic = n.topic AND contains(lower(n.id), lower(c.label)))
+SELECT topic, label, arg_min(id, row(kind, ord, id)) AS id FROM x GROUP BY topic, label"""
+)
+def label_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Labels: the first word of every name whose row id is divisible by 100, looked up in all nodes of the topic."""
+    rows = table(spark, d, "extracted_entities").where(F.col("name").rlike(r"^\S") & (F.col("ent_id") % 100 == 0))
+    return index.lookup_label(rows.select("topic", F.regexp_extract("name", r"^(\S+)", 1).alias("label")), nodes_of(spark, d))
+
+
+@query(f"WITH {_INTRA}, b AS (SELECT * FROM intra UNION ALL SELECT topic, community, dst, label, src, description, ord FROM intra) SELECT DISTINCT topic, community, src || ' --[' || label || ']--> ' || dst || CASE WHEN description <> '' THEN ' (' || description || ')' ELSE '' END AS line FROM b")
+def community_lines_both_ways(spark: SparkSession, d: str) -> DataFrame:
+    return graph.relationship_lines(edges_of(spark, d), communities_of(spark, d), both_ways=True)
+
+
+@query("WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), m AS (SELECT label, arg_min(v, vec_id) AS first_v FROM a GROUP BY label) SELECT vec_id, a.label, round(list_inner_product(v, first_v), 6) AS similarity FROM a JOIN m ON a.label = m.label")
+def vector_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of each vector to the first one of its label."""
+    a = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    first = a.groupBy("label").agg(F.min_by("v", "vec_id").alias("first_v"))
+    return a.join(first, "label").select("vec_id", "label", F.round(T.dot(F.col("v"), F.col("first_v")), 6).alias("similarity"))
+
+
+@query(
+    """WITH live AS (SELECT topic, lower(regexp_replace(trim(name), ' +', ' ', 'g')) AS key, ent_id FROM extracted_entities WHERE deleted_at IS NULL AND trim(name) <> '')
+SELECT topic, key, min(ent_id) AS first_id, CAST(count(*) AS BIGINT) AS n_rows FROM live GROUP BY topic, key HAVING count(*) > 1"""
+)
+def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.functions.names import same_name
+
+    live = table(spark, d, "extracted_entities").where("deleted_at is null and trim(name) <> ''").select("topic", same_name(F.col("name")).alias("key"), "ent_id")
+    return live.groupBy("topic", "key").agg(F.min("ent_id").alias("first_id"), F.count("*").alias("n_rows")).where("n_rows > 1")
