@@ -41,6 +41,7 @@ for _n in NICKNAMES:
     FORMAL_BY_LETTER.setdefault(_n[0], []).append(_n)
 
 
+@lru_cache(maxsize=100_000)
 def folded(text: str) -> str:
     """Lower case without accents."""
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower().translate(FOLD)) if not unicodedata.combining(c))
@@ -144,6 +145,7 @@ def given_name(word: str) -> str | None:
     return None
 
 
+@lru_cache(maxsize=100_000)
 def _legal(word: str) -> bool:
     """A legal form at the end of a name, typing errors allowed."""
     if word in LEGAL:
@@ -171,6 +173,15 @@ for _n in INDUSTRY | BODIES:
 _is_org_word = lru_cache(maxsize=100_000)(_is_org_word)
 
 
+@lru_cache(maxsize=100_000)
+def _is_body(word: str) -> bool:
+    """A word for an institution, misspelt or contracted as it may be."""
+    if word in BODIES:
+        return True
+    near = (x for x in BODIES if len(x) >= 5 and x[0] == word[0])
+    return any(misspelt(word, x) or abbreviates(word, x) and (len(word) >= 5 or sum(c in "aeiou" for c in word) <= 1) for x in near)
+
+
 def parse(name: str, person_votes: int = 0, org_votes: int = 0, other_votes: int = 0) -> Form:
     """The form of a name.  Votes (how often its rows are typed so) decide only where words do not."""
     text = re.sub(r"\s+", " ", re.sub(r"(?<=\S)\s*\([^()]*\)", " ", name)).strip()
@@ -200,7 +211,7 @@ def parse(name: str, person_votes: int = 0, org_votes: int = 0, other_votes: int
     in_titles = [w for w in significant if w not in TITLES or len(significant) == 1 or (len(w) == 2 and typed.get(w, "").isupper() and not shouted and len(significant) == 2)]
     known = [given_name(w) for w in in_titles]
     exact = [w in GIVEN for w in in_titles]
-    bodies = any(w in BODIES or any(misspelt(w, x) or abbreviates(w, x) and (len(w) >= 5 or sum(c in "aeiou" for c in w) <= 1) for x in BODIES if len(x) >= 5 and x[0] == w[0]) for w in significant)
+    bodies = any(map(_is_body, significant))
     if 2 <= len(in_titles) <= 4 and not org_words and not any(w in TERM_WORDS for w in in_titles):
         initials = [k for k, w in enumerate(in_titles) if len(w) == 1 and (typed.get(w, "").isupper() or "." in typed.get(w, ""))]
         run_in = [k for k, w in enumerate(in_titles) if len(w) == 2 and k in (0, len(in_titles) - 1) and typed.get(w, "").isupper() and not shouted]
