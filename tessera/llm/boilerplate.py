@@ -78,7 +78,7 @@ FOOTER = re.compile(
     r"^hergestellt\b|^fait avec\b|^hecho con\b|^powered by\b",
     re.I,
 )
-LINK = re.compile(r"!?\[([^\]]*)\]\(([^)]*)\)|https?://\S+|\[[^\]\n]{1,40}\](?!\()")
+LINK = re.compile(r"!?\[([^\]\[]{0,300})\]\(([^)\s]{0,2000})\)|https?://\S+|\[[^\]\n]{1,40}\](?!\()")
 PERSONAL = re.compile(r"\b(?:you|your|subscribe|optional|ihre|ihr|vous|votre|usted|su)\b", re.I)
 HEADING = re.compile(r"^#{1,6}\s")
 CODE_SIGNS = re.compile(r"[=(){}\[\];]|```")
@@ -143,7 +143,7 @@ def _decide(line: str, site: re.Pattern | None) -> int:
         return BAD
     words = bare.split()
     n = len(words)
-    if n < 45:
+    if n < 45 and len(bare) <= 800:
         named = bool(site and site.search(bare))
         if n < 40 and FOOTER.search(bare) and not (n > 14 and ends and not named):
             return BAD

@@ -126,13 +126,14 @@ class LeakFinder:
         """Do runs in one stretch of the text, or in two of which one continues the other, cover half of what is needed, or more?"""
         if n < 4 * SEED:
             return True
-        stretches, start, best = [], 0, 0
+        start, best = 0, 0
+        ended = [0] * n  # most words of a stretch so far whose last run starts at each question word
         for i in range(1, len(at) + 1):
             if i == len(at) or at[i][0] - at[i - 1][0] > 120 or not 0 < at[i][1] - at[i - 1][1] <= 14:
-                seen = {p + d for _, p in at[start:i] for d in range(SEED)}
-                first, size = at[start][1], len(seen)
-                best = max([best, size, *(size + other for last, other in stretches if -2 <= first - last <= 16)])
-                stretches.append((at[i - 1][1], size))
+                size = len({p + d for _, p in at[start:i] for d in range(SEED)})
+                first, last = at[start][1], at[i - 1][1]
+                best = max(best, size + max(ended[max(0, first - 16) : first + 3], default=0))
+                ended[last] = max(ended[last], size)
                 start = i
         return best >= 0.55 * least * n
 

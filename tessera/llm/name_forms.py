@@ -52,7 +52,7 @@ def edits(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours; 9 if clearly more than 2."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > 2:
+    if abs(len(a) - len(b)) > 2 or len(a) > 64:
         return 9
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -183,7 +183,12 @@ def _is_body(word: str) -> bool:
 
 
 def parse(name: str, person_votes: int = 0, org_votes: int = 0, other_votes: int = 0) -> Form:
-    """The form of a name.  Votes (how often its rows are typed so) decide only where words do not."""
+    """The form of a name.  Votes (how often its rows are typed so) decide only where words do not.
+
+    A string of more than 200 characters is no name of a person or organisation.
+    """
+    if len(name) > 200 and len(name.strip()) > 200:
+        return Form("other", ())
     text = re.sub(r"\s+", " ", re.sub(r"(?<=\S)\s*\([^()]*\)", " ", name)).strip()
     dotted = re.fullmatch(r"(?:[^\W\d_]\.){2,6}[^\W\d_]?\.?", text)
     if dotted or re.fullmatch(r"[^\W\d_a-z]{2,6}", text) and text.upper() == text and folded(text) not in GIVEN:

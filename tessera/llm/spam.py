@@ -52,8 +52,8 @@ def _kind(paragraph: str) -> str:
 
 def text_blocks(text: str) -> list[tuple[str, str]]:
     """``(kind, block)``: paragraphs; short neighbours of one kind are joined, and fenced code is one block."""
-    blocks: list[tuple[str, str]] = []
-    fenced = False
+    blocks: list[tuple[str, list[str]]] = []
+    fenced, size = False, 0  # size: characters of the last block
     for p in PARAGRAPHS.split(text):
         p = p.strip()
         if not p:
@@ -61,11 +61,13 @@ def text_blocks(text: str) -> list[tuple[str, str]]:
         kind = "code" if fenced else _kind(p)
         if p.count("```") % 2:
             fenced = not fenced
-        if blocks and blocks[-1][0] == kind and (kind in ("code", "bare") or min(len(p), len(blocks[-1][1])) < SHORT):
-            blocks[-1] = (kind, blocks[-1][1] + "\n" + p)
+        if blocks and blocks[-1][0] == kind and (kind in ("code", "bare") or min(len(p), size) < SHORT):
+            blocks[-1][1].append(p)
+            size += len(p) + 1
         else:
-            blocks.append((kind, p))
-    return blocks
+            blocks.append((kind, [p]))
+            size = len(p)
+    return [(kind, "\n".join(parts)) for kind, parts in blocks]
 
 
 def block_features(block: str) -> tuple[int, float, float, float, str]:

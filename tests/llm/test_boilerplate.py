@@ -58,3 +58,12 @@ def test_edge_cases(spark):
     assert sorted(map(tuple, B.boilerplate_lines(df).collect()), key=str) == [(6, 1), (6, 1), (None, 1)]
     assert B.boilerplate_lines(df.limit(0)).count() == 0
     assert B.main_bodies(spark.createDataFrame([(1, "The real title.html", None, PAGE)], "file_id long, filename string, source string, text string")).first()["main_text"].startswith("# The real title")
+
+
+def test_odd_shapes_stay_fast():
+    import time
+
+    began = time.time()
+    for text in ("[" * 200_000, "a/" * 200_000, "](" * 100_000, "| " * 100_000, "* " * 100_000, "Read next\n" * 20_000, "x\n" * 100_000, "http://" * 50_000, "A" * 500_000):
+        B.line_labels("# T\n\n" + text, "T.md", "https://www.site9.example/t")
+    assert time.time() - began < 60

@@ -75,3 +75,12 @@ def test_operator(spark):
     sliced = L.leaks(d, i, max_items=1).where("part = 'question'").select("doc_id", "item_id").distinct()
     assert sorted(map(tuple, sliced.collect()), key=str) == [(1, 1), (4, 1), (None, 1)]
     assert L.leaked_items(d.limit(0), i).count() == L.leaked_items(d, i.limit(0)).count() == 0
+
+
+def test_long_texts_with_repeats_stay_fast():
+    import time
+
+    began = time.time()
+    text = "nobody recorded the weather on the quay. " * 40_000 + Q
+    assert found(text) == [(1, "question")] or (1, "question") in found(text)
+    assert time.time() - began < 60

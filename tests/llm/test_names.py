@@ -94,3 +94,8 @@ def test_hot_topic_recall_against_brute_force(spark):
     assert len(links & met) >= 0.97 * len(links) > 0
     got = pairs(spark, [(n, "ORG") for n in names])
     assert len(got) == 60 * 10
+
+
+def test_long_strings_are_no_names():
+    assert N.parse("Ann " * 100_000).kind == "other" and N.parse("x" * 500_000).kind == "other"
+    assert N.edits("a" * 10_000, "b" * 10_000) == 9

@@ -52,3 +52,14 @@ def test_empty(spark):
 def test_blocks():
     kinds = [k for k, _ in S.text_blocks("Word list here\n\nMore of it\n\nA sentence ends.\n\n```\ncode\n\nmore code\n```\n\n| a | b |\n| 1 | 2 |")]
     assert kinds == ["bare", "prose", "code", "table"]
+
+
+def test_many_paragraphs_and_odd_shapes_stay_fast():
+    import time
+
+    began = time.time()
+    assert len(S.text_blocks("word list\n\n" * 200_000)) == 1
+    for text in ("[" * 200_000, "|" * 200_000, "." * 200_000, "a/" * 200_000, "<" * 200_000):
+        S.block_features(text)
+        S.text_blocks(text)
+    assert time.time() - began < 60
