@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.dedup import closure
+from tessera.operators.closure import closure
 from tessera.session import Scratch
 
 OUT = "topic string, id string, community string, level int"

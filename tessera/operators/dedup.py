@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.closure import closure
 from tessera.operators.ranking import placed
 from tessera.operators.upsert import collapse_edges, folded_text
 from tessera.session import Scratch
@@ -55,30 +56,6 @@ def applicable_aliases(mapping: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def closure(pairs: DataFrame) -> DataFrame:
-    """``topic, id, root``: every name of the pairs ``topic, a, b`` with the smallest name it is linked to.
-
-    Minimum labels with pointer shortening: each round takes the smallest label among neighbours and
-    follows it once, so long chains need few rounds.  Every round is written to the shared folder.
-    """
-    scratch = Scratch(pairs.sparkSession, "closure")
-    both = pairs.where("a <> b").select("topic", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
-    edges = scratch.write(both.select("topic", F.col("p.a").alias("id"), F.col("p.b").alias("other")).distinct(), "edges")
-    names = pairs.select("topic", F.explode(F.array("a", "b")).alias("id")).distinct()
-    labels = scratch.write(names.withColumn("root", F.col("id")), "labels")
-    while True:
-        old = scratch.last
-        near = edges.join(labels.select("topic", F.col("id").alias("other"), "root"), ["topic", "other"]).groupBy("topic", "id").agg(F.min("root").alias("near"))
-        step = labels.join(near, NODE, "left").select("topic", "id", F.least("root", F.coalesce("near", "root")).alias("best"), F.col("root").alias("before"))
-        jump = step.select("topic", F.col("id").alias("best"), F.col("best").alias("further"))
-        new = scratch.write(step.join(jump, ["topic", "best"]).select("topic", "id", F.least("best", "further").alias("root"), "before"), "labels")
-        changed = not new.where("root <> before").isEmpty()
-        labels = new.drop("before")
-        scratch.drop(old)
-        if not changed:
-            return labels
-
-
 def merge_map(nodes: DataFrame, edges_degree: DataFrame, aliases: DataFrame) -> DataFrame:
     """``topic, id, winner`` of every node that is merged into another.
 

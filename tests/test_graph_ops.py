@@ -142,3 +142,15 @@ def test_places_of_a_hot_group(spark):
     for t in ("hot", None, "cold"):
         for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == t), key=lambda r: (r[1], -r[2])), 1):
             assert got[i] == n
+
+
+def test_closure_of_an_ordered_chain_takes_few_rounds(spark, monkeypatch):
+    from tessera.operators import closure
+
+    rounds = []
+    plain = closure.rewritten
+    monkeypatch.setattr(closure, "rewritten", lambda *a: rounds.append(1) or plain(*a))
+    chain = [("t", f"n{i:05}", f"n{i + 1:05}") for i in range(3000)]
+    got = closure.closure(spark.createDataFrame(chain, "topic string, a string, b string"))
+    assert {r["root"] for r in got.collect()} == {"n00000"} and got.count() == 3001
+    assert len(rounds) <= 14
