@@ -5,10 +5,10 @@ breadth-first search joins the frontier with the edges, round by round, until no
 reached or ``bfs_rounds`` are over.  What was reached gets one common label and is anti-joined away;
 if the search was cut short, the edges that leave the reached part are kept with the reached part
 contracted into its smallest vertex, so no link is lost.  (2) The remaining small components are
-labelled by minimum propagation: each vertex takes the smallest vertex among itself and its
-neighbours, chains of such pointers are shortened by doubling, and the edges are rewritten to the
-pointed-to vertices.  Every round at least halves the vertices that still have edges, so a chain of
-n vertices takes about log n rounds, not n.
+labelled by minimum propagation with contraction: each vertex takes the least vertex among itself and its
+neighbours in an order hashed anew each round, and the edges are rewritten to what their ends took.  A
+chain of n vertices takes about log n rounds in whatever order its names are, not n.  (3) Each component
+takes its smallest name.
 
 Scale.  Edges are stored once, distinct and oriented; a minimum over neighbours is a partial
 aggregation, so a hub costs one row per map task; relabelling joins edges with a table that has one
@@ -22,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.closure import both_ways, followed, minimum_pointers, oriented, rewritten, smallest_of_groups
 from tessera.session import Scratch
 
 KEY = ["topic", "name"]
 
 
-def connected_groups(pairs: DataFrame, left: str = "alias", right: str = "canonical", bfs_rounds: int = 8, doublings: int = 2) -> DataFrame:
+def connected_groups(pairs: DataFrame, left: str = "alias", right: str = "canonical", bfs_rounds: int = 8) -> DataFrame:
     """``topic, name, group_name``: each non-blank name with the smallest name it is linked to, directly or not.
 
     pairs: ``topic`` and the two name columns; further columns are ignored.
@@ -44,30 +45,18 @@ def connected_groups(pairs: DataFrame, left: str = "alias", right: str = "canoni
     vertices = (
         clean.select("topic", F.explode(F.array("a", "b")).alias("name")).where("name <> ''").distinct()
     )
-    edges = scratch.write(
-        clean.where("a <> '' and b <> '' and a <> b").select("topic", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
+    edges = scratch.write(oriented(clean.where("a <> '' and b <> ''")), "edges")
     labels, edges = _peel_giant(scratch, edges, bfs_rounds)
-    pointers = _propagate_minimum(scratch, edges, doublings)
+    pointers = minimum_pointers(scratch, edges)
 
     named = vertices.join(labels, KEY, "left") if labels is not None else vertices.withColumn("group_name", F.lit(None).cast("string"))
-    named = named.withColumn("group_name", F.coalesce("group_name", "name"))
-    for step in pointers:  # each step points to smaller names only; after the last one all point to the smallest
-        named = (
-            named.join(step.select("topic", F.col("name").alias("group_name"), F.col("to").alias("next")), ["topic", "group_name"], "left")
-            .select("topic", "name", F.coalesce("next", "group_name").alias("group_name"))
-        )
-    return named.select("topic", "name", "group_name")
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    ends = F.array(F.struct(F.col("a").alias("name"), F.col("b").alias("other")), F.struct(F.col("b").alias("name"), F.col("a").alias("other")))
-    return edges.select("topic", F.explode(ends).alias("e")).select("topic", "e.name", "e.other")
+    named = followed(named.withColumn("group_name", F.coalesce("group_name", "name")), "group_name", pointers)
+    return smallest_of_groups(named, "name", "group_name").select("topic", "name", "group_name")
 
 
 def _peel_giant(scratch: Scratch, edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
     """The reached part with its label (its smallest name), and the edges that remain."""
-    degree = _both_ways(edges).groupBy(*KEY).agg(F.count("*").alias("degree"))
+    degree = both_ways(edges).groupBy(*KEY).agg(F.count("*").alias("degree"))
     hub = degree.orderBy(F.desc("degree"), "topic", "name").limit(1).select(*KEY)
     reached = scratch.write(hub, "reached")
     frontier, paths = reached, [scratch.last]
@@ -75,7 +64,7 @@ def _peel_giant(scratch: Scratch, edges: DataFrame, rounds: int) -> tuple[DataFr
         return None, edges
     done = False
     for k in range(rounds):
-        step = _both_ways(edges).join(frontier, KEY, "left_semi").select("topic", F.col("other").alias("name")).distinct()
+        step = both_ways(edges).join(frontier, KEY, "left_semi").select("topic", F.col("other").alias("name")).distinct()
         frontier = scratch.write(step.join(reached, KEY, "left_anti"), "frontier")
         paths.append(scratch.last)
         if frontier.isEmpty():
@@ -88,36 +77,4 @@ def _peel_giant(scratch: Scratch, edges: DataFrame, rounds: int) -> tuple[DataFr
     if done:  # an edge whose one end was reached has both ends reached
         return labels, scratch.write(edges.join(start, ["topic", "a"], "left_anti"), "rest")
     to = labels.select("topic", F.col("name"), F.col("group_name").alias("to"))
-    return labels, scratch.write(_rewrite(edges, to), "rest")
-
-
-def _rewrite(edges: DataFrame, to: DataFrame) -> DataFrame:
-    """Edges with their ends replaced by what ``to`` points to; loops and repeats are gone."""
-    a = to.select("topic", F.col("name").alias("a"), F.col("to").alias("new_a"))
-    b = to.select("topic", F.col("name").alias("b"), F.col("to").alias("new_b"))
-    new = (
-        edges.join(a, ["topic", "a"], "left")
-        .join(b, ["topic", "b"], "left")
-        .select("topic", F.coalesce("new_a", "a").alias("a"), F.coalesce("new_b", "b").alias("b"))
-        .where("a <> b")
-    )
-    return new.select("topic", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _propagate_minimum(scratch: Scratch, edges: DataFrame, doublings: int) -> list[DataFrame]:
-    """Pointer tables ``topic, name, to``, one a round; following them in order leads to the smallest name."""
-    steps, edges_path = [], None
-    while not edges.isEmpty():
-        to = _both_ways(edges).groupBy(*KEY).agg(F.least(F.min("other"), F.col("name")).alias("to")).where("to <> name")
-        for _ in range(doublings):
-            to = scratch.write(to, "to")
-            onward = to.select("topic", F.col("name").alias("to"), F.col("to").alias("further"))
-            to = to.join(onward, ["topic", "to"], "left").select("topic", "name", F.coalesce("further", "to").alias("to"))
-        to = scratch.write(to, "to")
-        steps.append(to)
-        old = edges_path
-        edges = scratch.write(_rewrite(edges, to), "edges")
-        edges_path = scratch.last
-        if old:
-            scratch.drop(old)
-    return steps
+    return labels, scratch.write(rewritten(edges, to), "rest")
