@@ -61,7 +61,7 @@ def text_blocks(text: str) -> list[tuple[str, str]]:
         kind = "code" if fenced else _kind(p)
         if p.count("```") % 2:
             fenced = not fenced
-        if blocks and blocks[-1][0] == kind and (kind in ("code", "bare") or min(len(p), size) < SHORT):
+        if blocks and blocks[-1][0] == kind and (kind in ("code", "bare") or max(len(p), size) < SHORT):
             blocks[-1][1].append(p)
             size += len(p) + 1
         else:
@@ -93,7 +93,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")]).astype({"doc_id": "Int64"})
 
 
-def spam_shares(documents: DataFrame, redundant: float = 0.9, extreme: float = 0.45, sentences: float = 0.03, clauses: float = 0.055) -> DataFrame:
+def spam_shares(documents: DataFrame, redundant: float = 0.9, extreme: float = 0.55, sentences: float = 0.03, clauses: float = 0.055) -> DataFrame:
     """``doc_id, n_chars, spam_chars, spam_share`` of each text that is not blank.
 
     documents: ``doc_id, text``; further columns are ignored (the language is judged per block, since a
