@@ -34,15 +34,19 @@ def rewritten(edges: DataFrame, to: DataFrame) -> DataFrame:
     return oriented(new.select("topic", F.coalesce("new_a", "a").alias("a"), F.coalesce("new_b", "b").alias("b")))
 
 
+def _shortened(to: DataFrame) -> DataFrame:
+    """Pointers to where the pointed-to names point."""
+    onward = to.select("topic", F.col("name").alias("to"), F.col("to").alias("further"))
+    return to.join(onward, ["topic", "to"], "left").select("topic", "name", F.coalesce("further", "to").alias("to"))
+
+
 def minimum_pointers(scratch: Scratch, edges: DataFrame) -> list[DataFrame]:
     """Pointer tables ``topic, name, to``, one a round; following them in order leads to one name of each component."""
     steps, edges_path = [], None
     while not edges.isEmpty():
         at = lambda c, k=len(steps): F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("n"))
         least = both_ways(edges).groupBy("topic", "name").agg(F.min(at("other")).alias("near"))
-        one = scratch.write(least.select("topic", "name", F.least("near", at("name")).n.alias("to")).where("to <> name"), "to")
-        onward = one.select("topic", F.col("name").alias("to"), F.col("to").alias("further"))
-        to = one.join(onward, ["topic", "to"], "left").select("topic", "name", F.coalesce("further", "to").alias("to"))
+        to = scratch.write(_shortened(least.select("topic", "name", F.least("near", at("name")).n.alias("to")).where("to <> name")), "to")
         steps.append(to)
         old = edges_path
         edges = scratch.write(rewritten(edges, to), "edges")
