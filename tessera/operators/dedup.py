@@ -71,7 +71,7 @@ def merge_map(nodes: DataFrame, edges_degree: DataFrame, aliases: DataFrame) ->
     linked = pairs[0]
     for p in pairs[1:]:
         linked = linked.unionByName(p)
-    roots = closure(linked.distinct())
+    roots = closure(Scratch(nodes.sparkSession, "linked").write(linked.distinct()))
     member = roots.join(edges_degree, NODE, "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
     final = usable.select("topic", F.col("canonical").alias("id")).distinct().join(usable.select("topic", F.col("alias").alias("id")), NODE, "left_anti").withColumn("final", F.lit(1))
     member = member.join(final, NODE, "left").withColumn("final", F.coalesce("final", F.lit(0)))
@@ -102,8 +102,13 @@ def merge_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def deduplicate(nodes: DataFrame, edges: DataFrame, degree: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and the merge map after merging all duplicates."""
-    mapping = Scratch(nodes.sparkSession, "merge").write(merge_map(nodes, degree, aliases))
+    """Nodes, edges and the merge map after merging all duplicates.
+
+    Nodes and degrees are read many times, so they are written first.
+    """
+    scratch = Scratch(nodes.sparkSession, "merge")
+    nodes, degree = scratch.write(nodes, "nodes"), scratch.write(degree, "degree")
+    mapping = scratch.write(merge_map(nodes, degree, aliases), "map")
     return merge_nodes(nodes, mapping), collapse_edges(apply_merge(edges, mapping)), mapping
 
 
