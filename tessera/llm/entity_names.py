@@ -1,7 +1,8 @@
 """Variant spellings of names typed by people: which strings of a topic denote the same person or organisation.
 
 Plan.  (1) Distinct strings are parsed into forms (given name and surname, organisation words without the legal
-form, and so on); strings of one form, such as copies and case variants, need no search.  (2) Forms are
+form, and so on); strings of one form, such as copies, need no search.  Strings that differ only in case or spaces
+are parsed once, from their most informative spelling, and so are always of one form.  (2) Forms are
 looked up by MinHash banding over padded 2-grams; rows per band and bands are chosen from the collision
 curve so that pairs at the similarity of typical variants are met with the wanted probability.
 (3) Candidates are verified by Monge–Elkan similarity of their words.  (4) Star clustering groups the
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.name_forms import Form, blocking_sets, parse, same_entity
@@ -32,7 +33,7 @@ PERSON_TYPES = ("PERSON", "HUMAN", "PEOPLE")
 ORG_TYPES = ("ORGANIZATION", "ORGANISATION", "ORG", "COMPANY", "INSTITUTION")
 OPEN_TYPES = ("OTHER", "ENTITY", "N/A", "NONE", "UNKNOWN", "")
 
-FORMS = "topic string, name string, kind string, form string, ordered string, person_votes long, org_votes long, other_votes long"
+FORMS = "topic string, folded string, weight long, kind string, form string, ordered string, person_votes long, org_votes long, other_votes long"
 FORM = ["topic", "form"]
 _P = np.uint64((1 << 31) - 1)
 
@@ -79,9 +80,18 @@ def _form(form: str, ordered: str) -> Form:
     return Form(form.split("|", 1)[0], tuple(ordered.split(" ")))
 
 
+def _best_form(spellings: list[str | None], votes: tuple[int, int, int]) -> Form:
+    """The form of the first spelling that is a name at all."""
+    forms = (parse(n, *votes) for n in spellings if n is not None)
+    form = next(forms)
+    return form if form.kind != "other" else next((f for f in forms if f.kind != "other"), form)
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        forms = [parse(n, int(p), int(o), int(x)) for n, p, o, x in zip(batch["name"], batch["person_votes"], batch["org_votes"], batch["other_votes"])]
+        spellings = zip(batch["mixed"], batch["capitals"], batch["small"])
+        votes = zip(batch["person_votes"], batch["org_votes"], batch["other_votes"])
+        forms = [_best_form(list(n), tuple(map(int, v))) for n, v in zip(spellings, votes)]
         yield batch.assign(kind=[f.kind for f in forms], form=[f.key for f in forms], ordered=[" ".join(f.words) for f in forms])[[c.split()[0] for c in FORMS.split(", ")]]
 
 
@@ -116,6 +126,21 @@ def name_strings(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return both.groupBy("topic", "name").agg(*[F.sum(k).alias(k) for k in votes])
 
 
+def spaced(name: str) -> Column:
+    """A string without outer spaces and with single inner ones."""
+    return F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
+
+
+def spellings(strings: DataFrame) -> DataFrame:
+    """``topic, folded`` with the number and the votes of the strings that differ only in case and spaces, and their
+    first spelling in mixed case, in capitals and in small letters, from the most to the least informative.
+    """
+    s = spaced("name")
+    style = F.when(F.upper(s) == s, "capitals").when(F.lower(s) == s, "small").otherwise("mixed")
+    first = [F.min(F.when(style == x, s)).alias(x) for x in ("mixed", "capitals", "small")]
+    return strings.groupBy("topic", "folded").agg(F.count("*").alias("weight"), *first, *[F.sum(v).alias(v) for v in ("person_votes", "org_votes", "other_votes")])
+
+
 def clustered_names(entities: DataFrame, aliases: DataFrame, recall: float = 0.97, similarity: float = 0.42, background: float = 0.2, seed: int = 7) -> DataFrame:
     """``topic, name, cluster``: the strings that are persons or organisations, with their cluster.
 
@@ -126,9 +151,10 @@ def clustered_names(entities: DataFrame, aliases: DataFrame, recall: float = 0.9
     """
     spark = entities.sparkSession
     scratch = Scratch(spark, "names")
-    strings = scratch.write(name_strings(entities, aliases).mapInPandas(_parse, FORMS).where("kind <> 'other'"), "strings")
+    strings = scratch.write(name_strings(entities, aliases).withColumn("folded", F.lower(F.upper(spaced("name")))), "strings")
+    parsed = scratch.write(spellings(strings).mapInPandas(_parse, FORMS).where("kind <> 'other'"), "parsed")
     votes = ["person_votes", "org_votes", "other_votes"]
-    forms = strings.groupBy("topic", "form", "kind").agg(F.min("ordered").alias("ordered"), F.count("*").alias("weight"), *[F.sum(v).alias(v) for v in votes])
+    forms = parsed.groupBy("topic", "form", "kind").agg(F.min("ordered").alias("ordered"), F.sum("weight").alias("weight"), *[F.sum(v).alias(v) for v in votes])
     forms = scratch.write(forms.withColumn("n", F.monotonically_increasing_id()), "forms")  # numbered once, as written
 
     # Only two numbers a band are shuffled.  The join is told not to broadcast: bands are many times the size of
@@ -156,7 +182,8 @@ def clustered_names(entities: DataFrame, aliases: DataFrame, recall: float = 0.9
     counts = members.groupBy("topic", "cluster").agg(F.max(person.cast("int")).alias("person"), F.max(F.col("kind").isin("org", "acronym").cast("int")).alias("org"), *[F.sum(v).alias(v) for v in votes])
     named = counts.where((F.col("person") == 1) | (F.col("other_votes") <= 2 * (F.col("person_votes") + F.col("org_votes")) + 2 * F.col("org")))
     kept = merged.join(named.select("topic", "cluster"), ["topic", "cluster"])
-    return strings.join(kept, FORM).select("topic", "name", "cluster")
+    placed = parsed.select("topic", "folded", "form").join(kept, FORM)
+    return strings.join(placed, ["topic", "folded"]).select("topic", "name", "cluster")
 
 
 def star_clusters(scratch: Scratch, vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -54,6 +54,20 @@ def test_clusters(spark):
     assert pairs(spark, names) == want
 
 
+def test_difference_in_case_alone_makes_a_pair(spark):
+    groups = [
+        ["CCFV", "ccfv"], ["FBF", "fbf"], ["ECA", "eca"], ["CAB", "cab"], ["MS Freygaard", "ms freygaard"], ["HM Vellanski", "hm vellanski"], ["GE Eschenfeld", "ge eschenfeld"],
+        ["EM Körgaard", "em körgaard"], ["ELIZABETH KÖRÜNEZ", "Elizabeth Körünez"], ["IBEXAMUNDINTERACTIVE LTD", "IbexamundInteractive Ltd"],
+    ]
+    assert pairs(spark, [(n, None) for g in groups for n in g]) == {tuple(sorted(g)) for g in groups}
+
+
+def test_the_most_informative_spelling_gives_the_form(spark):
+    # "Jbc" alone is no name, so the capitals decide; votes of all spellings count together.
+    got = pairs(spark, [("JBC", "ORG"), ("Jbc", None), ("jbc", None), ("Joint Broadcast Committee", "ORG"), ("Vexa Ornu", "PERSON"), ("VEXA  ORNU", "PERSON")])
+    assert {("JBC", "Jbc"), ("JBC", "Joint Broadcast Committee"), ("Joint Broadcast Committee", "jbc"), ("VEXA  ORNU", "Vexa Ornu")} <= got and len(got) == 7
+
+
 def test_ambiguous_short_forms_join_nothing(spark):
     assert pairs(spark, [("Susannah Bexhaven", "PERSON"), ("Sebastian Bexhaven", "PERSON"), ("S. Bexhaven", "PERSON")]) == set()
 
