@@ -233,15 +233,26 @@ class Topic:
         return self._run("merging", go)
 
     def _resolve(self, nodes: DataFrame) -> DataFrame:
-        """Aliases that the model finds in batches of names: JSON groups whose first name is the canonical one."""
-        batches = dedup.resolver_batches(nodes).join(nodes, ["topic", "id"])
-        line = F.concat(F.lit("- "), "id", F.lit(" ("), F.coalesce("type", F.lit("")), F.lit(")"))
-        asked = batches.groupBy("topic", "batch").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+        """Aliases that the model finds in batches of names: JSON groups whose first name is the canonical one.
+
+        Two passes: by signature, then by type and name over what the first left unmerged; a decision of the first holds.
+        """
+        scratch = self._scratch()
+        first = scratch.write(self._resolve_pass(nodes, "signature"), "first")
+        rest = nodes.join(first.select("topic", F.col("alias").alias("id")), ["topic", "id"], "left_anti")
+        second = scratch.write(self._resolve_pass(rest, "type", nodes), "second")
+        pairs = first.unionByName(second.join(first, ["topic", "alias"], "left_anti"))
+        return pairs.select("topic", "alias", "canonical", F.lit("learned").alias("origin"), F.current_timestamp().alias("learned_at"))
+
+    def _resolve_pass(self, asked_for: DataFrame, by: str, nodes: DataFrame | None = None) -> DataFrame:
+        """``topic, alias, canonical``: what the model decides about some of the nodes, in batches of one order."""
+        short = asked_for.withColumn("description", F.substring("description", 1, 120))
+        batches = dedup.resolver_batches(short, by=by).join(short, ["topic", "id"])
+        asked = batches.groupBy("topic", "batch").agg(F.array_join(F.array_sort(F.collect_list(dedup.resolver_line())), "\n").alias("text"))
         asked = asked.withColumn("prompt", F.concat(F.lit("Which of these names mean the same? Answer with JSON lists of names.\n"), "text"))
         said = models.map_model(asked, self.engine.model, "resolve", ["topic", "batch"])
-        groups = said.select("topic", F.explode(F.from_json(T.json_block(T.without_fence(F.coalesce("answer", F.lit("")))), "array<array<string>>")).alias("g")).where("size(g) > 1")
-        pairs = groups.select("topic", F.element_at("g", 1).alias("canonical"), F.explode("g").alias("alias")).where("alias <> canonical")
-        return pairs.select("topic", "alias", "canonical", F.lit("learned").alias("origin"), F.current_timestamp().alias("learned_at"))
+        groups = said.select("topic", "batch", F.posexplode(F.from_json(T.json_block(T.without_fence(F.coalesce("answer", F.lit("")))), "array<array<string>>")).alias("place", "g"))
+        return dedup.decided_aliases(groups, asked_for if nodes is None else nodes)
 
     # Views
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -80,6 +80,20 @@ def merge_map(nodes: DataFrame, edges_degree: DataFrame, aliases: DataFrame) ->
     return member.join(winners, ["topic", "root"]).where("id <> winner").select("topic", "id", "winner")
 
 
+def decided_aliases(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``topic, alias, canonical`` of groups of names that a resolver gave in one pass: ``topic, batch, place, g``.
+
+    The first name is the canonical one; if it is no node, the longest name of the group that is (the first on ties).
+    Names that are no nodes are left out.  Of several targets of a name that of the last group holds.
+    """
+    members = groups.where("size(g) > 1").select("topic", "batch", "place", F.posexplode("g").alias("k", "id")).join(nodes.select(*NODE).distinct(), NODE, "left_semi")
+    key = ["topic", "batch", "place"]
+    rank = F.struct((F.col("k") == 0).alias("first"), F.length("id").alias("n"), (-F.col("k")).alias("k"))
+    canonical = members.groupBy(*key).agg(F.max_by("id", rank).alias("canonical"))
+    pairs = members.join(canonical, key).where("id <> canonical")
+    return pairs.groupBy("topic", F.col("id").alias("alias")).agg(F.max_by("canonical", F.struct("batch", "place")).alias("canonical"))
+
+
 def apply_merge(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges with merged ends replaced; self-loops, old ones included, are gone."""
     a = mapping.select("topic", F.col("id").alias("src"), F.col("winner").alias("w_src"))
@@ -112,21 +126,28 @@ def deduplicate(nodes: DataFrame, edges: DataFrame, degree: DataFrame, aliases:
     return merge_nodes(nodes, mapping), collapse_edges(apply_merge(edges, mapping)), mapping
 
 
+def _order_key(by: str) -> Column:
+    return T.token_signature(F.col("id")) if by == "signature" else F.coalesce("type", F.lit(""))
+
+
 def resolver_order(nodes: DataFrame, by: str = "signature") -> DataFrame:
     """``topic, id, place``: nodes in the order in which a resolver sees them, by signature and name or by type and name."""
-    key = T.token_signature(F.col("id")) if by == "signature" else F.coalesce("type", F.lit(""))
-    return placed(nodes.select("topic", "id", key.alias("k")), ["topic"], [F.col("k"), F.col("id")]).select("topic", "id", "place")
+    return placed(nodes.select("topic", "id", _order_key(by).alias("k")), ["topic"], [F.col("k"), F.col("id")]).select("topic", "id", "place")
+
+
+def resolver_line() -> Column:
+    """A node as a resolver sees it."""
+    return F.concat(F.lit("- "), F.col("id"), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit("): "), F.coalesce("description", F.lit("")))
 
 
-def resolver_batches(nodes: DataFrame, most: int = 25, chars: int = 6000) -> DataFrame:
+def resolver_batches(nodes: DataFrame, most: int = 25, chars: int = 6000, by: str = "signature") -> DataFrame:
     """``topic, id, batch``: greedy batches of the resolver's order, new when ``most`` lines or ``chars`` characters would be passed.
 
     The rule is sequential within a topic.  Rows stream through sorted partitions, so no topic is ever held in memory.
     """
     import pandas as pd
 
-    line = F.length(F.concat(F.lit("- "), F.col("id"), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit("): "), F.coalesce("description", F.lit("")))).cast("long")
-    rows = nodes.select("topic", T.token_signature(F.col("id")).alias("k"), "id", line.alias("n"))
+    rows = nodes.select("topic", _order_key(by).alias("k"), "id", F.length(resolver_line()).cast("long").alias("n"))
 
     def number(batches):
         topic, batch, lines, used = None, 0, 0, 0

@@ -457,6 +457,22 @@ def resolver_batches(spark: SparkSession, d: str) -> DataFrame:
     return dedup.resolver_batches(nodes_of(spark, d))
 
 
+@query(f"WITH {_NODES} SELECT topic, id, CAST(row_number() OVER (PARTITION BY topic ORDER BY coalesce(type, ''), id) AS BIGINT) AS place FROM nodes")
+def resolver_order_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.resolver_order(nodes_of(spark, d), "type")
+
+
+@query(
+    f"""WITH RECURSIVE {_NODES}, o AS (SELECT topic, id, length('- ' || id || ' (' || coalesce(type, '') || '): ' || coalesce(description, '')) AS n, row_number() OVER (PARTITION BY topic ORDER BY coalesce(type, ''), id) AS k FROM nodes),
+b AS (SELECT topic, id, k, 1 AS batch, 1 AS lines, n AS used FROM o WHERE k = 1
+  UNION ALL SELECT o.topic, o.id, o.k, CASE WHEN b.lines >= 25 OR b.used + o.n > 6000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.lines >= 25 OR b.used + o.n > 6000 THEN 1 ELSE b.lines + 1 END, CASE WHEN b.lines >= 25 OR b.used + o.n > 6000 THEN o.n ELSE b.used + o.n END
+  FROM b JOIN o ON o.topic = b.topic AND o.k = b.k + 1)
+SELECT topic, id, CAST(batch AS BIGINT) AS batch FROM b"""
+)
+def resolver_batches_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.resolver_batches(nodes_of(spark, d), by="type")
+
+
 # Contexts and notes
 
 

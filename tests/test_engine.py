@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from tessera import models
@@ -93,3 +95,21 @@ def test_failed_model_rows_keep_their_error(spark):
     assert row["answer"] is None and "TimeoutError" in row["error"]
     with pytest.raises(ValueError):
         models.make_model("none")
+
+
+def test_resolver_has_two_passes(spark, tmp_path):
+    class Pairs(models.ExtractiveModel):
+        def _resolve(self, prompt, **_):
+            has = lambda n: f"- {n} (" in prompt
+            out = []
+            if has("Alpha Social") and has("Zeta Social") and "): " + "d" * 120 + "\n" in prompt + "\n":
+                out.append(["Alpha Social Network, rewritten", "Zeta Social", "Alpha Social", "Not A Node At All"])
+            if has("Concept 00"):
+                out.append(["Concept 00", "Concept 01"] if has("Concept 01") else ["Concept 02", "Concept 01", "Concept 03"])
+            return json.dumps(out)
+
+    rows = [("t", f"Concept {k:02}", "CONCEPT", "x") for k in range(30)] + [("t", n, "ORGANIZATION", "d" * 500) for n in ("Alpha Social", "Zeta Social")]
+    nodes = spark.createDataFrame(rows, "topic string, id string, type string, description string")
+    topic = Engine(spark, str(tmp_path), str(tmp_path), model=Pairs()).topic("t")
+    got = {(r["alias"], r["canonical"], r["origin"]) for r in topic._resolve(nodes).collect()}
+    assert got == {("Zeta Social", "Alpha Social", "learned"), ("Concept 01", "Concept 00", "learned"), ("Concept 03", "Concept 02", "learned")}
