@@ -1,9 +1,12 @@
 """Community detection on the undirected simple graph: size-capped hierarchical Leiden per connected component.
 
-Components are found by the distributed closure.  A component of at most ``most_edges`` edges is clustered by one grouped
-task with a bounded working set; larger ones go through distributed label propagation on DataFrames
-first, whose groups are then split by Leiden in the same way, so no component is ever collected whole
-beyond that bound.  Results depend on the seed and the graph only.
+Components are found by the distributed closure.  One of at most ``most_edges`` edges is clustered by one grouped task
+with a bounded working set.  A larger one is split on DataFrames by the same objective: nodes move to the neighbouring
+community that gains most modularity, communities are contracted with all edges between them kept as weights, and so
+on, until the rest fits a task for Leiden or nothing gains; then single nodes are moved once more.  Communities above the
+cap are split again, by a task or on DataFrames.  No component is collected whole beyond the bound; both ways give cap,
+levels and names the same meaning, though not always the same of several partitions of like modularity.
+Results depend on the seed and the graph only.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from tessera.operators.closure import closure
 from tessera.session import Scratch
 
+DEPTH = 12  # levels of splitting
 OUT = "topic string, id string, community string, level int"
 
 
@@ -72,12 +76,12 @@ def _move(adjacency, loops, part, rng, bound=None):
     return moved
 
 
-def leiden(adjacency: dict[int, dict[int, float]], seed: int = 42) -> dict[int, int]:
+def leiden(adjacency: dict[int, dict[int, float]], seed: int = 42, own: dict[int, float] | None = None) -> dict[int, int]:
     """Communities of a weighted undirected graph (Traag, Waltman, van Eck 2019): local moving, refinement within
-    communities, aggregation by the refined ones, until nothing moves."""
+    communities, aggregation by the refined ones, until nothing moves.  ``own``: twice the weight inside a contracted node."""
     rng = random.Random(seed)
     members = {v: [v] for v in adjacency}
-    graph, loops = {v: dict(n) for v, n in adjacency.items()}, {}
+    graph, loops = {v: dict(n) for v, n in adjacency.items()}, dict(own or {})
     part = {v: v for v in graph}
     while True:
         moved = _move(graph, loops, part, rng)
@@ -119,16 +123,16 @@ def _old(vs, graph, refined, part):
     return min(vs)
 
 
-def hierarchical_leiden(edges: list[tuple[str, str]], cap: int = 10, seed: int = 42, depth: int = 12) -> dict[str, tuple[str, int]]:
+def hierarchical_leiden(edges: list[tuple[str, str]], cap: int = 10, seed: int = 42, depth: int = DEPTH, start: int = 0) -> dict[str, tuple[str, int]]:
     """Final community and level of each node; communities above ``cap`` are split again until Leiden splits no more.
 
-    A community is named after its smallest member.
+    A community is named after its smallest member.  ``start`` is the level of the whole.
     """
     adjacency: dict[str, dict[str, float]] = defaultdict(dict)
     for a, b in edges:
         adjacency[a][b] = adjacency[b][a] = 1.0
     out: dict[str, tuple[str, int]] = {}
-    todo = [(sorted(adjacency), 0)]
+    todo = [(sorted(adjacency), start)]
     while todo:
         nodes, level = todo.pop()
         inside = set(nodes)
@@ -154,37 +158,126 @@ def detect_communities(undirected: DataFrame, cap: int = 10, seed: int = 42, mos
     """
     scratch = Scratch(undirected.sparkSession, "communities")
     pairs = scratch.write(undirected.select("topic", "a", "b"), "pairs")
-    roots = closure(pairs)
-    placed = pairs.join(roots.select("topic", F.col("id").alias("a"), "root"), ["topic", "a"])
-    sizes = placed.groupBy("topic", "root").agg(F.count("*").alias("n_edges"))
-    marked = scratch.write(placed.join(sizes, ["topic", "root"]), "placed")
-    small = marked.where(F.col("n_edges") <= most_edges).select("topic", "root", "a", "b")
-    large = marked.where(F.col("n_edges") > most_edges).select("topic", "a", "b")
-    if not large.isEmpty():
-        labels = propagate_labels(scratch, large)
-        both = large.join(labels.withColumnRenamed("id", "a").withColumnRenamed("label", "la"), ["topic", "a"]).join(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), ["topic", "b"])
-        # Nodes of one label form a group of their own; single nodes keep their label as community.
-        inner = both.where("la = lb").select("topic", F.concat(F.lit("label "), F.col("la")).alias("root"), "a", "b")
-        lone = labels.join(inner.select("topic", F.explode(F.array("a", "b")).alias("id")).distinct(), ["topic", "id"], "left_anti")
-        small = small.unionByName(inner)
-    else:
-        lone = None
+    placed = pairs.join(closure(pairs).select("topic", F.col("id").alias("a"), "root"), ["topic", "a"])
+    out, level = None, 0
+    while True:
+        sizes = placed.groupBy("topic", "root").agg(F.count("*").alias("n_edges"))
+        marked = scratch.write(placed.join(sizes, ["topic", "root"]), "placed")
+        small = marked.where(F.col("n_edges") <= most_edges).groupBy("topic", "root").applyInPandas(_clusterer(cap, seed, level), OUT)
+        out = small if out is None else out.unionByName(small)
+        large = marked.where(F.col("n_edges") > most_edges).select("topic", "root", "a", "b")
+        if large.isEmpty():
+            return out
+        # Communities are connected: an end of no edge inside one is a community of its own.
+        inner = scratch.write(_inside(large, split(scratch, large, most_edges, seed + level)), "inner")
+        found = large.select("topic", "root", F.explode(F.array("a", "b")).alias("id")).distinct().join(closure(inner).select("topic", "id", F.col("root").alias("community")), ["topic", "id"], "left")
+        found = scratch.write(found.withColumn("community", F.coalesce("community", "id")), "found")
+        n_members = found.groupBy("topic", "root", "community").agg(F.count("*").alias("n"))
+        n_parts = n_members.groupBy("topic", "root").agg(F.count("*").alias("parts"))
+        split_again = (F.col("n") > cap) & (F.col("parts") > 1) & F.lit(level < DEPTH)
+        fate = n_members.join(n_parts, ["topic", "root"]).select("topic", "community", split_again.alias("again"))
+        found = scratch.write(found.select("topic", "id", "community").join(fate, ["topic", "community"]), "fate")
+        out = out.unionByName(found.where("not again").select("topic", "id", "community", F.lit(level).alias("level")))
+        placed = inner.join(found.where("again").select("topic", F.col("id").alias("a"), F.col("community").alias("root")), ["topic", "a"])
+        # Members of a community that is split again all have an edge in it, as it is a component of the inner edges.
+        level += 1
+
 
+def _clusterer(cap: int, seed: int, level: int):
     def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = hierarchical_leiden(list(zip(pdf["a"], pdf["b"])), cap, seed)
+        found = hierarchical_leiden(sorted(zip(pdf["a"], pdf["b"])), cap, seed, start=level)
         return pd.DataFrame({"topic": key[0], "id": list(found), "community": [c for c, _ in found.values()], "level": [n for _, n in found.values()]})
 
-    out = small.groupBy("topic", "root").applyInPandas(cluster, OUT)
-    if lone is not None:
-        out = out.unionByName(lone.select("topic", "id", F.col("label").alias("community"), F.lit(0).alias("level")))
-    return out
+    return cluster
+
+
+GRAPH = ["topic", "root"]
+
+
+def _inside(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``topic, a, b``: the pairs within a part."""
+    a, b = (parts.select(*GRAPH, F.col("id").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+    return pairs.join(a, [*GRAPH, "a"]).join(b, [*GRAPH, "b"]).where("part_a = part_b").select("topic", "a", "b")
+
+
+def split(scratch: Scratch, pairs: DataFrame, most_edges: int, seed: int) -> DataFrame:
+    """``topic, root, id, part``: communities of graphs ``topic, root, a, b`` by moving, contraction and, once a graph
+    has at most ``most_edges`` edges, Leiden in one task.  Only counts reach the driver."""
+    first_edges = edges = scratch.write(pairs.select(*GRAPH, "a", "b", F.lit(1.0).alias("w")), "edges")
+    strength = edges.select(*GRAPH, F.explode(F.array("a", "b")).alias("id"), "w").groupBy(*GRAPH, "id").agg(F.sum("w").alias("k"))
+    total = strength.groupBy(*GRAPH).agg(F.sum("k").alias("total"))
+    first_nodes = nodes = scratch.write(strength.join(total, GRAPH), "nodes")
+    parts = nodes.select(*GRAPH, "id", F.col("id").alias("part"))
+    while not edges.isEmpty():
+        step = moved_nodes(scratch, edges, nodes, seed)
+        a, b = (step.select(*GRAPH, F.col("id").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+        between = edges.join(a, [*GRAPH, "a"]).join(b, [*GRAPH, "b"]).where("part_a <> part_b")
+        coarse = between.groupBy(*GRAPH, F.least("part_a", "part_b").alias("a"), F.greatest("part_a", "part_b").alias("b")).agg(F.sum("w").alias("w"))
+        coarse = scratch.write(coarse, "edges")
+        heavy = scratch.write(nodes.join(step, [*GRAPH, "id"]).groupBy(*GRAPH, F.col("part").alias("id")).agg(F.sum("k").alias("k"), F.max("total").alias("total")), "nodes")
+        parts = scratch.write(_followed(parts, step), "parts")
+        # Graphs in which nothing has merged are done, small ones go to Leiden, the others go on.
+        before, after, size = nodes.groupBy(*GRAPH).agg(F.count("*").alias("before")), heavy.groupBy(*GRAPH).agg(F.count("*").alias("after")), coarse.groupBy(*GRAPH).agg(F.count("*").alias("n_edges"))
+        state = scratch.write(size.join(before, GRAPH).join(after, GRAPH), "state")
+        fits = coarse.join(state.where(F.col("n_edges") <= most_edges).select(*GRAPH), GRAPH)
+        ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"))))
+        fits = fits.select(*GRAPH, ends.alias("e"), "w").select(*GRAPH, "e.*", "w").join(heavy.select(*GRAPH, "id", "k"), [*GRAPH, "id"])
+        parts = scratch.write(_followed(parts, fits.groupBy(*GRAPH).applyInPandas(_weighted_leiden(seed), "topic string, root string, id string, part string")), "parts")
+        on = state.where((F.col("n_edges") > most_edges) & (F.col("after") < F.col("before"))).select(*GRAPH)
+        edges, nodes = scratch.write(coarse.join(on, GRAPH), "edges"), scratch.write(heavy.join(on, GRAPH), "nodes")
+    return moved_nodes(scratch, first_edges, first_nodes, seed, parts)
 
 
-def propagate_labels(scratch: Scratch, pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """``topic, id, label``: each node repeatedly takes the commonest label among its neighbours, the smallest on ties."""
-    both = scratch.write(pairs.select("topic", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select("topic", F.col("b").alias("id"), F.col("a").alias("other"))), "both")
-    labels = both.select("topic", "id").distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("id", "other"), ["topic", "other"]).groupBy("topic", "id", "label").agg(F.count("*").alias("n"))
-        labels = scratch.write(votes.groupBy("topic", "id").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label")), "labels")
-    return labels
+def _weighted_leiden(seed: int):
+    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["id"]))
+        number = {v: n for n, v in enumerate(names)}
+        adjacency: dict[int, dict[int, float]] = {n: {} for n in range(len(names))}
+        strength = {}
+        for v, u, w, k in sorted(zip(pdf["id"], pdf["other"], pdf["w"], pdf["k"])):
+            adjacency[number[v]][number[u]] = w
+            strength[number[v]] = k
+        found = leiden(adjacency, seed, {n: strength[n] - sum(near.values()) for n, near in adjacency.items()})
+        return pd.DataFrame({"topic": key[0], "root": key[1], "id": names, "part": [names[found[n]] for n in range(len(names))]})
+
+    return cluster
+
+
+def _followed(parts: DataFrame, step: DataFrame) -> DataFrame:
+    onward = step.select(*GRAPH, F.col("id").alias("part"), F.col("part").alias("_next"))
+    return parts.join(onward, [*GRAPH, "part"], "left").select(*GRAPH, "id", F.coalesce("_next", "part").alias("part"))
+
+
+def moved_nodes(scratch: Scratch, edges: DataFrame, nodes: DataFrame, seed: int, start: DataFrame | None = None, rounds: int = 24) -> DataFrame:
+    """``topic, root, id, part`` after rounds of local moving, from ``start`` or from single nodes.
+
+    edges: ``topic, root, a, b, w``; nodes: ``topic, root, id, k, total`` with the strength of the node and of its graph.
+    In each round a hashed half of the nodes moves, so that neighbours seldom swap; it ends when hardly a node moves.
+    What the last rounds would have moved stays with its part and is met again after contraction.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"))))
+    both = scratch.write(edges.select(*GRAPH, ends.alias("e"), "w").select(*GRAPH, "e.*", "w"), "both")
+    both_path = scratch.last
+    state = nodes.withColumn("part", F.col("id")) if start is None else nodes.join(start, [*GRAPH, "id"])
+    state = scratch.write(state.select(*GRAPH, "id", "k", "total", "part", F.lit(False).alias("moved")), "moving")
+    n, quiet, path = state.count(), 0, scratch.last
+    for r in range(rounds):
+        active = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r // 2)), F.lit(2)) == r % 2  # two rounds reach every node
+        weight = state.groupBy(*GRAPH, "part").agg(F.sum("k").alias("volume"))
+        placed = state.join(weight, [*GRAPH, "part"])
+        links = both.where(active).join(placed.select(*GRAPH, F.col("id").alias("other"), "part", "volume"), [*GRAPH, "other"]).select(*GRAPH, "id", "part", "volume", "w")
+        stay = placed.where(active).select(*GRAPH, "id", "part", "volume", F.lit(0.0).alias("w"))
+        choice = links.unionByName(stay).groupBy(*GRAPH, "id", "part").agg(F.sum("w").alias("w"), F.max("volume").alias("volume"))
+        choice = choice.join(state.select(*GRAPH, "id", "k", "total", F.col("part").alias("own")), [*GRAPH, "id"])
+        same = F.col("part") == F.col("own")
+        gain = F.round(F.col("w") - F.col("k") * (F.col("volume") - F.when(same, F.col("k")).otherwise(0.0)) / F.col("total"), 9)
+        best = choice.groupBy(*GRAPH, "id").agg(F.max_by("part", F.struct(gain.alias("gain"), same.alias("same"), F.xxhash64("part", F.lit(seed)).alias("h"), "part")).alias("best"))
+        new = state.join(best, [*GRAPH, "id"], "left").select(*GRAPH, "id", "k", "total", F.coalesce("best", "part").alias("part"), (F.coalesce("best", "part") != F.col("part")).alias("moved"))
+        old, state = path, scratch.write(new, "moving")
+        path = scratch.last
+        scratch.drop(old)
+        quiet = quiet + 1 if state.where("moved").count() * 1000 <= n else 0
+        if quiet == 2:
+            break
+    scratch.drop(both_path)
+    return state.select(*GRAPH, "id", "part")

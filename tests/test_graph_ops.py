@@ -100,6 +100,20 @@ def test_communities(spark):
     assert forced == set(got)
 
 
+def test_communities_of_large_components_are_those_of_small_ones(spark):
+    star = [("star", "hub", f"leaf{i:03}") for i in range(150)]
+    chain = []
+    for c in range(12):
+        v = [f"{c:02}{i}" for i in range(6)]
+        chain += [("chain", a, b) for i, a in enumerate(v) for b in v[i + 1 :]]
+        chain += [("chain", f"{c:02}5", f"{c + 1:02}0")] * (c < 11)
+    df = spark.createDataFrame(star + chain, "topic string, a string, b string")
+    got = {(r["topic"], r["id"]): r["community"] for r in community.detect_communities(df, most_edges=60).collect()}
+    assert got == {("star", i): "hub" for _, a, b in star for i in (a, b)} | {("chain", f"{c:02}{i}"): f"{c:02}0" for c in range(12) for i in range(6)}
+    small = {(r["topic"], r["id"]): r["community"] for r in community.detect_communities(df).collect()}
+    assert got == small
+
+
 def test_search_paths_agree(spark, monkeypatch):
     q = spark.createDataFrame([(1, "How does carryover react to cinema?"), (2, "xyz nothing")], "qid long, question string")
     texts = spark.createDataFrame([("t", "1", "Carryovers of the cinemas"), ("t", "2", "cinema"), ("t", "3", "none")], "topic string, community string, text string")
