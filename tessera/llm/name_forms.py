@@ -296,8 +296,7 @@ def blocking_sets(form: Form) -> list[tuple[str, list[str], bool]]:
         return [padded[i : i + 2] for i in range(len(padded) - 1)]
 
     if form.kind in ("person", "initial"):
-        surname = max(form.words[1:], key=len)
-        return [("p" + form.words[0][0], grams(surname), False)]
+        return [("p" + form.words[0][0], grams(w), False) for w in dict.fromkeys(form.words[1:])]  # any surname word may be the one without errors
     if form.kind == "stem":
         return [("s", grams(form.words[0]), False)]
     if form.kind == "acronym":

@@ -110,6 +110,19 @@ def test_hot_topic_recall_against_brute_force(spark):
     assert len(got) == 60 * 10
 
 
+def test_two_surnames_recall_against_brute_force(spark):
+    firsts, seconds = ["Silva", "Perez", "Gomez", "Rojas"], ["Costa", "Lopez", "Duran", "Nieto"]
+    names = []
+    for a in firsts:
+        for b in seconds:
+            names += [f"Edward {a} {b}", f"Edward {a} {b[:2]}{b[1:]}", f"Edward {a[:3]}{a[2:]} {b}"]
+    forms = {n: N.parse(n, 2, 0, 0) for n in names}
+    links = {tuple(sorted(p)) for p in itertools.combinations(names, 2) if N.same_entity(forms[p[0]], forms[p[1]])[0] > 0}
+    got = pairs(spark, [(n, "PERSON") for n in names for _ in range(2)])
+    assert ("Edward Silva Coosta", "Edward Silva Costa") in got
+    assert len(links & got) >= 0.97 * len(links) > 0
+
+
 def test_long_strings_are_no_names():
     assert N.parse("Ann " * 100_000).kind == "other" and N.parse("x" * 500_000).kind == "other"
     assert N.edits("a" * 10_000, "b" * 10_000) == 9
