@@ -1,30 +1,39 @@
 """Evaluation texts leaking into training text.
 
-One Aho-Corasick automaton holds all runs of ``SEED`` words of the normalised test questions, and the
-normalised answers.  Each document is normalised (case folded, markup and punctuation removed, white
-space made single blanks) and scanned once.  For a question whose runs are met often enough, the
-words around the hits are aligned with the question: pairs of equal words are chained in order, a chain may
+One Aho-Corasick automaton holds words of the normalised test questions, and the normalised answers.  Each document is
+normalised (case folded, markup and punctuation removed, white space made single blanks) and scanned once.  Around the
+words that were met the text is aligned with the question: pairs of equal words are chained in order, a chain may
 skip a few words on either side (isolated changes), and two chains may follow each other with other text between
 them (one interruption).  Offsets of what was found refer to the original text.
 
-Scale.  The scan is a map over the documents without a shuffle; only hits leave it.  The test items are
-shipped to the executors in slices of at most ``max_items`` rows, whose bound is checked: a larger test
-set means further passes, not a larger automaton.
+Two conditions that every passage meets keep the alignment rare; neither loses a passage.  (1) The automaton holds the
+``SEEDS`` share of a question's words that are rarest among the questions.  Of more than half of all words, at
+least ``more than half - the words left out`` are among them, wherever changes fall; no run of intact words is needed.
+(2) Each word of a chain has another one of it within reach on both sides, so more than half of the question's words
+must stand in such pairs somewhere in the text.
+
+Scale.  The scan is a map over the documents without a shuffle; only hits leave it.  The test items are shipped to the
+executors in slices of at most ``max_items`` rows, cut by their numbers; with several slices each one's hits are
+written before the next slice is read, so a larger test set means further passes, not a larger automaton.
 """
 
 from __future__ import annotations
 
-import bisect
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words per run of the automaton.
-SEED = 3
+from tessera.operators.ranking import placed
+from tessera.session import Scratch
+
+#: Share of a question's words, the rarest ones, that the automaton holds.  Above a half; what is found does not depend on it.
+SEEDS = 0.8
 #: Words that may be changed, inserted or dropped between two words of a chain.
 GAP = 3
 #: A chain of fewer words is no part of a passage.
@@ -56,177 +65,188 @@ def words_with_offsets(text: str) -> list[tuple[str, int, int]]:
 
 
 class LeakFinder:
-    """The automaton over one slice of test items, and the search of one text."""
+    """The automaton over one slice of test items, and the search of one text.
 
-    def __init__(self, items: list[tuple[int, str | None, str | None]]):
+    ``least``: share of a question's words that must be exceeded; answers of fewer than ``least_answer`` words stand anywhere
+    and are not searched.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None, str | None]], least: float = 0.5, least_answer: int = 8):
         import ahocorasick
 
-        self.questions: list[tuple[int, list[str]]] = []
-        runs: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for item_id, question, answer in items:
-            words = normal_words(question or "")
-            if words:
-                k = len(self.questions)
-                self.questions.append((item_id, words))
-                n = min(SEED, len(words))
-                for p in range(len(words) - n + 1):
-                    runs[" " + " ".join(words[p : p + n]) + " "].append((k, p))
+        self.least = least
+        self.questions = [(item_id, words) for item_id, question, _ in items if (words := normal_words(question or ""))]
+        common = Counter(w for _, words in self.questions for w in set(words))
+        seeds: dict[str, list[int]] = defaultdict(list)
+        self.needed = np.zeros(len(self.questions), np.int64)
+        for k, (_, words) in enumerate(self.questions):
+            rarest = sorted(range(len(words)), key=lambda i: (common[words[i]], i))[: math.ceil(SEEDS * len(words))]
+            for i in rarest:
+                seeds[words[i]].append(k)
+            self.needed[k] = max(1, math.floor(least * len(words)) + 1 - (len(words) - len(rarest)))
+        self.answers: list[tuple[int, int]] = []
+        whole: dict[str, list[int]] = defaultdict(list)
+        for item_id, _, answer in items:
             said = normal_words(answer or "")
-            if len(said) >= 8:  # shorter answers stand anywhere
-                runs[" " + " ".join(said) + " "].append((-1 - len(self.questions), len(said)))
-                self.questions.append((item_id, []))
+            if len(said) >= least_answer:
+                whole[" " + " ".join(said) + " "].append(len(self.answers))
+                self.answers.append((item_id, len(said)))
         self.automaton = ahocorasick.Automaton()
-        for run, where in runs.items():
-            self.automaton.add_word(run, tuple(where))
-        if runs:
+        self.postings = [np.array(ks) for ks in seeds.values()]
+        patterns: dict[str, tuple[int | None, tuple[int, ...]]] = {f" {w} ": (n, ()) for n, w in enumerate(seeds)}
+        for text, ks in whole.items():
+            patterns[text] = (patterns.get(text, (None, ()))[0], tuple(ks))
+        for text, value in patterns.items():
+            self.automaton.add_word(text, value)
+        if patterns:
             self.automaton.make_automaton()
-        self.empty = not runs
+        self.empty = not patterns
+        self.steps: dict[int, dict[tuple[str, str], int]] = {}
 
-    def search(self, text: str, least: float) -> list[tuple]:
+    def search(self, text: str) -> list[tuple]:
         """``(item_id, part, words, of_words, start, end)`` of what the text contains."""
         if self.empty or not text:
             return []
-        normal = " " + " ".join(normal_words(text)) + " "
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for end, where in self.automaton.iter(normal):
-            for k, p in where:
-                hits[k].append((end, p))
-        if not hits:
+        plain = normal_words(text)
+        normal = " " + " ".join(plain) + " "
+        met, answered = set(), {}
+        for end, (seed, ks) in self.automaton.iter(normal):
+            if seed is not None:
+                met.add(seed)
+            for k in ks:
+                answered.setdefault(k, end)
+        likely = self.likely(plain, met)
+        if not likely and not answered:
             return []
-        found, words, index = [], None, None
-        for k, at in hits.items():
-            if k >= 0 and not self._likely(at, len(self.questions[k][1]), least):
-                continue
-            if words is None:
-                words = words_with_offsets(text)
-                if len(words) != normal.count(" ") - 1:  # cannot be placed: the whole text is given as the place
-                    words = [(w, 0, len(text)) for w in normal.split()]
-                index = [0]
-                for w, _, _ in words:
-                    index.append(index[-1] + len(w) + 1)
-            places = [self._word_at(index, end) for end, _ in at]
-            if k < 0:
-                item_id, n = self.questions[-1 - k][0], at[0][1]
-                last = places[0]
-                found.append((item_id, "answer", n, n, words[last - n + 1][1], words[last][2]))
-                continue
+        words = words_with_offsets(text)
+        if len(words) != len(plain):  # cannot be placed: the whole text is given as the place
+            words = [(w, 0, len(text)) for w in plain]
+        found = []
+        for k in likely:
             item_id, question = self.questions[k]
-            passage = best_passage(question, [w for w, _, _ in words], places)
-            if passage and passage[0] > least * len(question):
+            passage = best_passage(question, plain)
+            if passage and passage[0] > self.least * len(question):
                 found.append((item_id, "question", passage[0], len(question), words[passage[1]][1], words[passage[2]][2]))
+        for k, end in answered.items():
+            item_id, n = self.answers[k]
+            last = normal.count(" ", 0, end) - 1
+            found.append((item_id, "answer", n, n, words[last - n + 1][1], words[last][2]))
         return found
 
-    @staticmethod
-    def _word_at(index: list[int], end: int) -> int:
-        """Number of the word before the blank at ``end`` of the normalised text."""
-        return bisect.bisect_left(index, end) - 1
+    def likely(self, plain: list[str], met: set[int]) -> list[int]:
+        """Numbers of the questions of which the text may contain a passage; none that it does contain is missing."""
+        if not met or not self.questions:
+            return []
+        counts = np.bincount(np.concatenate([self.postings[n] for n in met]), minlength=len(self.questions))
+        enough = np.flatnonzero(counts >= self.needed)
+        if not len(enough):
+            return []
+        near = {pair for d in range(1, GAP + 2) for pair in zip(plain, plain[d:])}
+        return [k for k in enough.tolist() if self._in_pairs(k, near)]
 
-    @staticmethod
-    def _likely(at: list[tuple[int, int]], n: int, least: float) -> bool:
-        """Do runs in one stretch of the text, or in two of which one continues the other, cover half of what is needed, or more?"""
-        if n < 4 * SEED:
+    def _in_pairs(self, k: int, near: set[tuple[str, str]]) -> bool:
+        """Do more than the least share of a question's words stand with another one of them within reach?"""
+        words = self.questions[k][1]
+        if len(words) == 1:
             return True
-        start, best = 0, 0
-        ended = [0] * n  # most words of a stretch so far whose last run starts at each question word
-        for i in range(1, len(at) + 1):
-            if i == len(at) or at[i][0] - at[i - 1][0] > 120 or not 0 < at[i][1] - at[i - 1][1] <= 14:
-                size = len({p + d for _, p in at[start:i] for d in range(SEED)})
-                first, last = at[start][1], at[i - 1][1]
-                best = max(best, size + max(ended[max(0, first - 16) : first + 3], default=0))
-                ended[last] = max(ended[last], size)
-                start = i
-        return best >= 0.55 * least * n
+        if k not in self.steps:
+            steps: dict[tuple[str, str], int] = defaultdict(int)
+            for d in range(1, GAP + 2):
+                for i, pair in enumerate(zip(words, words[d:])):
+                    steps[pair] |= 1 << i | 1 << (i + d)
+            self.steps[k] = dict(steps)
+        steps, held = self.steps[k], 0
+        for pair in steps.keys() & near:
+            held |= steps[pair]
+        return held.bit_count() > self.least * len(words)
 
 
-def best_passage(question: list[str], words: list[str], places: list[int]) -> tuple[int, int, int] | None:
-    """``(question words in order, first word, last word)`` of the best passage around the given places.
+def best_passage(question: list[str], words: list[str]) -> tuple[int, int, int] | None:
+    """``(question words in order, first word, last word)`` of the best passage of a text.
 
     Chains of equal words with gaps of at most ``GAP``; one passage is one chain, or two with any other text
     between them, of which the second takes the question up where the first left it.
     """
-    reach = len(question) + 8
-    near: list[list[int]] = []
-    for p in sorted(places):
-        a, b = max(0, p - reach), min(len(words), p + reach)
-        if near and a <= near[-1][1]:
-            near[-1][1] = b
-        else:
-            near.append([a, b])
     where: dict[str, list[int]] = defaultdict(list)
     for i, w in enumerate(question):
         where[w].append(i)
-    # score, start place, chain id: of the best chain that ends with the pair (question word i, word j)
-    single: dict[tuple[int, int], tuple[int, int, int]] = {}
-    double: dict[tuple[int, int], tuple[int, int, int]] = {}
+    # By place j and question word i: score, start and words of the last chain, of the best chain or two that end there.  Only places within reach are kept.
+    single: dict[int, dict[int, tuple[int, int, int]]] = {}
+    double: dict[int, dict[int, tuple[int, int, int]]] = {}
+    nothing: dict = {}
     n = len(question)
     closed: list[tuple[int, int]] = [(0, 0)] * n  # best single chain so far that ends with question word i
     waiting: list[tuple[int, int, int, int]] = []
     best: tuple[int, int, int] | None = None
-    for a, b in near:
-        for j in range(a, b):
-            hits = where.get(words[j])
-            if not hits:
-                continue
-            while waiting and waiting[0][0] < j:
-                _, i, score, start = waiting.pop(0)
-                if closed[i][0] < score:
-                    closed[i] = (score, start)
-            for i in hits:
-                one, two = (1, j, 1), None
-                for di in range(1, GAP + 2):
-                    if i - di < 0:
-                        break
-                    for dj in range(1, GAP + 2):
-                        x = single.get((i - di, j - dj))
-                        if x and x[0] + 1 > one[0]:
-                            one = (x[0] + 1, x[1], x[2] + 1)
-                        y = double.get((i - di, j - dj))
-                        if y and (two is None or y[0] + 1 > two[0]):
-                            two = (y[0] + 1, y[1], y[2] + 1)
-                single[(i, j)] = one
-                score, start = max(closed[max(0, i - GAP - 1) : i], default=(0, 0))
-                if score >= LEAST_CHAIN and (two is None or score + 1 > two[0]):
-                    two = (score + 1, start, 1)
-                if two:
-                    double[(i, j)] = two
-                if one[2] >= LEAST_CHAIN:
-                    waiting.append((j, i, one[0], one[1]))
-                for x in (one, two):
-                    if x and x[2] >= min(LEAST_CHAIN, n) and (best is None or x[0] > best[0]):
-                        best = (x[0], x[1], j)
+    for j, word in enumerate(words):
+        hits = where.get(word)
+        if not hits:
+            continue
+        while waiting and waiting[0][0] < j:
+            _, i, score, start = waiting.pop(0)
+            if closed[i][0] < score:
+                closed[i] = (score, start)
+        for old in [k for k in single if k < j - GAP - 1]:
+            del single[old], double[old]
+        single[j], double[j] = {}, {}
+        for i in hits:
+            one, two = (1, j, 1), None
+            for di in range(1, GAP + 2):
+                if i - di < 0:
+                    break
+                for dj in range(1, GAP + 2):
+                    x = single.get(j - dj, nothing).get(i - di)
+                    if x and x[0] + 1 > one[0]:
+                        one = (x[0] + 1, x[1], x[2] + 1)
+                    y = double.get(j - dj, nothing).get(i - di)
+                    if y and (two is None or y[0] + 1 > two[0]):
+                        two = (y[0] + 1, y[1], y[2] + 1)
+            single[j][i] = one
+            score, start = max(closed[max(0, i - GAP - 1) : i], default=(0, 0))
+            if score >= LEAST_CHAIN and (two is None or score + 1 > two[0]):
+                two = (score + 1, start, 1)
+            if two:
+                double[j][i] = two
+            if one[2] >= LEAST_CHAIN:
+                waiting.append((j, i, one[0], one[1]))
+            for x in (one, two):
+                if x and x[2] >= min(LEAST_CHAIN, n) and (best is None or x[0] > best[0]):
+                    best = (x[0], x[1], j)
     return best
 
 
-def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5, max_items: int = 20_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5, max_items: int = 20_000, least_answer: int = 8) -> DataFrame:
     """``doc_id, item_id, part, words, of_words, start, end``: questions (more than ``least`` of their words) and whole answers.
 
-    documents: ``doc_id, text``; items: ``item_id, question, answer``; further columns are ignored.
+    documents: ``doc_id, text``; items: ``item_id, question, answer``; further columns are ignored.  Answers of fewer than
+    ``least_answer`` words are not searched, as they stand anywhere.
 
     Defined edge cases: null or empty texts and questions match nothing; questions without a word match nothing; a
-    repeated document or item row repeats its matches; an empty table on either side gives no rows; a null
-    ``doc_id`` or ``item_id`` is kept as null.
+    repeated document row repeats its matches, a repeated item row does not; an empty table on either side gives no
+    rows; a null ``doc_id`` or ``item_id`` is kept as null.
     """
-    total = items.count()
-    slices = max(1, -(-total // max_items))
-    out = None
+    part = items.select("item_id", "question", "answer").distinct()
     texts = documents.select("doc_id", "text").where("text is not null and text <> ''")
-    for k in range(slices):
-        part = items.select("item_id", "question", "answer")
-        if slices > 1:
-            part = part.where(F.pmod(F.xxhash64("item_id", "question"), F.lit(slices)) == k)
-        rows = [tuple(r) for r in part.collect()]  # at most about max_items rows
-        found = texts.mapInPandas(_scanner(rows, least), HITS)
+    total = part.count()
+    if total <= max_items:
+        return texts.mapInPandas(_scanner([tuple(r) for r in part.collect()], least, least_answer), HITS)
+    scratch = Scratch(documents.sparkSession, "leaks")
+    numbered = scratch.write(placed(part.withColumn("_all", F.lit(0)), ["_all"], [F.col(c) for c in part.columns]), "items")
+    out = None
+    for first in range(1, total + 1, max_items):
+        rows = [tuple(r) for r in numbered.where(F.col("place").between(first, first + max_items - 1)).select(*part.columns).collect()]
+        found = scratch.write(texts.mapInPandas(_scanner(rows, least, least_answer), HITS), "found")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _scanner(rows: list[tuple], least: float):
+def _scanner(rows: list[tuple], least: float, least_answer: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = LeakFinder(rows)
+        finder = LeakFinder(rows, least, least_answer)
         for batch in batches:
             hits = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                hits += [(doc_id, *x) for x in finder.search(text, least)]
+                hits += [(doc_id, *x) for x in finder.search(text)]
             yield pd.DataFrame(hits, columns=[c.split()[0] for c in HITS.split(", ")]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
     return scan
