@@ -9,8 +9,9 @@ them (one interruption).  Offsets of what was found refer to the original text.
 Two conditions that every passage meets keep the alignment rare; neither loses a passage.  (1) The automaton holds the
 ``SEEDS`` share of a question's words that are rarest among the questions.  Of more than half of all words, at
 least ``more than half - the words left out`` are among them, wherever changes fall; no run of intact words is needed.
-(2) Each word of a chain has another one of it within reach on both sides, so more than half of the question's words
-must stand in such pairs somewhere in the text.
+(2) Each word of a chain has another one of it within reach in question and text.  Places that stand in such pairs are
+cut into stretches where they are further apart than a chain reaches; a chain lies in one stretch, so two stretches
+must hold more than half of the question's words between them, and only such are aligned.
 
 Scale.  The scan is a map over the documents without a shuffle; only hits leave it.  The test items are shipped to the
 executors in slices of at most ``max_items`` rows, cut by their numbers; with several slices each one's hits are
@@ -91,13 +92,12 @@ class LeakFinder:
             if len(said) >= least_answer:
                 whole[" " + " ".join(said) + " "].append(len(self.answers))
                 self.answers.append((item_id, len(said)))
-        self.automaton = ahocorasick.Automaton()
         self.postings = [np.array(ks) for ks in seeds.values()]
-        patterns: dict[str, tuple[int | None, tuple[int, ...]]] = {f" {w} ": (n, ()) for n, w in enumerate(seeds)}
-        for text, ks in whole.items():
-            patterns[text] = (patterns.get(text, (None, ()))[0], tuple(ks))
-        for text, value in patterns.items():
-            self.automaton.add_word(text, value)
+        patterns = list(dict.fromkeys([f" {w} " for w in seeds] + list(whole)))  # the seeds come first, so their numbers are those of the postings
+        self.said = {n: whole[text] for n, text in enumerate(patterns) if text in whole}
+        self.automaton = ahocorasick.Automaton()
+        for n, text in enumerate(patterns):
+            self.automaton.add_word(text, n)
         if patterns:
             self.automaton.make_automaton()
         self.empty = not patterns
@@ -109,12 +109,12 @@ class LeakFinder:
             return []
         plain = normal_words(text)
         normal = " " + " ".join(plain) + " "
-        met, answered = set(), {}
-        for end, (seed, ks) in self.automaton.iter(normal):
-            if seed is not None:
-                met.add(seed)
-            for k in ks:
-                answered.setdefault(k, end)
+        met = {n for _, n in self.automaton.iter(normal)}
+        answered = {}
+        if not met.isdisjoint(self.said):
+            for end, n in self.automaton.iter(normal):
+                for k in self.said.get(n, ()):
+                    answered.setdefault(k, end)
         likely = self.likely(plain, met)
         if not likely and not answered:
             return []
@@ -124,7 +124,8 @@ class LeakFinder:
         found = []
         for k in likely:
             item_id, question = self.questions[k]
-            passage = best_passage(question, plain)
+            places = self.stretches(k, plain)
+            passage = best_passage(question, plain, places) if places else None
             if passage and passage[0] > self.least * len(question):
                 found.append((item_id, "question", passage[0], len(question), words[passage[1]][1], words[passage[2]][2]))
         for k, end in answered.items():
@@ -137,32 +138,63 @@ class LeakFinder:
         """Numbers of the questions of which the text may contain a passage; none that it does contain is missing."""
         if not met or not self.questions:
             return []
-        counts = np.bincount(np.concatenate([self.postings[n] for n in met]), minlength=len(self.questions))
+        counts = np.bincount(np.concatenate([self.postings[n] for n in met if n < len(self.postings)] or [np.zeros(0, np.int64)]), minlength=len(self.questions))
         enough = np.flatnonzero(counts >= self.needed)
         if not len(enough):
             return []
         near = {pair for d in range(1, GAP + 2) for pair in zip(plain, plain[d:])}
         return [k for k in enough.tolist() if self._in_pairs(k, near)]
 
-    def _in_pairs(self, k: int, near: set[tuple[str, str]]) -> bool:
-        """Do more than the least share of a question's words stand with another one of them within reach?"""
-        words = self.questions[k][1]
-        if len(words) == 1:
-            return True
+    def _pairs(self, k: int) -> dict[tuple[str, str], int]:
+        """Pairs of words within reach of each other in a question, with the set of the places of both as bits."""
         if k not in self.steps:
-            steps: dict[tuple[str, str], int] = defaultdict(int)
+            words, steps = self.questions[k][1], defaultdict(int)
             for d in range(1, GAP + 2):
                 for i, pair in enumerate(zip(words, words[d:])):
                     steps[pair] |= 1 << i | 1 << (i + d)
             self.steps[k] = dict(steps)
-        steps, held = self.steps[k], 0
+        return self.steps[k]
+
+    def _in_pairs(self, k: int, near: set[tuple[str, str]]) -> bool:
+        """Do more than the least share of a question's words stand with another one of them within reach?"""
+        words, steps, held = self.questions[k][1], self._pairs(k), 0
+        if len(words) == 1:
+            return True
         for pair in steps.keys() & near:
             held |= steps[pair]
         return held.bit_count() > self.least * len(words)
 
+    def stretches(self, k: int, plain: list[str]) -> list[int]:
+        """The places of a text at which words of a passage may stand; empty if it holds none."""
+        words, steps = self.questions[k][1], self._pairs(k)
+        own = set(words)
+        at = [j for j, w in enumerate(plain) if w in own]
+        if len(words) == 1:
+            return at
+        marked: dict[int, int] = {}
+        for n, j in enumerate(at):
+            for later in at[n + 1 : n + GAP + 2]:
+                if later - j > GAP + 1:
+                    break
+                if held := steps.get((plain[j], plain[later])):
+                    marked[j] = marked.get(j, 0) | held
+                    marked[later] = marked.get(later, 0) | held
+        groups: list[tuple[int, list[int]]] = []
+        last = None
+        for j in sorted(marked):
+            if last is None or j - last > GAP + 1:
+                groups.append((0, []))
+            groups[-1] = (groups[-1][0] | marked[j], groups[-1][1])
+            groups[-1][1].append(j)
+            last = j
+        sizes = sorted((held.bit_count() for held, _ in groups), reverse=True)[:2]
+        if sum(sizes) <= self.least * len(words):
+            return []
+        return [j for held, places in groups if held.bit_count() + sizes[0] > self.least * len(words) for j in places]
+
 
-def best_passage(question: list[str], words: list[str]) -> tuple[int, int, int] | None:
-    """``(question words in order, first word, last word)`` of the best passage of a text.
+def best_passage(question: list[str], words: list[str], places: list[int] | None = None) -> tuple[int, int, int] | None:
+    """``(question words in order, first word, last word)`` of the best passage of a text, of which only ``places`` are looked at.
 
     Chains of equal words with gaps of at most ``GAP``; one passage is one chain, or two with any other text
     between them, of which the second takes the question up where the first left it.
@@ -178,8 +210,8 @@ def best_passage(question: list[str], words: list[str]) -> tuple[int, int, int]
     closed: list[tuple[int, int]] = [(0, 0)] * n  # best single chain so far that ends with question word i
     waiting: list[tuple[int, int, int, int]] = []
     best: tuple[int, int, int] | None = None
-    for j, word in enumerate(words):
-        hits = where.get(word)
+    for j in range(len(words)) if places is None else places:
+        hits = where.get(words[j])
         if not hits:
             continue
         while waiting and waiting[0][0] < j:
