@@ -1,11 +1,13 @@
 """Keyword-stuffed and link-list pages, found by block-wise compression ratio and sentence punctuation.
 
 Each text is cut into blocks (paragraphs; short ones of one kind are joined).  A block's compression ratio
-is divided by the ratio usual for its length and language, which is the median over the prose blocks of
-the whole corpus.  Extremely redundant blocks are spam however they are punctuated; clearly redundant
-ones are spam if a low density of sentence ends and of clause words confirms that they hold no
-sentences.  Tables and code are redundant by nature and exempt.  A text is spam if more than half of its
-characters lie in spam blocks.
+is divided by the ratio usual for its length and language: the median over the prose blocks of the whole corpus, drawn
+towards that of all languages and a line over all lengths by as much as few blocks weigh, so no rule switches with
+the size of the corpus.  Extremely redundant blocks are spam however they are punctuated; clearly redundant ones
+are spam if a low density of sentence ends and of clause words confirms that they hold no sentences.  Tables and
+code are redundant by nature and exempt, but only with evidence in their cells and lines: numbers, assignments,
+calls or keywords of a language; separators, line ends and fences alone do not exempt.  A text is spam if more than
+half of its characters lie in spam blocks.
 
 Plan.  One Arrow pass over the texts (no shuffle) gives a few numbers per block, which are written once.
 The norms are one aggregation to at most 5 languages times 40 length classes, so they can be
@@ -30,43 +32,72 @@ SENTENCE_END = re.compile(r"[.!?…。！？][\"'»”“’)\]]*(?=\s|$)")
 WORD = re.compile(r"[^\W\d_]+")
 PARAGRAPHS = re.compile(r"\n[ \t\r]*\n")
 TABLE_LINE = re.compile(r"[ \t]*\|.*\|[ \t\r]*$|[^\t\n]*(?:\t[^\t\n]*){2,}$")
-CODE_LINE = re.compile(r"[ \t]*(?:[\w.]+ *(?:=|\+=|:=|==) *[\w.'\"({\[]|(?:def|for|if|while|return|import|from|class|function|var|let|const|SELECT|FROM|WHERE)\b.*[(:;{]|[{}()\];]+[ \t]*$)|.*[;{}]\s*$")
+CODE_LINE = re.compile(
+    r"[\w\])]\s*(?:[-+*/:|]?=|==|!=|<=|>=|->|=>)\s*[\w\"'({\[]|\w\([^()]{0,200}\)"
+    r"|\b(?:def|return|import|function|class|elif|for|while|if|var|let|const)\b.{0,200}[:({;]|\b(?:SELECT|FROM|WHERE|INSERT|UPDATE|CREATE)\b|^[ \t]*[{}()\];]+[ \t]*$"
+)
+ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
+NUMBER = re.compile(r"[±+\-−~<>≈]?\s*\d[\d.,  %€$£]*\s?\w{0,3}$")
 
 #: Blocks shorter than this have no compression ratio to speak of; they join a neighbour of their kind.
 SHORT = 240
-#: Blocks below this many characters are never spam by themselves.
+#: The compression ratio of prose by the binary logarithm of its bytes (level, slope, least), and its weight in blocks.
+PRIOR, PRIOR_BLOCKS = (1.36, -0.084, 0.25), 30
+#: A block of fewer characters, such as a lone title, is spam only if extremely redundant.
 LEAST = 100
 BLOCKS = "doc_id bigint, chars long, size int, ratio double, sentences double, clauses double, exempt boolean, lang string"
 
 
-def _kind(paragraph: str) -> str:
+def _is_table(lines: list[str]) -> bool:
+    """Most lines are rows, and at least a quarter of their cells are numbers."""
+    rows = [x for x in lines if TABLE_LINE.match(x)]
+    if 2 * len(rows) <= len(lines):
+        return False
+    cells = [c for x in rows for c in map(str.strip, re.split(r"[|\t]", x)) if c.strip("-: ")]
+    return 4 * sum(bool(NUMBER.match(c)) for c in cells) >= len(cells) > 0
+
+
+def _is_code(lines: list[str], fenced: bool) -> bool:
+    """Most lines, within a fence a quarter of them, hold what only code holds."""
+    lines = [x for x in lines if not x.lstrip().startswith(("```", "~~~"))]
+    return (4 if fenced else 2) * sum(bool(CODE_LINE.search(ADDRESS.sub(" ", x))) for x in lines) > len(lines)
+
+
+def _kind(paragraph: str, fenced: bool = False) -> str:
     lines = [x for x in paragraph.split("\n") if x.strip()]
-    if paragraph.lstrip().startswith(("```", "~~~")):
-        return "code"
-    if 2 * sum(bool(TABLE_LINE.match(x)) for x in lines) > len(lines):
+    if _is_table(lines):
         return "table"
-    if 2 * sum(bool(CODE_LINE.match(x)) for x in lines) > len(lines):
+    if _is_code(lines, fenced or paragraph.lstrip().startswith(("```", "~~~"))):
         return "code"
     return "prose" if SENTENCE_END.search(paragraph) else "bare"
 
 
 def text_blocks(text: str) -> list[tuple[str, str]]:
-    """``(kind, block)``: paragraphs; short neighbours of one kind are joined, and fenced code is one block."""
+    """``(kind, block)``: paragraphs; short neighbours of one kind are joined, and what stands in one fence is one block."""
     blocks: list[tuple[str, list[str]]] = []
-    fenced, size = False, 0  # size: characters of the last block
-    for p in PARAGRAPHS.split(text):
-        p = p.strip()
-        if not p:
-            continue
-        kind = "code" if fenced else _kind(p)
-        if p.count("```") % 2:
-            fenced = not fenced
-        if blocks and blocks[-1][0] == kind and (kind in ("code", "bare") or max(len(p), size) < SHORT):
-            blocks[-1][1].append(p)
-            size += len(p) + 1
+    fence: list[str] = []  # parts of an open fence
+    size = 0  # characters of the last block
+    for p in [*PARAGRAPHS.split(text), None]:
+        if p is not None:
+            p = p.strip()
+            if not p:
+                continue
+            if fence or p.count("```") % 2:
+                closes = bool(fence) and p.count("```") % 2 == 1
+                fence.append(p)
+                if not closes:
+                    continue
+        if p is None and not fence:
+            break
+        kind = _kind("\n".join(fence), True) if fence else _kind(p)
+        parts, fence = fence or [p], []
+        n = sum(map(len, parts)) + len(parts) - 1
+        if blocks and blocks[-1][0] == kind and (kind in ("code", "bare") or max(n, size) < SHORT):
+            blocks[-1][1].extend(parts)
+            size += n + 1
         else:
-            blocks.append((kind, [p]))
-            size = len(p)
+            blocks.append((kind, parts))
+            size = n
     return [(kind, "\n".join(parts)) for kind, parts in blocks]
 
 
@@ -109,14 +140,20 @@ def spam_shares(documents: DataFrame, redundant: float = 0.9, extreme: float = 0
     prose = blocks.where((F.col("sentences") >= sentences) & ~F.col("exempt"))
     norms = prose.groupBy("lang", "klass").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count("*").alias("n"))
     overall = prose.groupBy("klass").agg(F.percentile_approx("ratio", 0.5, 1000).alias("any_usual"), F.count("*").alias("any_n"))
-    # Long blocks are rare: their usual ratio is extrapolated from the fit of ratio on log size over all prose blocks.
-    line = prose.where("size >= 100").agg(F.regr_slope("ratio", F.log2(F.col("size").cast("double"))).alias("slope"), F.regr_intercept("ratio", F.log2(F.col("size").cast("double"))).alias("base")).first()  # two numbers
     judged = blocks.join(F.broadcast(norms), ["lang", "klass"], "left").join(F.broadcast(overall), ["klass"], "left")
-    fitted = F.greatest(F.lit(line["base"]) + F.lit(line["slope"]) * F.log2(F.col("size").cast("double")), F.lit(0.25))
-    usual = F.when(F.col("n") >= 30, F.col("usual")).when(F.col("any_n") >= 30, F.col("any_usual")).otherwise(fitted.cast("double"))
-    relative = F.col("ratio") / F.coalesce(usual, F.lit(0.6))
+    # Where a class has few blocks, the line of ratio on log size over all prose blocks counts; three numbers reach the driver.
+    log_size = F.log2(F.col("size").cast("double"))
+    line = prose.where("size >= 100").agg(F.regr_slope("ratio", log_size).alias("slope"), F.regr_intercept("ratio", log_size).alias("level"), F.count("*").alias("n")).first()
+    level, slope, least = PRIOR
+    share = line["n"] / (line["n"] + PRIOR_BLOCKS) if line["slope"] is not None else 0.0
+    level, slope = share * (line["level"] or 0.0) + (1 - share) * level, share * (line["slope"] or 0.0) + (1 - share) * slope
+    usual = F.greatest(F.lit(level) + F.lit(slope) * log_size, F.lit(least))
+    for n, median in (("any_n", "any_usual"), ("n", "usual")):
+        weight = F.coalesce(F.col(n), F.lit(0))
+        usual = (weight * F.coalesce(F.col(median), F.lit(0.0)) + PRIOR_BLOCKS * usual) / (weight + PRIOR_BLOCKS)
+    relative = F.col("ratio") / usual
     bare = (F.col("sentences") < sentences) & (F.col("clauses") < clauses)
-    spam = ~F.col("exempt") & (F.col("chars") >= LEAST) & ((relative < extreme) | ((relative < redundant) & bare))
+    spam = ~F.col("exempt") & ((relative < extreme) | ((relative < redundant) & bare & (F.col("chars") >= LEAST)))
     shares = judged.groupBy("doc_id").agg(F.sum("chars").alias("n_chars"), F.sum(F.when(spam, F.col("chars")).otherwise(0)).alias("spam_chars"))
     return shares.withColumn("spam_share", F.col("spam_chars") / F.col("n_chars"))
 

@@ -45,12 +45,25 @@ def test_spam_is_found(spark):
     assert shares[1000]["n_chars"] == 2 * len(spam[1000])
 
 
+def test_separators_and_fences_do_not_exempt(spark):
+    rows, _, _ = corpus()
+    words = ["media mix", "roi calculator", "coupon printing"]
+    lists = {
+        1: "\n".join(f"cheap {w}; buy {w}; best {w};" for w in words * 20), 2: "\n".join(f"cheap {w}\tbuy {w}\tbest {w}" for w in words * 20), 3: "\n".join(f"| cheap {w} | buy {w} | best {w} |" for w in words * 20),
+        4: "```\n" + "\n".join(f"cheap {w}, buy {w}, best {w}" for w in words * 20) + "\n```", 5: "media planner " * 6,
+    }
+    real = {6: "Week\tradio\tprint\n" + "\n".join(f"{i}\t{i * 37 % 101}\t{i * 53 % 97}.5" for i in range(40)), 7: "```\n" + "\n".join(f"spend = load('radio {i % 3}')\nfit(spend)\n" for i in range(30)) + "\n```"}
+    for corpus_rows in (rows, rows[:40], []):  # the verdicts do not hang on how much else there is
+        df = spark.createDataFrame([*((i + 10, t) for i, t in corpus_rows), *lists.items(), *real.items()], "doc_id long, text string")
+        assert sorted(r[0] for r in S.spam_pages(df).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_empty(spark):
     assert S.spam_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_blocks():
-    kinds = [k for k, _ in S.text_blocks("Word list here\n\nMore of it\n\nA sentence ends.\n\n```\ncode\n\nmore code\n```\n\n| a | b |\n| 1 | 2 |")]
+    kinds = [k for k, _ in S.text_blocks("Word list here\n\nMore of it\n\nA sentence ends.\n\n```\nx = 1\n\nfit(x)\n```\n\n| a | b |\n| 1 | 2 |")]
     assert kinds == ["bare", "prose", "code", "table"]
 
 
