@@ -141,12 +141,14 @@ def spam_shares(documents: DataFrame, redundant: float = 0.9, extreme: float = 0
     norms = prose.groupBy("lang", "klass").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count("*").alias("n"))
     overall = prose.groupBy("klass").agg(F.percentile_approx("ratio", 0.5, 1000).alias("any_usual"), F.count("*").alias("any_n"))
     judged = blocks.join(F.broadcast(norms), ["lang", "klass"], "left").join(F.broadcast(overall), ["klass"], "left")
-    # Where a class has few blocks, the line of ratio on log size over all prose blocks counts; three numbers reach the driver.
+    # Where a class has few blocks, the line of ratio on log size over all prose blocks counts, which never rises, as longer
+    # texts compress no worse; four numbers reach the driver.
     log_size = F.log2(F.col("size").cast("double"))
-    line = prose.where("size >= 100").agg(F.regr_slope("ratio", log_size).alias("slope"), F.regr_intercept("ratio", log_size).alias("level"), F.count("*").alias("n")).first()
+    line = prose.where("size >= 100").agg(F.regr_slope("ratio", log_size).alias("slope"), F.avg(log_size).alias("x"), F.avg("ratio").alias("y"), F.count("*").alias("n")).first()
     level, slope, least = PRIOR
-    share = line["n"] / (line["n"] + PRIOR_BLOCKS) if line["slope"] is not None else 0.0
-    level, slope = share * (line["level"] or 0.0) + (1 - share) * level, share * (line["slope"] or 0.0) + (1 - share) * slope
+    if line["n"]:
+        share, own = line["n"] / (line["n"] + PRIOR_BLOCKS), min(0.0, line["slope"] or 0.0)
+        level, slope = share * (line["y"] - own * line["x"]) + (1 - share) * level, share * own + (1 - share) * slope
     usual = F.greatest(F.lit(level) + F.lit(slope) * log_size, F.lit(least))
     for n, median in (("any_n", "any_usual"), ("n", "usual")):
         weight = F.coalesce(F.col(n), F.lit(0))
