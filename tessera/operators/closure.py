@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import Scratch
 
+#: A group with more than this part of all rows is hot.
+HOT_SHARE = 256
+
 
 def oriented(pairs: DataFrame) -> DataFrame:
     """Distinct edges ``topic, a, b`` with ``a < b``; pairs of a name with itself are left out."""
@@ -56,11 +59,19 @@ def minimum_pointers(scratch: Scratch, edges: DataFrame) -> list[DataFrame]:
     return steps
 
 
-def smallest_of_groups(rows: DataFrame, name: str, group: str) -> DataFrame:
-    """``rows`` with the smallest ``name`` of each ``group`` of a topic in place of it."""
-    least = rows.groupBy("topic", group).agg(F.min(name).alias("_least"))
+def smallest_of_groups(scratch: Scratch, rows: DataFrame, name: str, group: str) -> DataFrame:
+    """``rows`` with the smallest ``name`` of each ``group`` of a topic in place of it.
+
+    Groups that hold 1 / ``HOT_SHARE`` of all rows or more, of which there are at most ``HOT_SHARE``, are broadcast, so no
+    task gets all rows of a giant group.
+    """
+    rows = scratch.write(rows, "grouped")
+    least = scratch.write(rows.groupBy("topic", group).agg(F.min(name).alias("_least"), F.count("*").alias("_n")), "least")
+    hot = F.broadcast(least.where(F.col("_n") * HOT_SHARE >= rows.count()).drop("_n"))
     others = [c for c in rows.columns if c != group]
-    return rows.join(least, ["topic", group]).select(*others, F.col("_least").alias(group))
+    giant = rows.join(hot, ["topic", group])
+    rest = rows.join(hot, ["topic", group], "left_anti").join(least.drop("_n"), ["topic", group])
+    return giant.unionByName(rest).select(*others, F.col("_least").alias(group))
 
 
 def followed(rows: DataFrame, column: str, steps: list[DataFrame]) -> DataFrame:
@@ -78,4 +89,4 @@ def closure(pairs: DataFrame) -> DataFrame:
     edges = scratch.write(oriented(pairs), "edges")
     names = pairs.select("topic", F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
     found = followed(names.withColumn("root", F.col("id")), "root", minimum_pointers(scratch, edges))
-    return smallest_of_groups(found, "id", "root").select("topic", "id", "root")
+    return smallest_of_groups(scratch, found, "id", "root").select("topic", "id", "root")
