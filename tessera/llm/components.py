@@ -1,10 +1,10 @@
 """Consolidating pairwise matches into groups: connected components of a pair table.
 
-Plan.  (1) The likeliest giant component is peeled first: from the vertex of highest degree a
-breadth-first search joins the frontier with the edges, round by round, until nothing new is
-reached or ``bfs_rounds`` are over.  What was reached gets one common label and is anti-joined away;
-if the search was cut short, the edges that leave the reached part are kept with the reached part
-contracted into its smallest vertex, so no link is lost.  (2) The remaining small components are
+Plan.  (1) Every topic is a graph of its own, and its likeliest giant component is peeled first: from the
+topic's vertex of highest degree a breadth-first search joins the frontier with the edges, for all topics at once, round by
+round, until nothing new is reached or ``bfs_rounds`` are over.  What was reached gets that vertex as its label and is
+anti-joined away; if the search was cut short, the edges that leave the reached part are kept with the reached part
+contracted into that vertex, so no link is lost.  (2) The remaining small components are
 labelled by minimum propagation with contraction: each vertex takes the least vertex among itself and its
 neighbours in an order hashed anew each round, and the edges are rewritten to what their ends took.  A
 chain of n vertices takes about log n rounds in whatever order its names are, not n.  (3) Each component
@@ -46,35 +46,32 @@ def connected_groups(pairs: DataFrame, left: str = "alias", right: str = "canoni
         clean.select("topic", F.explode(F.array("a", "b")).alias("name")).where("name <> ''").distinct()
     )
     edges = scratch.write(oriented(clean.where("a <> '' and b <> ''")), "edges")
-    labels, edges = _peel_giant(scratch, edges, bfs_rounds)
+    labels, edges = _peel_giants(scratch, edges, bfs_rounds)
     pointers = minimum_pointers(scratch, edges)
 
     named = vertices.join(labels, KEY, "left") if labels is not None else vertices.withColumn("group_name", F.lit(None).cast("string"))
     named = followed(named.withColumn("group_name", F.coalesce("group_name", "name")), "group_name", pointers)
-    return smallest_of_groups(named, "name", "group_name").select("topic", "name", "group_name")
+    return smallest_of_groups(scratch, named, "name", "group_name").select("topic", "name", "group_name")
 
 
-def _peel_giant(scratch: Scratch, edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
-    """The reached part with its label (its smallest name), and the edges that remain."""
+def _peel_giants(scratch: Scratch, edges: DataFrame, rounds: int) -> tuple[DataFrame | None, DataFrame]:
+    """What was reached in each topic with its label, the vertex that the search began at, and the edges that remain."""
     degree = both_ways(edges).groupBy(*KEY).agg(F.count("*").alias("degree"))
-    hub = degree.orderBy(F.desc("degree"), "topic", "name").limit(1).select(*KEY)
-    reached = scratch.write(hub, "reached")
-    frontier, paths = reached, [scratch.last]
+    hub = degree.groupBy("topic").agg(F.min_by("name", F.struct((-F.col("degree")).alias("d"), "name")).alias("name"))
+    reached = scratch.write(hub.select("topic", "name", F.col("name").alias("group_name")), "reached")
     if reached.isEmpty():
         return None, edges
-    done = False
-    for k in range(rounds):
-        step = both_ways(edges).join(frontier, KEY, "left_semi").select("topic", F.col("other").alias("name")).distinct()
+    frontier, paths, done = reached, [scratch.last], False
+    for _ in range(rounds):
+        # A topic has one start, so all that is reached in it has one label, and a row of each pair is enough.
+        step = both_ways(edges).join(frontier, KEY).select("topic", F.col("other").alias("name"), "group_name").distinct()
         frontier = scratch.write(step.join(reached, KEY, "left_anti"), "frontier")
         paths.append(scratch.last)
         if frontier.isEmpty():
             done = True
             break
         reached = scratch.spark.read.schema(reached.schema).parquet(*paths)
-    smallest = reached.groupBy("topic").agg(F.min("name").alias("group_name"))  # one row: one component has one topic
-    labels = reached.join(F.broadcast(smallest), "topic").select(*KEY, "group_name")
     start = reached.select("topic", F.col("name").alias("a"))
     if done:  # an edge whose one end was reached has both ends reached
-        return labels, scratch.write(edges.join(start, ["topic", "a"], "left_anti"), "rest")
-    to = labels.select("topic", F.col("name"), F.col("group_name").alias("to"))
-    return labels, scratch.write(rewritten(edges, to), "rest")
+        return reached, scratch.write(edges.join(start, ["topic", "a"], "left_anti"), "rest")
+    return reached, scratch.write(rewritten(edges, reached.select("topic", "name", F.col("group_name").alias("to"))), "rest")

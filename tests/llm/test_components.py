@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tessera.llm import components
 from tessera.llm.components import connected_groups
 
 PAIR = "topic string, alias string, canonical string, name string, a string"
@@ -50,3 +51,16 @@ def test_shapes_against_union_find(spark, rounds):
     rows += [(rng.choice("tu"), rng.choice(order[310:]), rng.choice(order[310:])) for _ in range(40)]
     rng.shuffle(rows)
     assert run(spark, rows, bfs_rounds=rounds) == brute(rows)
+
+
+@pytest.mark.parametrize("rounds", [2, 8])
+def test_the_giant_of_every_topic_is_peeled(spark, rounds):
+    """Topics with giants of unequal size and shape, and small components besides."""
+    rows = [("a", "hub", f"n{i:03}") for i in range(200)] + [("b", f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("b", "n020", f"x{i}") for i in range(9)]
+    rows += [("c", f"n{i:03}", f"n{i // 2:03}") for i in range(1, 60)] + [(t, f"s{i}", f"t{i}") for t in "abc" for i in range(5)]
+    assert run(spark, rows, bfs_rounds=rounds) == brute(rows)
+    scratch = components.Scratch(spark, "peel")
+    edges = spark.createDataFrame([(t, min(a, b), max(a, b)) for t, a, b in rows], "topic string, a string, b string")
+    reached, rest = components._peel_giants(scratch, edges, rounds)
+    assert {r["topic"] for r in reached.collect()} == {"a", "b", "c"}
+    assert not rest.where("topic = 'a' and (a = 'hub' or b = 'hub')").count()
