@@ -1,27 +1,28 @@
 """The engine: topics with their folders and stored graphs, and what can be asked of them.
 
-A topic's graph is a set of Parquet tables under ``<graphs>/<topic>``.  Builds, merges and exports are plans over
-these; prompts, the final answer and notes of one page are made on the driver.
+A topic's graph is a set of Parquet tables under ``<graphs>/<topic>``, on any file system that Spark reaches; a new version
+of a table takes effect by one switch of its pointer.  Builds, merges and exports are plans over these; prompts, the final answer and notes of one page are made on the driver.
 """
 
 from __future__ import annotations
 
 import json
-import shutil
 import time
 import uuid
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import models
 from tessera.functions import text as T
 from tessera.operators import community, dedup, graph, incremental, index, search, upsert
+from tessera.operators.ranking import placed
 from tessera.session import Scratch
 from tessera.sources.files import parse_topic
+from tessera.sources.store import Store
 
 TABLES = {
     "nodes": "topic string, id string, name string, type string, description string, sources array<string>, ord bigint",
@@ -35,6 +36,7 @@ TABLES = {
     "pinned": "id string, question string, answer string, mode string, created_at bigint",
     "build_meta": "topic string, document_count bigint, node_count bigint, edge_count bigint, community_count bigint, built_at double",
 }
+RESOLVE_SECONDS = 120.0
 NO_SUMMARIES = "No community summaries found. Please build the graph first."
 NOT_ENOUGH = "I don't have enough information in the knowledge graph to answer that question."
 
@@ -45,8 +47,9 @@ class Busy(RuntimeError):
 
 class Engine:
     def __init__(self, spark: SparkSession, raw: str, graphs: str, model: models.TextModel | None = None, embedder: models.Embedder | None = None):
-        self.spark, self.raw, self.graphs = spark, Path(raw), Path(graphs)
-        self.model, self.embedder = model or models.ExtractiveModel(), embedder
+        self.spark, self.raw, self.graphs = spark, str(raw).rstrip("/"), str(graphs).rstrip("/")
+        self.model = model or models.ExtractiveModel()
+        self.embedder = embedder if getattr(embedder, "available", lambda: True)() else None  # without its package there is no similarity
         self.running: dict[str, dict] = {}
 
     def config(self, base_url: str = "") -> dict:
@@ -55,8 +58,9 @@ class Engine:
 
     def topics(self) -> list[dict]:
         """Topics that have a folder or a graph, with their status."""
-        names = {p.name for base in (self.raw, self.graphs) if base.is_dir() for p in base.iterdir() if p.is_dir()}
-        return [{"topic": n, "has_raw": (self.raw / n).is_dir(), **self.topic(n).status()} for n in sorted(names)]
+        raw = set(Store(self.spark, self.raw).folders())
+        names = raw | set(Store(self.spark, self.graphs).folders())
+        return [{"topic": n, "has_raw": n in raw, **self.topic(n).status()} for n in sorted(names)]
 
     def topic(self, name: str) -> Topic:
         return Topic(self, name)
@@ -65,27 +69,24 @@ class Engine:
 class Topic:
     def __init__(self, engine: Engine, name: str):
         self.engine, self.spark, self.name = engine, engine.spark, name
-        self.folder = engine.graphs / name
+        self.store = Store(engine.spark, f"{engine.graphs}/{name}")
 
     # Storage
 
     def table(self, name: str) -> DataFrame:
         """A stored table; empty where it was never written."""
-        path = self.folder / name
-        if (path / "_SUCCESS").exists():
-            return self.spark.read.schema(TABLES[name]).parquet(str(path))
-        return self.spark.createDataFrame([], TABLES[name])
+        return self.store.table(name, TABLES[name])
 
     def save(self, name: str, rows: DataFrame) -> None:
-        """Replaces a table; it is written beside the old one first, which the rows may be read from."""
-        fresh, path = self.folder / f".{name}-{uuid.uuid4().hex}", self.folder / name
-        cols = [f.split()[0] for f in TABLES[name].split(", ")]
-        rows.select(*cols).write.parquet(str(fresh))
-        shutil.rmtree(path, ignore_errors=True)
-        fresh.rename(path)
+        """Replaces a table, from whose old version the rows may be read."""
+        self.store.replace(name, rows.select(*[f.split()[0] for f in TABLES[name].split(", ")]))
 
     def exists(self) -> bool:
-        return (self.folder / "nodes" / "_SUCCESS").exists()
+        return self.store.version("nodes") is not None
+
+    def settings(self) -> dict:
+        """The context and the vocabulary of the last build."""
+        return json.loads(self.store.read_text("settings.json") or "{}")
 
     def _scratch(self) -> Scratch:
         return Scratch(self.spark, "engine")
@@ -114,20 +115,32 @@ class Topic:
     # Build
 
     def build(self, force: bool = False, context: str = "", entity_types: list[str] | None = None, relation_types: list[str] | None = None, context_window: int = 81_920, max_documents: int = 50, replace_modified: bool = False, cluster_size: int = 10) -> dict:
-        """Builds or updates the graph from the topic's folder; only new and changed files are extracted unless ``force``."""
-        return self._run("building", lambda task: self._build(task, force, context, models.ENTITY_TYPES if entity_types is None else entity_types, models.RELATION_TYPES if relation_types is None else relation_types, context_window, max_documents, replace_modified, cluster_size))
+        """Builds or updates the graph from the topic's folder; only new and changed files are extracted unless ``force``.
+
+        Context and vocabulary are kept; what is not given is as in the last build.
+        """
+        kept = self.settings()
+        context = context or kept.get("context", "")
+        entity_types = kept.get("entity_types", models.ENTITY_TYPES) if entity_types is None else entity_types
+        relation_types = kept.get("relation_types", models.RELATION_TYPES) if relation_types is None else relation_types
+
+        def go(task):
+            self.store.write_text("settings.json", json.dumps({"context": context, "entity_types": entity_types, "relation_types": relation_types}, ensure_ascii=False))
+            self._build(task, force, context, entity_types, relation_types, context_window, max_documents, replace_modified, cluster_size)
+
+        return self._run("building", go)
 
     def _build(self, task, force, context, entity_types, relation_types, window, most, replace_modified, cluster_size) -> None:
         topic = F.lit(self.name).alias("topic")
-        self.folder.mkdir(parents=True, exist_ok=True)
         scratch = self._scratch()
-        docs = scratch.write(parse_topic(self.spark, str(self.engine.raw / self.name)).select(topic, "filename", "text", "source", "mtime"), "docs")
+        docs = scratch.write(parse_topic(self.spark, f"{self.engine.raw}/{self.name}").select(topic, "filename", "text", "source", "mtime"), "docs")
         full = force or not self.exists()
         manifest = self.table("manifest") if not full else self.spark.createDataFrame([], TABLES["manifest"])
         diff = scratch.write(incremental.manifest_diff(docs, manifest), "diff")
         changed, removed = diff.where("change = 'changed'"), diff.where("change = 'removed'")
         if not full and changed.isEmpty() and removed.isEmpty():
             task["up_to_date"] = True
+            scratch.clear()
             return
         todo = docs.join(changed, ["topic", "filename"], "left_semi")
         if full:  # the cap holds for full builds only; what it leaves out stays out of the manifest
@@ -140,7 +153,8 @@ class Topic:
         nodes, edges = upsert.remove_sources(nodes, edges, gone.select("topic", F.col("filename").alias("source")))
         start = nodes.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1
         start = max(start, edges.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1)
-        new_entities, new_edges = self._extract(scratch, todo, context, entity_types, relation_types, window, start)
+        task["documents"] = todo.count()
+        new_entities, new_edges = self._extract(scratch, todo, context, entity_types, relation_types, window, start, task)
         old_rows = nodes.select("topic", "id", "name", "type", "description", F.explode_outer("sources").alias("source"), "ord")
         merged = upsert.upsert_nodes(old_rows.unionByName(new_entities))
         all_edges = edges.select("topic", "src", "label", "dst", "description", "ord", "source").unionByName(new_edges)
@@ -149,17 +163,22 @@ class Topic:
         self.save("manifest", docs.join(todo.select("topic", "filename").unionByName(diff.where("change = 'unchanged'").select("topic", "filename")), ["topic", "filename"], "left_semi").select("topic", "filename", "mtime"))
         n_docs = self.table("manifest").count()
         self._meta(n_docs)
+        scratch.clear()
 
-    def _extract(self, scratch: Scratch, docs: DataFrame, context: str, entity_types: list[str], relation_types: list[str], window: int, start: int) -> tuple[DataFrame, DataFrame]:
+    def _extract(self, scratch: Scratch, docs: DataFrame, context: str, entity_types: list[str], relation_types: list[str], window: int, start: int, task: dict) -> tuple[DataFrame, DataFrame]:
         """Rows of entities and edges from documents: summary, extraction, vocabulary, and nodes for ends that lack one."""
         model, prompt = self.engine.model, models.extraction_prompt(entity_types, relation_types, context)
         short = docs.select("topic", "filename", T.truncated(F.col("text"), window).alias("text"))
         summaries = models.map_model(short.where(F.length("text") > 1500).withColumn("prompt", F.concat(F.lit("Summarise this document.\n\n"), "text")), model, "summarise", ["topic", "filename"], "summary")
         ready = short.join(summaries.drop("error"), ["topic", "filename"], "left").select("topic", "filename", F.coalesce("summary", "text").alias("text"))
         answers = models.map_model(ready.withColumn("prompt", F.replace(F.lit(prompt), F.lit("{text}"), F.col("text"))), model, "extract", ["topic", "filename"])
+        seen = Observation()
+        answers = answers.observe(seen, F.count("*").alias("done"), F.count("error").alias("failed"))
         found = scratch.write(models.parsed_extractions(answers, ["topic", "filename"]), "found")
-        position = F.dense_rank().over(W.partitionBy("topic").orderBy("filename")) - 1
-        found = found.withColumn("base", F.lit(start) + position.cast("long") * 1_000_000)
+        task.update(documents_done=seen.get["done"], documents_failed=seen.get["failed"])
+        # Files are numbered by their names alone, so no task holds the extractions of a topic.
+        numbers = placed(found.select("topic", "filename").distinct(), ["topic"], [F.col("filename")])
+        found = found.join(numbers, ["topic", "filename"]).withColumn("base", F.lit(start) + (F.col("place") - 1) * 1_000_000).drop("place")
         e = found.select("topic", "filename", "base", F.posexplode("entities").alias("p", "e")).where("trim(e.name) <> ''")
         r = found.select("topic", "filename", "base", F.posexplode("relationships").alias("p", "r")).where("trim(r.source) <> '' and trim(r.target) <> ''")
         clean = lambda c: F.replace(F.trim(c), F.lit('"'), F.lit(" "))
@@ -196,7 +215,8 @@ class Topic:
         lines = named.unionByName(graph.relationship_lines(edges, assigned)).groupBy("topic", "community").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("text"))
         asked = lines.withColumn("prompt", F.concat(F.lit("Summarise this group of entities and relationships.\n\n"), "text"))
         said = models.map_model(asked, self.engine.model, "community", ["topic", "community"], "summary").where("summary is not null")
-        return said.select("topic", "community", "summary", F.row_number().over(W.partitionBy("topic").orderBy("community")).cast("long").alias("ord"))
+        said = self._scratch().write(said.select("topic", "community", "summary"), "summaries")  # answers of a model are asked for once
+        return said.join(placed(said.select("topic", "community"), ["topic"], [F.col("community")], "ord"), ["topic", "community"])
 
     def _meta(self, n_docs: int) -> None:
         simple = graph.undirected(graph.valid_edges(self.table("edges"), self.table("nodes"))).count()
@@ -214,8 +234,9 @@ class Topic:
             learned = self._resolve(nodes)
             given = [(self.name, a, c, "ontology", None) for a, c in (aliases or {}).items()]
             known = self.table("aliases").unionByName(learned).unionByName(self.spark.createDataFrame(given, TABLES["aliases"]))
-            latest = F.row_number().over(W.partitionBy("topic", "alias", "origin").orderBy(F.desc_nulls_last("learned_at"), "canonical"))
-            self.save("aliases", known.withColumn("k", latest).where("k = 1").drop("k"))
+            latest = F.struct((-F.coalesce(F.unix_micros("learned_at"), F.lit(-(2**62)))).alias("t"), "canonical")
+            kept = known.groupBy("topic", "alias", "origin").agg(F.min_by(F.struct("canonical", "learned_at"), latest).alias("x"))
+            self.save("aliases", kept.select("topic", "alias", "x.canonical", "origin", "x.learned_at"))
             if recluster:
                 self._finish(scratch, nodes, edges, cluster_size)
             else:
@@ -229,6 +250,7 @@ class Topic:
                 self.save("node_community", assigned)
                 self.save("articles", articles)
             self._meta(self.table("manifest").count())
+            scratch.clear()
 
         return self._run("merging", go)
 
@@ -236,6 +258,7 @@ class Topic:
         """Aliases that the model finds in batches of names: JSON groups whose first name is the canonical one.
 
         Two passes: by signature, then by type and name over what the first left unmerged; a decision of the first holds.
+        A batch that takes longer than ``RESOLVE_SECONDS`` is left out.  A model that reasons first gets smaller batches.
         """
         scratch = self._scratch()
         first = scratch.write(self._resolve_pass(nodes, "signature"), "first")
@@ -247,19 +270,24 @@ class Topic:
     def _resolve_pass(self, asked_for: DataFrame, by: str, nodes: DataFrame | None = None) -> DataFrame:
         """``topic, alias, canonical``: what the model decides about some of the nodes, in batches of one order."""
         short = asked_for.withColumn("description", F.substring("description", 1, 120))
-        batches = dedup.resolver_batches(short, by=by).join(short, ["topic", "id"])
+        most = 15 if getattr(self.engine.model, "reasons", False) else 25
+        batches = dedup.resolver_batches(short, most, by=by).join(short, ["topic", "id"])
         asked = batches.groupBy("topic", "batch").agg(F.array_join(F.array_sort(F.collect_list(dedup.resolver_line())), "\n").alias("text"))
         asked = asked.withColumn("prompt", F.concat(F.lit("Which of these names mean the same? Answer with JSON lists of names.\n"), "text"))
-        said = models.map_model(asked, self.engine.model, "resolve", ["topic", "batch"])
+        said = models.map_model(asked, self.engine.model, "resolve", ["topic", "batch"], seconds=RESOLVE_SECONDS)
         groups = said.select("topic", "batch", F.posexplode(F.from_json(T.json_block(T.without_fence(F.coalesce("answer", F.lit("")))), "array<array<string>>")).alias("place", "g"))
         return dedup.decided_aliases(groups, asked_for if nodes is None else nodes)
 
     # Views
 
-    def index(self) -> DataFrame:
+    def connected(self) -> DataFrame:
         """Nodes with degree and community."""
         return graph.with_degree(self.table("nodes"), self.table("edges")).join(self.table("node_community"), ["topic", "id"], "left")
 
+    def index(self) -> DataFrame:
+        """The entity index: nodes with degree, community, a type in any case, and the first line of the description."""
+        return index.entity_index(self.connected())
+
     def index_markdown(self) -> str:
         idx = self.index()
         lines = index.index_lines(idx).orderBy("section", "place")
@@ -307,7 +335,7 @@ class Topic:
 
     def node(self, node_id: str, generate: bool = False, force: bool = False) -> dict:
         """A node with its neighbours, and its article, written now if asked for."""
-        found = self.index().where(F.col("id") == node_id).collect()
+        found = self.connected().where(F.col("id") == node_id).collect()
         if not found:
             raise KeyError(node_id)
         near = graph.neighbours(self.table("edges"), self.table("nodes")).where(F.col("id") == node_id)
@@ -317,14 +345,17 @@ class Topic:
         if generate and (force or not article):
             summary = self.table("community_summaries").where(F.col("community") == found[0]["community"]).collect()
             text = "\n\n".join([found[0]["description"] or node_id, "\n".join(r["line"] for r in lines) or "No relationships.", summary[0]["summary"] if summary else "No cluster."])
-            article = self.engine.model.complete("article", f"Write three paragraphs about {node_id}.\n\n{text}", text=text).rsplit("</think>", 1)[-1].strip()
-            others = self.table("articles").where(F.col("id") != node_id)
-            self.save("articles", others.unionByName(self.spark.createDataFrame([(self.name, node_id, article)], TABLES["articles"])))
+            had, article = article, models.complete(self.engine.model, "article", f"Write three paragraphs about {node_id}.\n\n{text}", text=text)
+            new = self.spark.createDataFrame([(self.name, node_id, article)], TABLES["articles"])
+            if had is None:
+                self.store.append("articles", new)
+            else:
+                self.save("articles", self.table("articles").where(F.col("id") != node_id).unionByName(new))
         return found[0].asDict() | {"outgoing": [r["line"] for r in lines if r["direction"] == "out"], "incoming": [r["line"] for r in lines if r["direction"] == "in"], "article": article}
 
     def notes(self) -> DataFrame:
         """``stem, body`` of one Markdown note per node, with front matter, description, article, cluster and links."""
-        nodes, edges = self.index(), self.table("edges")
+        nodes, edges = self.connected(), self.table("edges")
         stems = index.file_stems(nodes)
         near = graph.neighbours(edges, nodes, loops_once=False).join(stems.select("topic", F.col("id").alias("other"), "stem"), ["topic", "other"], "left")
         link = F.when(F.col("stem").isNotNull(), F.concat(F.lit("[["), "stem", F.lit("|"), "other", F.lit("]]"))).otherwise(F.concat(F.lit("`"), "other", F.lit("`")))
@@ -346,16 +377,25 @@ class Topic:
         """Writes the notes and an overview into a folder and returns how many notes there are."""
         out = Path(target)
         out.mkdir(parents=True, exist_ok=True)
+        return self._export(lambda name, body: (out / name).write_text(body, encoding="utf-8"))
+
+    def export_zip(self, path: str) -> int:
+        """The same as one archive."""
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            return self._export(lambda name, body: z.writestr(f"{self.name}/{name}", body))
+
+    def _export(self, put) -> int:
+        """Gives every note to ``put``; notes come a partition at a time, so the driver never holds the graph."""
         n = 0
         for r in self.notes().toLocalIterator():
-            (out / f"{r['stem']}.md").write_text(r["body"], encoding="utf-8")
+            put(f"{r['stem']}.md", r["body"])
             n += 1
         hubs = graph.top_hubs(self.table("nodes"), self.table("edges")).join(index.file_stems(self.table("nodes")), ["topic", "id"]).orderBy("place").collect()
         types = index.type_counts(self.table("nodes")).orderBy("type").collect()
         lines = [f"# {self.name}", "", f"_{n} entity notes · {self.table('community_summaries').count()} communities_", "", "## Top hubs", ""]
         lines += [f"- [[{h['stem']}|{h['name']}]] ({h['type']}) — {h['degree']} connections" for h in hubs] + ["", "## By type", ""]
         lines += [f"- **{t['type']}** — {t['n_entities']} entities" for t in types] + [""]
-        (out / "_index.md").write_text("\n".join(lines), encoding="utf-8")
+        put("_index.md", "\n".join(lines))
         return n
 
     # Questions
@@ -416,11 +456,14 @@ class Topic:
             return
         answers = "\n\n---\n\n".join(r["answer"] for r in rows)
         prompt = f"Question: {question}\n\n{self.digest()}\n\nEvidence:\n{answers}\n\nCite entities as [[name]]." + ("" if mode == "graph" else " You may add what you know, marked as such.")
+        raw = ""
         try:
-            raw = "".join(models.think_filter(iter([self.engine.model.complete("answer", prompt, text=answers.replace("---", ""), names=self._names())])))
-        except Exception:
-            raw = "\n\n".join(r["answer"] for r in rows)
-        yield {"type": "token", "text": raw}
+            for piece in models.stream(self.engine.model, "answer", prompt, text=answers.replace("---", ""), names=self._names()):
+                raw += piece
+                yield {"type": "token", "text": piece}
+        except Exception:  # the relevant answers stand for the one that failed
+            said, raw = raw, "\n\n".join(r["answer"] for r in rows)
+            yield {"type": "replace" if said else "token", "text": raw}
         if mode == "graph":
             clean = self.spark.createDataFrame([(raw,)], "t string").select(T.enforce_citations(F.col("t")).alias("t")).first()["t"]
             if clean != raw.strip():
@@ -442,11 +485,18 @@ class Topic:
         return out
 
     def blog(self, ideas: str, outline: str = "", length: str = "medium") -> str:
+        return "".join(self.blog_stream(ideas, outline, length)).strip()
+
+    def blog_stream(self, ideas: str, outline: str = "", length: str = "medium") -> Iterator[str]:
+        """A post piece by piece, as the model writes it."""
         words = {"short": 500, "medium": 1000, "long": 1800}.get(length, 1000)
-        lines = index.blog_context(self.index(), graph.valid_edges(self.table("edges"), self.table("nodes"))).orderBy("part", "place").collect()  # at most 70 rows
-        summaries = self.table("community_summaries").orderBy("ord").limit(20).collect()
-        text = "\n\n".join([ideas, outline, "\n".join(s["summary"][:500] for s in summaries), "\n".join(r["line"] for r in lines)])
-        return self.engine.model.complete("article", f"Write a post of about {words} words.\n\n{text}", text=text).rsplit("</think>", 1)[-1].strip()
+        lines = index.blog_context(self.index(), graph.valid_edges(self.table("edges"), self.table("nodes"))).orderBy("part", "place").collect()  # at most 70 rows and the files of 30 nodes
+        told = index.blog_communities(self.table("community_summaries")).orderBy("place").collect()  # at most 20 rows
+        part = lambda rows, none: "\n".join(r["line"] for r in rows) or none
+        pieces = [ideas, outline, part(told, "No community summaries available.")]
+        pieces += [part([r for r in lines if r["part"] == p], none) for p, none in (("entity", "No entity data available."), ("relation", "No relationship data available."), ("source", ""))]
+        text = "\n\n".join(pieces)
+        yield from models.stream(self.engine.model, "article", f"Write a post of about {words} words.\n\n{text}", text=text)
 
     # Pins
 
@@ -456,9 +506,8 @@ class Topic:
     def pin(self, question: str, answer: str, mode: str = "graph") -> str:
         if not question.strip() or not answer.strip():
             raise ValueError("a pin needs a question and an answer")
-        self.folder.mkdir(parents=True, exist_ok=True)
         row = (uuid.uuid4().hex, question.strip(), answer.strip(), mode, time.time_ns())
-        self.save("pinned", self.table("pinned").unionByName(self.spark.createDataFrame([row], TABLES["pinned"])))
+        self.store.append("pinned", self.spark.createDataFrame([row], TABLES["pinned"]))
         return row[0]
 
     def unpin(self, pin_id: str) -> None:

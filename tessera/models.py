@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import json
 import math
+import queue
 import re
+import threading
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -129,10 +134,111 @@ def extraction_prompt(entity_types: list[str], relation_types: list[str], contex
     )
 
 
-def map_model(rows: DataFrame, model: TextModel, task: str, keys: list[str], out: str = "answer") -> DataFrame:
+#: Seconds after which a call of a model is given up.
+CALL_SECONDS = 300.0
+
+
+def bounded(call: Callable[[], str], seconds: float = CALL_SECONDS) -> str:
+    """What a call returns; ``TimeoutError`` if it takes longer.  The call that hangs is left behind in a daemon thread."""
+    box: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run():
+        try:
+            box.put((call(), None))
+        except BaseException as e:
+            box.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        said, error = box.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds:g} s") from None
+    if error is not None:
+        raise error
+    return said
+
+
+def complete(model: TextModel, task: str, prompt: str, seconds: float = CALL_SECONDS, **fields: str) -> str:
+    """A model's answer within a time, without the reasoning before it.
+
+    An extraction by a model that has ``structured`` is asked for that way first, and as plain text if it cannot do it.
+    """
+    ask = getattr(model, "structured", None) if task == "extract" else None
+    if ask is not None:
+        try:
+            return bounded(lambda: ask(task, prompt, **fields), seconds)
+        except NotImplementedError:
+            pass
+    return bounded(lambda: model.complete(task, prompt, **fields), seconds).rsplit("</think>", 1)[-1].strip()
+
+
+def stream(model: TextModel, task: str, prompt: str, **fields: str) -> Iterator[str]:
+    """Pieces of an answer as the model gives them, reasoning left out; one piece where it cannot stream."""
+    chunks = model.stream(task, prompt, **fields) if hasattr(model, "stream") else iter([bounded(lambda: model.complete(task, prompt, **fields))])
+    return think_filter(chunks)
+
+
+class ChatModel:
+    """A model behind an HTTP service that speaks the usual chat-completions protocol."""
+
+    def __init__(self, base_url: str, model: str, key: str = "", max_tokens: int = 2048, temperature: float = 0.0, seconds: float = CALL_SECONDS):
+        self.url, self.model, self.key = base_url.rstrip("/") + "/chat/completions", model, key
+        self.max_tokens, self.temperature, self.seconds = max_tokens, temperature, seconds
+
+    def _open(self, prompt: str, **more):
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": self.max_tokens, "temperature": self.temperature} | more
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        return urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), headers), timeout=self.seconds)
+
+    def complete(self, task: str, prompt: str, **fields: str) -> str:
+        with self._open(prompt) as answer:
+            return json.load(answer)["choices"][0]["message"]["content"] or ""
+
+    def structured(self, task: str, prompt: str, **fields: str) -> str:
+        """The answer as one JSON object; ``NotImplementedError`` where the service refuses the format."""
+        try:
+            with self._open(prompt, response_format={"type": "json_object"}) as answer:
+                return json.load(answer)["choices"][0]["message"]["content"] or ""
+        except urllib.error.HTTPError as e:
+            if e.code in (400, 404, 415, 422, 501):
+                raise NotImplementedError("structured answers") from e
+            raise
+
+    def stream(self, task: str, prompt: str, **fields: str) -> Iterator[str]:
+        with self._open(prompt, stream=True) as answer:
+            for line in answer:
+                data = line.decode("utf-8", "replace").strip().removeprefix("data:").strip()
+                if data and data != "[DONE]":
+                    yield json.loads(data)["choices"][0].get("delta", {}).get("content") or ""
+
+
+MODELS["chat"] = ChatModel
+
+
+class SentenceEmbedder:
+    """Vectors of an optional local encoder package, loaded once a worker; without the package it is not available."""
+
+    _loaded: dict[str, object] = {}
+
+    def __init__(self, name: str = "all-MiniLM-L6-v2"):
+        self.name = name
+
+    @staticmethod
+    def available() -> bool:
+        return importlib.util.find_spec("sentence_transformers") is not None
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        if self.name not in self._loaded:
+            from sentence_transformers import SentenceTransformer
+
+            self._loaded[self.name] = SentenceTransformer(self.name)
+        return [list(map(float, v)) for v in self._loaded[self.name].encode(texts, normalize_embeddings=True)]
+
+
+def map_model(rows: DataFrame, model: TextModel, task: str, keys: list[str], out: str = "answer", seconds: float = CALL_SECONDS) -> DataFrame:
     """``*keys, <out>, error``: the model's answer to ``prompt`` of each row, with the row's other columns as fields.
 
-    A call that fails gives a row with its error; reasoning before the answer is cut off.
+    A call that fails or takes longer than ``seconds`` gives a row with its error; reasoning before the answer is cut off.
     """
     fields = [c for c in rows.columns if c not in keys and c != "prompt"]
     head = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes)
@@ -142,8 +248,7 @@ def map_model(rows: DataFrame, model: TextModel, task: str, keys: list[str], out
             answers, errors = [], []
             for row in pdf.to_dict("records"):
                 try:
-                    said = model.complete(task, row.get("prompt") or "", **{f: str(row[f] if row[f] is not None else "") for f in fields})
-                    answers.append(said.rsplit("</think>", 1)[-1].strip())
+                    answers.append(complete(model, task, row.get("prompt") or "", seconds, **{f: str(row[f] if row[f] is not None else "") for f in fields}))
                     errors.append(None)
                 except Exception as e:
                     answers.append(None)

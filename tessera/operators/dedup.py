@@ -136,18 +136,19 @@ def resolver_order(nodes: DataFrame, by: str = "signature") -> DataFrame:
 
 
 def resolver_line() -> Column:
-    """A node as a resolver sees it."""
-    return F.concat(F.lit("- "), F.col("id"), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit("): "), F.coalesce("description", F.lit("")))
+    """A node as a resolver sees it: name, type, and the first 120 characters of the description."""
+    return F.concat(F.lit('- "'), F.col("id"), F.lit('" ('), F.coalesce("type", F.lit("")), F.lit("): "), F.substring(F.coalesce("description", F.lit("")), 1, 120))
 
 
 def resolver_batches(nodes: DataFrame, most: int = 25, chars: int = 6000, by: str = "signature") -> DataFrame:
-    """``topic, id, batch``: greedy batches of the resolver's order, new when ``most`` lines or ``chars`` characters would be passed.
+    """``topic, id, batch``: greedy batches of the resolver's order, new when ``most`` lines or ``chars`` characters, line ends
+    included, would be passed; no batch is empty, so a line that is too long stands alone.
 
     The rule is sequential within a topic.  Rows stream through sorted partitions, so no topic is ever held in memory.
     """
     import pandas as pd
 
-    rows = nodes.select("topic", _order_key(by).alias("k"), "id", F.length(resolver_line()).cast("long").alias("n"))
+    rows = nodes.select("topic", _order_key(by).alias("k"), "id", (F.length(resolver_line()) + 1).cast("long").alias("n"))
 
     def number(batches):
         topic, batch, lines, used = None, 0, 0, 0
@@ -156,7 +157,7 @@ def resolver_batches(nodes: DataFrame, most: int = 25, chars: int = 6000, by: st
             for t, n in zip(pdf["topic"], pdf["n"]):
                 if t != topic:
                     topic, batch, lines, used = t, 1, 0, 0
-                elif lines >= most or used + n > chars:
+                elif lines >= most or lines and used + n > chars:
                     batch, lines, used = batch + 1, 0, 0
                 lines, used = lines + 1, used + n
                 out.append(batch)

@@ -38,6 +38,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 def top_hubs(nodes: DataFrame, edges: DataFrame, k: int = 15) -> DataFrame:
     """The ``k`` best-connected nodes of each topic; ties go to the earlier node."""
     place = F.row_number().over(W.partitionBy("topic").orderBy(F.desc("degree"), "ord", "id"))
+    nodes = nodes.withColumn("type", F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("OTHER")))
     return with_degree(nodes, edges).withColumn("place", place).where(F.col("place") <= k)
 
 
@@ -74,26 +75,39 @@ def health_report(nodes: DataFrame, edges: DataFrame, communities: DataFrame) ->
     return out.select("topic", "entities", "edges", "communities", "orphans", (F.col("edges") - F.col("sound")).alias("dangling"), "typed_ratio")
 
 
-def node_radius(edges: DataFrame) -> DataFrame:
-    """``topic, id, radius``: 8 to 36 by degree within the topic."""
-    w = W.partitionBy("topic")
-    d = degrees(edges)
-    spread = F.max("degree").over(w) - F.min("degree").over(w)
-    return d.select(*NODE, F.round(8 + 28 * (F.col("degree") - F.min("degree").over(w)) / F.when(spread == 0, 1).otherwise(spread), 6).alias("radius"))
+def drawn_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``topic, id, degree``: links of the drawn graph, one per pair of different nodes; a node without any counts as having one."""
+    pairs = undirected(valid_edges(edges, nodes))
+    d = pairs.select("topic", F.explode(F.array("a", "b")).alias("id")).groupBy(*NODE).agg(F.count("*").alias("degree"))
+    return nodes.select(*NODE).distinct().join(d, NODE, "left").withColumn("degree", F.coalesce("degree", F.lit(1).cast("long")))
 
 
-def type_colours(nodes: DataFrame, palette: int = 15) -> DataFrame:
-    """``topic, type, colour``: index into a palette, types in the order of their first node."""
-    first = nodes.groupBy("topic", "type").agg(F.min("ord").alias("first_ord"))
-    place = F.row_number().over(W.partitionBy("topic").orderBy("first_ord", "type")) - 1
-    return first.select("topic", "type", (place % palette).cast("long").alias("colour"))
+def node_radius(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``topic, id, radius``: 8 to 36 by degree of the drawn graph within the topic."""
+    d = drawn_degrees(nodes, edges)
+    ends = d.groupBy("topic").agg(F.min("degree").alias("lo"), F.max("degree").alias("hi"))
+    spread = F.col("hi") - F.col("lo")
+    return d.join(ends, "topic").select(*NODE, F.round(8 + 28 * (F.col("degree") - F.col("lo")) / F.when(spread == 0, 1).otherwise(spread), 6).alias("radius"))
+
 
+def type_colours(nodes: DataFrame, palette: int = 15) -> DataFrame:
+    """``topic, type, colour``: index into a palette, types in the order of their first node; nodes without a type take no place.
 
-def visible_labels(edges: DataFrame, slider: int) -> DataFrame:
-    """Edges whose label is shown: both ends have at least ``10 - slider`` edge ends."""
-    d = degrees(edges)
-    out = edges.join(d.select("topic", F.col("id").alias("src"), F.col("degree").alias("d_src")), ["topic", "src"]).join(d.select("topic", F.col("id").alias("dst"), F.col("degree").alias("d_dst")), ["topic", "dst"])
-    return out.where(F.least("d_src", "d_dst") >= 10 - slider).drop("d_src", "d_dst")
+    OTHER, if it is no type of the topic, has the colour -1, which stands for the fixed colour of the rest.
+    """
+    first = nodes.where(F.coalesce("type", F.lit("")) != "").groupBy("topic", "type").agg(F.min("ord").alias("first_ord"))
+    place = F.row_number().over(W.partitionBy("topic").orderBy("first_ord", "type")) - 1  # one row a type
+    named = first.select("topic", "type", (place % palette).cast("long").alias("colour"))
+    rest = nodes.select("topic").distinct().withColumn("type", F.lit("OTHER"))
+    return named.unionByName(rest.join(first, ["topic", "type"], "left_anti").select("topic", "type", F.lit(-1).cast("long").alias("colour")))
+
+
+def visible_labels(nodes: DataFrame, edges: DataFrame, slider: int) -> DataFrame:
+    """``topic, a, b, label, description, n_edges``: the drawn links whose label is shown: both ends have at least ``10 - slider`` links."""
+    d = drawn_degrees(nodes, edges)
+    near, far = (d.select("topic", F.col("id").alias(x), F.col("degree").alias(f"d_{x}")) for x in "ab")
+    out = undirected(valid_edges(edges, nodes)).join(near, ["topic", "a"]).join(far, ["topic", "b"])
+    return out.where(F.least("d_a", "d_b") >= 10 - slider).drop("d_a", "d_b")
 
 
 def without_types(nodes: DataFrame, edges: DataFrame, hidden: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,8 +18,18 @@ def _by_degree():
     return [F.desc("degree"), F.col("ord"), F.col("id")]
 
 
+def known_type(kind: str = "type") -> Column:
+    """The type of a node, OTHER where it has none."""
+    return F.coalesce(F.nullif(F.col(kind), F.lit("")), F.lit("OTHER"))
+
+
+def entity_index(nodes: DataFrame) -> DataFrame:
+    """Nodes with degree and community as the index holds them: with a type, and the first line of the description."""
+    return nodes.withColumns({"type": known_type(), "description": F.coalesce(T.one_line(F.col("description")), F.lit(""))})
+
+
 def type_counts(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("topic", F.coalesce("type", F.lit("ENTITY")).alias("type")).agg(F.count("*").alias("n_entities"))
+    return nodes.groupBy("topic", known_type().alias("type")).agg(F.count("*").alias("n_entities"))
 
 
 def grouped(index: DataFrame, by: str) -> DataFrame:
@@ -78,29 +88,52 @@ def lookup_label(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     exact = l.join(n.withColumnRenamed("name", "low"), ["topic", "low"]).select("topic", "label", "id", F.lit(0).alias("kind"), "ord")
     rest = l.join(exact.select("topic", "label").distinct(), ["topic", "label"], "left_anti").where("low <> ''")
     # A name that contains a label contains its first three letters: an equi-join instead of all pairs of a topic.
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name"))), lambda i: F.substr(F.col("name"), i, F.lit(GRAM))))
-    parts = n.select("topic", "id", "ord", "name", F.explode(F.array_union(grams, F.transform(grams, lambda g: F.left(g, F.least(F.length(g), F.lit(2)))))).alias("gram"))
-    parts = parts.select("topic", "id", "ord", "name", F.explode(F.array_distinct(F.array("gram", F.left("gram", F.lit(1))))).alias("gram")).distinct()
-    part = rest.withColumn("gram", F.left("low", F.lit(GRAM))).join(parts, ["topic", "gram"]).where(F.contains("name", "low")).select("topic", "label", "id", F.lit(1).alias("kind"), "ord")
+    starts = lambda size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - size + 1), lambda i: F.substr(F.col("name"), i, F.lit(size))))
+    parts = n.where(F.length("name") >= GRAM).select("topic", "id", "ord", "name", F.explode(starts(GRAM)).alias("gram"))
+    long = rest.where(F.length("low") >= GRAM).withColumn("gram", F.left("low", F.lit(GRAM)))
+    part = long.join(parts, ["topic", "gram"]).where(F.contains("name", "low")).select("topic", "label", "id", F.lit(1).alias("kind"), "ord")
+    # Shorter labels are whole grams, of which each topic keeps only its first name: no list of all names of a letter is joined.
+    order = F.struct("ord", "id")
+    short = rest.where(F.length("low") < GRAM).withColumn("gram", F.col("low"))
+    for size in range(1, GRAM):
+        first = n.where(F.length("name") >= size).select("topic", "id", "ord", F.explode(starts(size)).alias("gram")).groupBy("topic", "gram").agg(F.min(order).alias("f"))
+        part = part.unionByName(short.where(F.length("low") == size).join(first, ["topic", "gram"]).select("topic", "label", "f.id", F.lit(1).alias("kind"), "f.ord"))
     return exact.unionByName(part).groupBy("topic", "label").agg(F.min_by("id", F.struct("kind", "ord", "id")).alias("id"))
 
 
 def wiki_context(neighbours: DataFrame, most: int = 25) -> DataFrame:
-    """``topic, id, direction, place, line``: at most ``most`` lines of each direction, in order of the relations."""
+    """``topic, id, direction, place, line``: at most ``most`` lines of each direction with their descriptions, in order of the relations."""
     w = W.partitionBy("topic", "id", "direction").orderBy("ord", "label", "other")
     arrow = F.when(F.col("direction") == "out", F.concat(F.lit("- ["), F.col("label"), F.lit("] → "), F.col("other"))).otherwise(F.concat(F.lit("- "), F.col("other"), F.lit(" → ["), F.col("label"), F.lit("]")))
-    return neighbours.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("topic", "id", "direction", "place", arrow.alias("line"))
+    line = F.concat(arrow, F.lit(": "), F.coalesce("description", F.lit("")))
+    return neighbours.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("topic", "id", "direction", "place", line.alias("line"))
 
 
-def blog_context(index: DataFrame, edges: DataFrame, entities: int = 30, relations: int = 40) -> DataFrame:
-    """``topic, part, place, line``: the best-connected entities and the first relations between nodes of each topic."""
+def blog_context(index: DataFrame, edges: DataFrame, entities: int = 30, relations: int = 40, shown: int = 8) -> DataFrame:
+    """``topic, part, place, line``: the best-connected entities of each topic, the first relations between nodes, and the numbered files of these entities."""
     w = W.partitionBy("topic").orderBy(F.desc("degree"), "ord", "id")
-    e = index.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= entities)
-    e = e.select("topic", F.lit("entity").alias("part"), "place", F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.substring(F.coalesce("description", F.lit("")), 1, 220)).alias("line"))
+    best = index.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= entities)
+    head = F.concat(F.lit("- "), F.col("name"), F.lit(" ("), F.col("type"), F.lit(", "), F.col("degree").cast("string"), F.lit(" connections): "))
+    e = best.select("topic", F.lit("entity").alias("part"), "place", F.concat(head, F.substring("description", 1, 220)).alias("line"))
     v = W.partitionBy("topic").orderBy("ord", "src", "label", "dst")
     r = edges.withColumn("place", F.row_number().over(v).cast("long")).where(F.col("place") <= relations)
-    r = r.select("topic", F.lit("relation").alias("part"), "place", F.concat(F.lit("- "), F.col("src"), F.lit(" --["), F.col("label"), F.lit("]--> "), F.col("dst"), F.lit(": "), F.substring(F.coalesce("description", F.lit("")), 1, 150)).alias("line"))
-    return e.unionByName(r)
+    arrow = F.concat(F.lit("- "), F.col("src"), F.lit(" → ["), F.col("label"), F.lit("] → "), F.col("dst"), F.lit(": "))
+    r = r.select("topic", F.lit("relation").alias("part"), "place", F.concat(arrow, F.substring(F.coalesce("description", F.lit("")), 1, 150)).alias("line"))
+    # At most ``entities`` names a topic: the lists stay short, and so do the files of a topic.
+    names = best.select("topic", F.explode("sources").alias("file"), "place", "name").groupBy("topic", "file").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("l"))
+    more = F.when(F.size("l") > shown, F.concat(F.lit(" (+"), (F.size("l") - shown).cast("string"), F.lit(" more)"))).otherwise("")
+    number = F.row_number().over(W.partitionBy("topic").orderBy("file")).cast("long")
+    text = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), F.col("file"), F.lit(" — contributes to: "), F.array_join(F.transform(F.slice("l", 1, shown), lambda x: x["name"]), ", "), more)
+    s = names.withColumn("place", number).select("topic", F.lit("source").alias("part"), "place", text.alias("line"))
+    return e.unionByName(r).unionByName(s)
+
+
+def blog_communities(summaries: DataFrame, most: int = 20) -> DataFrame:
+    """``topic, place, line``: the first ``most`` communities of each topic by number, others after those below 1000 by name."""
+    number = F.when(F.col("community").rlike("^[0-9]+$"), F.col("community").cast("decimal(38,0)")).otherwise(999)
+    w = W.partitionBy("topic").orderBy("n", "community")
+    first = summaries.withColumn("n", number).withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)
+    return first.select("topic", "place", F.concat(F.lit("Community "), F.col("place").cast("string"), F.lit(": "), F.substring("summary", 1, 500)).alias("line"))
 
 
 def file_stems(nodes: DataFrame) -> DataFrame:

@@ -1,57 +1,57 @@
 """Choosing communities for questions: keyword overlap, entity hits, vector similarity, and their combination.
 
 Keywords are runs of ASCII letters, so a keyword that occurs in a text lies inside one of its runs of letters.  Scoring
-therefore matches keywords with the vocabulary once and goes on by equi-joins, instead of matching
-every question with every text.  The questions are the stated query set; their keywords are broadcast only up to
-``BROADCAST_WORDS``, beyond which the match is a join on the keyword's first three letters.
+therefore matches distinct keywords with the vocabulary once, by a join on the keyword's first three letters, and goes on
+by equi-joins, instead of matching every question with every text.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-
-BROADCAST_WORDS = 20_000
-
+from tessera.session import Scratch
 
 def question_keywords(questions: DataFrame) -> DataFrame:
     """``qid, keyword``."""
     return questions.select("qid", F.explode(T.keywords(F.col("question"))).alias("keyword"))
 
 
-def keyword_hits(texts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """``qid, *keys, n``: how many distinct keywords of a question each text contains, none left out.
-
-    texts: ``*keys, text``; wanted: ``qid, keyword``.
-    """
+def keyword_holders(texts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``*keys, keyword``: which of the wanted keywords each text contains.  texts: ``*keys, text``; wanted: ``qid, keyword``."""
     tokens = texts.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("token"))
-    words = wanted.select("keyword").distinct()
-    vocabulary = tokens.select("token").distinct()
-    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
-        match = vocabulary.join(F.broadcast(words), F.contains(F.col("token"), F.col("keyword")))
-    else:
-        starts = F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substr(F.col("token"), i, F.lit(3)))
-        parts = vocabulary.select("token", F.explode(F.array_distinct(starts)).alias("start"))
-        match = parts.join(words.withColumn("start", F.left("keyword", F.lit(3))), "start").where(F.contains("token", "keyword")).select("token", "keyword")
-    held = tokens.join(match, "token").select(*keys, "keyword").distinct()
-    return held.join(wanted, "keyword").groupBy("qid", *keys).agg(F.count("*").alias("n"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substr(F.col("token"), i, F.lit(3)))
+    parts = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(starts)).alias("start"))
+    words = wanted.select("keyword").distinct().withColumn("start", F.left("keyword", F.lit(3)))
+    match = parts.join(words, "start").where(F.contains("token", "keyword")).select("token", "keyword")
+    return tokens.join(match, "token").select(*keys, "keyword").distinct()
+
+
+def keyword_hits(texts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``qid, *keys, n``: how many distinct keywords of a question each text contains, none left out."""
+    return keyword_holders(texts, wanted, keys).join(wanted, "keyword").groupBy("qid", *keys).agg(F.count("*").alias("n"))
 
 
 def community_summaries(index: DataFrame) -> DataFrame:
-    """``topic, community, text, ord``: the descriptions of a community's entities, as its summary."""
+    """``topic, community, text``: the descriptions of a community's entities, as its summary."""
     parts = F.array_sort(F.collect_list(F.struct("ord", "id", F.coalesce("description", F.lit("")).alias("d"))))
     g = index.where("community is not null").groupBy("topic", "community").agg(parts.alias("p"))
-    return g.select("topic", "community", F.array_join(F.transform("p", lambda x: x.d), " ").alias("text"), F.row_number().over(W.partitionBy("topic").orderBy("community")).cast("long").alias("ord"))
+    return g.select("topic", "community", F.array_join(F.transform("p", lambda x: x.d), " ").alias("text"))
 
 
 def entity_bonus(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``qid, topic, community, bonus``: keyword hits in names and one-line descriptions of a community's entities."""
-    hay = index.where("community is not null").select("topic", "community", "ord", "id", F.concat_ws(" ", "name", F.coalesce(T.one_line(F.col("description")), F.lit(""))).alias("text"))
-    hits = keyword_hits(hay, wanted, ["topic", "community", "ord", "id"])
-    return hits.groupBy("qid", "topic", "community").agg(F.sum("n").alias("bonus"))
+    """``qid, topic, community, bonus``: keyword hits in names and one-line descriptions of a community's entities.
+
+    Entities are counted per community and keyword before the questions join, so no row per question and entity exists.
+    """
+    keys = ["topic", "community"]
+    hay = index.where("community is not null").select(*keys, "ord", "id", F.concat_ws(" ", "name", F.coalesce(T.one_line(F.col("description")), F.lit(""))).alias("text"))
+    held = keyword_holders(hay, wanted, [*keys, "ord", "id"]).groupBy(*keys, "keyword").agg(F.count("*").alias("n"))
+    return held.join(wanted, "keyword").groupBy("qid", *keys).agg(F.sum("n").alias("bonus"))
 
 
 def candidates(summary_scores: DataFrame, bonus: DataFrame, similarity: DataFrame | None = None, k: int = 15) -> DataFrame:
@@ -77,40 +77,41 @@ def fallback_candidates(questions: DataFrame, scored: DataFrame, summaries: Data
     return missed.crossJoin(F.broadcast(first))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 15, block: int = 512) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 15, block_bytes: int = 64 << 20) -> DataFrame:
     """``qid, vec_id, similarity, place``: for each query vector the ``k`` most similar vectors, itself left out.
 
-    queries: ``qid, vec``; vectors: ``vec_id, vec``.  The stated queries are sent in blocks of at most
-    ``block`` rows to every batch of vectors, where one matrix product gives all similarities; only ``k`` rows per query
-    and batch leave it, so what is shuffled does not grow with the product of both sides.
+    queries: ``qid, vec``; vectors: ``vec_id, vec``; ids are unique.  The stated queries are sent to the batches of
+    vectors in passes of at most about ``block_bytes``, so their number is not limited; within a batch one matrix product
+    gives the similarities of many queries, and only ``k`` rows (more on ties) per query and batch leave it.  With several
+    passes each one's rows are written before the next pass is read.
     """
-    import numpy as np
-    import pandas as pd
-
-    total = queries.count()
-    out = None
-    for b in range(max(1, -(-total // block))):
-        part = queries if total <= block else queries.where(F.pmod(F.xxhash64("qid"), F.lit(-(-total // block))) == b)
-        rows = part.collect()  # about ``block`` vectors
-        ids = np.array([r["qid"] for r in rows], np.int64)
-        width = max((len(r["vec"]) for r in rows), default=0)
-        matrix = np.array([[*map(float, r["vec"]), *[0.0] * (width - len(r["vec"]))] for r in rows]).reshape(len(rows), width)
-
-        def best(batches, ids=ids, matrix=matrix):
-            width = matrix.shape[1]
-            for pdf in batches:
-                other = pdf["vec_id"].to_numpy(np.int64)
-                mine = np.array([[*v[:width], *[0.0] * (width - len(v))] for v in pdf["vec"]], np.float64).reshape(len(pdf), width)
-                sim = np.round(matrix @ mine.T, 6)
-                found = []
-                for i, q in enumerate(ids):
-                    s = np.where(other == q, -np.inf, sim[i])
-                    top = np.lexsort((other, -s))[:k]
-                    found.append(pd.DataFrame({"qid": q, "vec_id": other[top], "similarity": s[top]}))
-                res = pd.concat(found) if found else pd.DataFrame({"qid": [], "vec_id": [], "similarity": []})
-                yield res[np.isfinite(res["similarity"].astype(float))]
-
-        near = vectors.where("vec is not null").select("vec_id", "vec").mapInPandas(best, "qid long, vec_id long, similarity double")
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")).first()
+    passes = max(1, -(-size["n"] * max(1, size["width"]) * 8 // block_bytes))
+    scratch, out = Scratch(queries.sparkSession, "vectors"), None
+    for b in range(passes):
+        part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == b)
+        rows = part.select("qid", "vec").collect()  # about ``block_bytes``
+        near = vectors.where("vec is not null").select("vec_id", "vec").mapInPandas(_nearest(rows, k), "qid long, vec_id long, similarity double")
+        near = near if passes == 1 else scratch.write(near, "near")
         out = near if out is None else out.unionByName(near)
     place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("similarity"), "vec_id"))
     return out.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+
+
+def _nearest(rows: list, k: int, at_once: int = 512):
+    width = max((len(r["vec"]) for r in rows), default=0)
+    padded = lambda vs: np.array([[*map(float, v[:width]), *[0.0] * (width - len(v))] for v in vs], np.float64).reshape(len(vs), width)
+    ids, matrix = np.array([r["qid"] for r in rows], np.int64), padded([r["vec"] for r in rows])
+
+    def best(batches):
+        for pdf in batches:
+            other, mine = pdf["vec_id"].to_numpy(np.int64), padded(list(pdf["vec"]))
+            for start in range(0, len(ids), at_once):
+                some = ids[start : start + at_once]
+                similar = np.round(matrix[start : start + at_once] @ mine.T, 6)
+                similar[some[:, None] == other[None, :]] = -np.inf
+                least = np.partition(similar, -k, axis=1)[:, -k] if similar.shape[1] > k else np.full(len(some), -np.inf)
+                q, v = np.nonzero((similar >= least[:, None]) & np.isfinite(similar))
+                yield pd.DataFrame({"qid": some[q], "vec_id": other[v], "similarity": similar[q, v]})
+
+    return best

@@ -52,7 +52,7 @@ def communities_of(spark: SparkSession, d: str) -> DataFrame:
 def index_of(spark: SparkSession, d: str) -> DataFrame:
     """Nodes with degree, community and the sources of their rows."""
     n = graph.with_degree(nodes_of(spark, d), edges_of(spark, d)).join(communities_of(spark, d), ["topic", "id"], "left")
-    return n.join(upsert.upsert_nodes(entity_rows(spark, d)).select("topic", "id", "sources"), ["topic", "id"])
+    return index.entity_index(n.join(upsert.upsert_nodes(entity_rows(spark, d)).select("topic", "id", "sources"), ["topic", "id"]))
 
 
 _ROWS = """rows_ AS (SELECT topic, name AS id, coalesce(type, '') AS type, coalesce(description, '') AS description, coalesce(filename, '') AS source, ent_id AS ord
@@ -63,10 +63,17 @@ _EDGES = """edges AS (SELECT topic, source AS src, coalesce(relation, '') AS lab
 _DEGREE = """ends AS (SELECT topic, src AS id FROM edges UNION ALL SELECT topic, dst FROM edges),
 degree AS (SELECT topic, id, CAST(count(*) AS BIGINT) AS degree FROM ends GROUP BY topic, id)"""
 _COMM = "comm AS (SELECT topic, id, min(community) AS community FROM entity_index WHERE community IS NOT NULL GROUP BY topic, id)"
+_TRIM_D = "regexp_replace(n.description, '^\\s+|\\s+$', '', 'g')"
+_ONE_LINE = f"trim(left(CASE WHEN regexp_matches({_TRIM_D}, '(?s)^(.*?[.!?])\\s') THEN regexp_extract({_TRIM_D}, '(?s)^(.*?[.!?])\\s', 1) ELSE {_TRIM_D} END, 180))"
 _INDEX = f"""{_NODES}, {_EDGES}, {_DEGREE}, {_COMM},
-idx AS (SELECT n.topic, n.id, n.type, n.description, n.ord, coalesce(d.degree, 0) AS degree, c.community
+idx AS (SELECT n.topic, n.id, coalesce(nullif(n.type, ''), 'OTHER') AS type, {_ONE_LINE} AS description, n.ord, coalesce(d.degree, 0) AS degree, c.community
   FROM nodes n LEFT JOIN degree d ON n.topic = d.topic AND n.id = d.id LEFT JOIN comm c ON n.topic = c.topic AND n.id = c.id)"""
 
+# The graph as it is drawn: one link per pair of different nodes, and the links of each node, 1 where it has none.
+_DRAWN = f"""{_NODES}, {_EDGES}, sound AS (SELECT e.* FROM edges e SEMI JOIN nodes a ON e.topic = a.topic AND e.src = a.id SEMI JOIN nodes b ON e.topic = b.topic AND e.dst = b.id WHERE src <> dst),
+links AS (SELECT topic, least(src, dst) AS a, greatest(src, dst) AS b, arg_max(label, ord) AS label FROM sound GROUP BY 1, 2, 3),
+drawn AS (SELECT n.topic, n.id, greatest(1, count(l.topic)) AS degree FROM nodes n LEFT JOIN (SELECT topic, a AS id FROM links UNION ALL SELECT topic, b FROM links) l ON n.topic = l.topic AND n.id = l.id GROUP BY n.topic, n.id)"""
+
 # Scalar functions
 
 
@@ -276,7 +283,7 @@ def top_hubs(spark: SparkSession, d: str) -> DataFrame:
     return graph.top_hubs(nodes_of(spark, d), edges_of(spark, d)).select("topic", "id", "type", "degree", F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {_NODES} SELECT topic, type, CAST(count(*) AS BIGINT) AS n_entities FROM nodes GROUP BY topic, type")
+@query(f"WITH {_NODES} SELECT topic, coalesce(nullif(type, ''), 'OTHER') AS type, CAST(count(*) AS BIGINT) AS n_entities FROM nodes GROUP BY 1, 2")
 def type_counts(spark: SparkSession, d: str) -> DataFrame:
     return index.type_counts(nodes_of(spark, d))
 
@@ -349,21 +356,24 @@ def health_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_EDGES}, {_DEGREE}, w AS (SELECT *, min(degree) OVER (PARTITION BY topic) AS lo, max(degree) OVER (PARTITION BY topic) AS hi FROM degree)
+    f"""WITH {_DRAWN}, w AS (SELECT *, min(degree) OVER (PARTITION BY topic) AS lo, max(degree) OVER (PARTITION BY topic) AS hi FROM drawn)
 SELECT topic, id, round(CAST(8 + 28 * (degree - lo) / CAST(CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS DOUBLE) AS DOUBLE), 6) AS radius FROM w"""
 )
 def node_radius(spark: SparkSession, d: str) -> DataFrame:
-    return graph.node_radius(edges_of(spark, d))
+    return graph.node_radius(nodes_of(spark, d), edges_of(spark, d))
 
 
-@query(f"WITH {_NODES}, f AS (SELECT topic, type, min(ord) AS o FROM nodes GROUP BY topic, type) SELECT topic, type, CAST((row_number() OVER (PARTITION BY topic ORDER BY o, type) - 1) % 15 AS BIGINT) AS colour FROM f")
+@query(
+    f"""WITH {_NODES}, f AS (SELECT topic, type, min(ord) AS o FROM nodes WHERE type <> '' GROUP BY topic, type) SELECT topic, type, CAST((row_number() OVER (PARTITION BY topic ORDER BY o, type) - 1) % 15 AS BIGINT) AS colour FROM f
+UNION ALL SELECT DISTINCT topic, 'OTHER', CAST(-1 AS BIGINT) FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.topic = n.topic AND f.type = 'OTHER')"""
+)
 def type_colours(spark: SparkSession, d: str) -> DataFrame:
     return graph.type_colours(nodes_of(spark, d))
 
 
-@query(f"WITH {_EDGES}, {_DEGREE} SELECT e.topic, e.src, e.label, e.dst, e.ord FROM edges e JOIN degree a ON e.topic = a.topic AND e.src = a.id JOIN degree b ON e.topic = b.topic AND e.dst = b.id WHERE least(a.degree, b.degree) >= 4")
+@query(f"WITH {_DRAWN} SELECT l.topic, l.a, l.b, l.label FROM links l JOIN drawn x ON l.topic = x.topic AND l.a = x.id JOIN drawn y ON l.topic = y.topic AND l.b = y.id WHERE least(x.degree, y.degree) >= 4")
 def edge_label_visibility(spark: SparkSession, d: str) -> DataFrame:
-    return graph.visible_labels(edges_of(spark, d), 6).drop("description")
+    return graph.visible_labels(nodes_of(spark, d), edges_of(spark, d), 6).select("topic", "a", "b", "label")
 
 
 @query(f"WITH {_NODES}, {_EDGES}, v AS (SELECT topic, id FROM nodes WHERE type NOT IN ('CONCEPT', 'OTHER')) SELECT e.topic, e.src, e.label, e.dst, e.ord FROM edges e SEMI JOIN v a ON e.topic = a.topic AND e.src = a.id SEMI JOIN v b ON e.topic = b.topic AND e.dst = b.id")
@@ -447,7 +457,7 @@ def resolver_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_NODES}, o AS (SELECT topic, id, length('- ' || id || ' (' || type || '): ' || description) AS n, row_number() OVER (PARTITION BY topic ORDER BY {_SIGNATURE.replace('(name,', '(id,')}, id) AS k FROM nodes),
+    f"""WITH RECURSIVE {_NODES}, o AS (SELECT topic, id, length('- "' || id || '" (' || type || '): ' || left(description, 120)) + 1 AS n, row_number() OVER (PARTITION BY topic ORDER BY {_SIGNATURE.replace('(name,', '(id,')}, id) AS k FROM nodes),
 b AS (SELECT topic, id, k, 1 AS batch, 1 AS lines, n AS used FROM o WHERE k = 1
   UNION ALL SELECT o.topic, o.id, o.k, CASE WHEN b.lines >= 25 OR b.used + o.n > 6000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.lines >= 25 OR b.used + o.n > 6000 THEN 1 ELSE b.lines + 1 END, CASE WHEN b.lines >= 25 OR b.used + o.n > 6000 THEN o.n ELSE b.used + o.n END
   FROM b JOIN o ON o.topic = b.topic AND o.k = b.k + 1)
@@ -463,7 +473,7 @@ def resolver_order_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_NODES}, o AS (SELECT topic, id, length('- ' || id || ' (' || coalesce(type, '') || '): ' || coalesce(description, '')) AS n, row_number() OVER (PARTITION BY topic ORDER BY coalesce(type, ''), id) AS k FROM nodes),
+    f"""WITH RECURSIVE {_NODES}, o AS (SELECT topic, id, length('- "' || id || '" (' || type || '): ' || left(description, 120)) + 1 AS n, row_number() OVER (PARTITION BY topic ORDER BY coalesce(type, ''), id) AS k FROM nodes),
 b AS (SELECT topic, id, k, 1 AS batch, 1 AS lines, n AS used FROM o WHERE k = 1
   UNION ALL SELECT o.topic, o.id, o.k, CASE WHEN b.lines >= 25 OR b.used + o.n > 6000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.lines >= 25 OR b.used + o.n > 6000 THEN 1 ELSE b.lines + 1 END, CASE WHEN b.lines >= 25 OR b.used + o.n > 6000 THEN o.n ELSE b.used + o.n END
   FROM b JOIN o ON o.topic = b.topic AND o.k = b.k + 1)
@@ -486,9 +496,9 @@ def source_entity_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_NODES}, {_EDGES}, x AS (SELECT topic, src AS id, 'out' AS direction, label, dst AS other, ord FROM edges UNION ALL SELECT topic, dst, 'in', label, src, ord FROM edges WHERE src <> dst),
+    f"""WITH {_NODES}, {_EDGES}, x AS (SELECT topic, src AS id, 'out' AS direction, label, dst AS other, description, ord FROM edges UNION ALL SELECT topic, dst, 'in', label, src, description, ord FROM edges WHERE src <> dst),
 p AS (SELECT *, row_number() OVER (PARTITION BY topic, id, direction ORDER BY ord, label, other) AS place FROM x)
-SELECT topic, id, direction, CAST(place AS BIGINT) AS place, CASE direction WHEN 'out' THEN '- [' || label || '] → ' || other ELSE '- ' || other || ' → [' || label || ']' END AS line FROM p WHERE place <= 25"""
+SELECT topic, id, direction, CAST(place AS BIGINT) AS place, CASE direction WHEN 'out' THEN '- [' || label || '] → ' || other || ': ' || description ELSE '- ' || other || ' → [' || label || ']: ' || description END AS line FROM p WHERE place <= 25"""
 )
 def wiki_context(spark: SparkSession, d: str) -> DataFrame:
     return index.wiki_context(graph.neighbours(edges_of(spark, d), nodes_of(spark, d)))
@@ -498,8 +508,10 @@ def wiki_context(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_INDEX}, e AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY degree DESC, ord, id) AS place FROM idx),
 ok AS (SELECT x.* FROM edges x SEMI JOIN nodes a ON x.topic = a.topic AND x.src = a.id SEMI JOIN nodes b ON x.topic = b.topic AND x.dst = b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ord, src, label, dst) AS place FROM ok)
-SELECT topic, 'entity' AS part, CAST(place AS BIGINT) AS place, '- ' || id || ': ' || left(description, 220) AS line FROM e WHERE place <= 30
-UNION ALL SELECT topic, 'relation', CAST(place AS BIGINT), '- ' || src || ' --[' || label || ']--> ' || dst || ': ' || left(description, 150) FROM r WHERE place <= 40"""
+SELECT topic, 'entity' AS part, CAST(place AS BIGINT) AS place, '- ' || id || ' (' || type || ', ' || degree || ' connections): ' || left(description, 220) AS line FROM e WHERE place <= 30
+UNION ALL SELECT topic, 'relation', CAST(place AS BIGINT), '- ' || src || ' → [' || label || '] → ' || dst || ': ' || left(description, 150) FROM r WHERE place <= 40
+UNION ALL SELECT topic, 'source', CAST(i AS BIGINT), '[' || i || '] ' || source || ' — contributes to: ' || list_aggregate(names[1:8], 'string_agg', ', ') || CASE WHEN len(names) > 8 THEN ' (+' || (len(names) - 8) || ' more)' ELSE '' END
+  FROM (SELECT topic, source, list(id ORDER BY place) AS names, row_number() OVER (PARTITION BY topic ORDER BY source) AS i FROM (SELECT DISTINCT e.topic, r2.source, e.id, e.place FROM e JOIN rows_ r2 ON e.topic = r2.topic AND e.id = r2.id AND r2.source <> '' WHERE place <= 30) GROUP BY topic, source)"""
 )
 def blog_context(spark: SparkSession, d: str) -> DataFrame:
     return index.blog_context(index_of(spark, d), graph.valid_edges(edges_of(spark, d), nodes_of(spark, d)))
@@ -520,6 +532,15 @@ def _summaries(spark: SparkSession, d: str) -> DataFrame:
     return search.community_summaries(nodes_of(spark, d).join(communities_of(spark, d), ["topic", "id"]))
 
 
+@query(
+    f"""WITH {_NODES}, {_COMM}, s AS (SELECT n.topic, c.community, string_agg(n.description, ' ' ORDER BY n.ord, n.id) AS text FROM nodes n JOIN comm c ON n.topic = c.topic AND n.id = c.id GROUP BY n.topic, c.community),
+p AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY CASE WHEN regexp_full_match(community, '[0-9]+') THEN CAST(community AS HUGEINT) ELSE 999 END, community) AS place FROM s)
+SELECT topic, CAST(place AS BIGINT) AS place, 'Community ' || place || ': ' || left(text, 500) AS line FROM p WHERE place <= 20"""
+)
+def blog_communities(spark: SparkSession, d: str) -> DataFrame:
+    return index.blog_communities(_summaries(spark, d).withColumnRenamed("text", "summary"))
+
+
 _SUMMARY = f"""{_NODES}, {_COMM}, summary AS (SELECT n.topic, c.community, lower(string_agg(n.description, ' ' ORDER BY n.ord, n.id)) AS text FROM nodes n JOIN comm c ON n.topic = c.topic AND n.id = c.id GROUP BY n.topic, c.community), {_WANTED},
 hit AS (SELECT qid, topic, community, CAST(count(*) AS BIGINT) AS n FROM wanted JOIN summary ON contains(text, keyword) GROUP BY qid, topic, community)"""
 _BONUS = f"""hay AS (SELECT n.topic, c.community, n.ord, n.id, lower(n.id || ' ' || {_FIRST.replace('(text,', '(description,')}) AS text FROM nodes n JOIN comm c ON n.topic = c.topic AND n.id = c.id),
@@ -546,12 +567,12 @@ def candidate_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SUMMARY}, q AS (SELECT DISTINCT item_id AS qid FROM eval_items ANTI JOIN (SELECT qid FROM hit WHERE n >= 8) h ON item_id = h.qid),
+    f"""WITH {_SUMMARY}, q AS (SELECT DISTINCT item_id AS qid FROM eval_items ANTI JOIN hit h ON item_id = h.qid),
 f AS (SELECT topic, community, CAST(row_number() OVER (ORDER BY topic, community) AS BIGINT) AS place FROM summary ORDER BY topic, community LIMIT 15) SELECT qid, topic, community, place FROM q CROSS JOIN f"""
 )
 def candidate_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Questions of which no summary has eight keywords get the first communities."""
-    return search.fallback_candidates(_questions(spark, d), summary_keyword_score(spark, d).where("n >= 8"), _summaries(spark, d))
+    """Questions of which no summary has any keyword get the first communities."""
+    return search.fallback_candidates(_questions(spark, d), summary_keyword_score(spark, d), _summaries(spark, d))
 
 
 @query(
@@ -625,21 +646,33 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha1(files.html_fallback(page).cast("binary")).alias("text_sha1"))
 
 
-@query("SELECT p_partkey, '## ' || p_name || chr(10) || '- **Type:** ' || p_type || chr(10) || '- **p_brand:** ' || p_brand || chr(10) || '- **p_size:** ' || CAST(p_size AS VARCHAR) AS block FROM part")
+def _csv(rows: DataFrame, header: list[str], cells: list, keys: list[str], order: str) -> DataFrame:
+    """Rows of a table as the CSV file of each key: ``*keys, text, mode, cut``."""
+    line = F.struct(order, F.array(*[F.col(c).cast("string") for c in cells]).alias("r"))
+    held = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.r).alias("cells"))
+    text, extra = files.csv_rendering(F.array(*[F.lit(h) for h in header]), F.col("cells"))
+    return held.select(*keys, text.alias("text"), extra["csv_mode"].alias("mode"), extra["truncated_to"].alias("cut"))
+
+
+@query(
+    """SELECT p_brand, string_agg('## ' || p_name || chr(10) || '- **Type:** ' || p_type || chr(10) || '- **size:** ' || p_size, chr(10) || chr(10) ORDER BY p_partkey) AS text, 'entity_per_row' AS mode, CAST(NULL AS VARCHAR) AS cut FROM part GROUP BY p_brand"""
+)
 def csv_entity_rows(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    return p.select("p_partkey", files.entity_block(F.col("p_name"), F.col("p_type"), {k: F.col(k) for k in ("p_brand", "p_size")}).alias("block"))
+    return _csv(table(spark, d, "part"), ["Name", "Type", "size"], ["p_name", "p_type", "p_size"], ["p_brand"], "p_partkey")
 
 
-@query("SELECT n_nationkey, '- n_nationkey=' || CAST(n_nationkey AS VARCHAR) || '; n_name=' || n_name || '; n_regionkey=' || CAST(n_regionkey AS VARCHAR) AS line FROM nation")
+@query(
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT o_orderpriority AS priority, 'Schema: order (int64), customer (int64), status (object)' || chr(10) || chr(10) || 'Rows (' || least(200, any_value(n)) || ' of ' || any_value(n) || '):' || chr(10)
+  || string_agg('- order=' || o_orderkey || '; customer=' || o_custkey || '; status=' || o_orderstatus, chr(10) ORDER BY k) FILTER (WHERE k <= 200) AS text, 'table' AS mode, CASE WHEN any_value(n) > 200 THEN '200' END AS cut FROM o GROUP BY o_orderpriority"""
+)
 def csv_table(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    return n.select("n_nationkey", files.table_line({k: F.col(k) for k in n.columns}).alias("line"))
+    return _csv(table(spark, d, "orders"), ["order", "customer", "status"], ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderpriority"], "o_orderkey").withColumnRenamed("o_orderpriority", "priority")
 
 
-@query("SELECT s_nationkey AS nation, string_agg(s_name, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY s_suppkey) AS text FROM supplier GROUP BY s_nationkey")
+@query("SELECT s_nationkey AS nation, string_agg(s_name, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY s_suppkey) AS text, 'narrative' AS mode, CAST(NULL AS VARCHAR) AS cut FROM supplier GROUP BY s_nationkey")
 def csv_narrative(spark: SparkSession, d: str) -> DataFrame:
-    return files.narrative(table(spark, d, "supplier"), "s_nationkey", "s_name", "s_suppkey").withColumnRenamed("s_nationkey", "nation")
+    return _csv(table(spark, d, "supplier"), ["id", "Body"], ["s_suppkey", "s_name"], ["s_nationkey"], "s_suppkey").withColumnRenamed("s_nationkey", "nation")
 
 
 # The star schema as a property graph

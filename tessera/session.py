@@ -62,6 +62,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _LEFT[self.base] = self
 
     def write(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Writes ``df`` as Parquet and returns a reader of it; its path is kept in ``last``."""
@@ -72,9 +73,24 @@ class Scratch:
 
     def drop(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
+        jsc = self.spark.sparkContext._jsc  # none once the session has been stopped
         target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target.getFileSystem(jsc.hadoopConfiguration() if jsc else jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
 
     def clear(self) -> None:
         """Drops all tables of this scratch, once nothing reads them any more."""
         self.drop(self.base)
+        _LEFT.pop(self.base, None)
+
+
+_LEFT: dict[str, Scratch] = {}  # scratch folders of this process that are still there
+
+
+@atexit.register
+def _clear_all() -> None:
+    """Removes what is left in the shared folder when the driver ends."""
+    for scratch in list(_LEFT.values()):
+        try:
+            scratch.clear()
+        except Exception:  # the session is gone; nothing more can be done from here
+            return

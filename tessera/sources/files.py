@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.functions.text import cell_text, strip_space
-from tessera.sources.text_formats import EXTENSIONS, file_text
+from tessera.functions.text import collapse_space, strip_space
+from tessera.sources.store import Store
+from tessera.sources.text_formats import EXTENSIONS, READERS, csv_cells, extension
 
-PARSED = "filename string, text string, source string, mtime double, extra map<string,string>, error string"
+PARSED = "filename string, text string, columns array<string>, cells array<array<string>>, source string, mtime double, error string"
+#: Rows of a table without a text or name column that are rendered.
+MOST_ROWS = 200
+# Columns that decide how a CSV file is rendered, in order of preference.
+NARRATIVE = ("full_text", "text", "content", "body", "article", "description")
+NAMES = ("name", "title", "entity", "label", "term")
+KINDS = ("type", "category", "kind", "class", "group")
 
 
 def supported(path_column: str = "path"):
@@ -21,31 +27,92 @@ def supported(path_column: str = "path"):
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Documents of binary files ``path, modificationTime, content``; a file that fails gives a row with its error and no text."""
+    """Documents of binary files ``path, modificationTime, content``; a file that fails gives a row with its error and no text.
+
+    Python only takes files apart; CSV rows become text by expressions.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, mtime, content in zip(batch["path"], batch["mtime"], batch["content"]):
                 name = path.rsplit("/", 1)[-1]
+                text = columns = cells = error = None
                 try:
-                    text, extra = file_text(name, bytes(content))
-                    rows.append((name, text.strip(), path, mtime, extra, None))
+                    if extension(name) == ".csv":
+                        columns, cells = csv_cells(bytes(content))
+                    else:
+                        text = READERS[extension(name)](bytes(content)).strip()
                 except Exception as e:  # one bad file must not end the job
-                    rows.append((name, None, path, mtime, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["filename", "text", "source", "mtime", "extra", "error"])
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((name, text, columns, cells, path, mtime, error))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
     seconds = (F.unix_micros("modificationTime") / 1e6).alias("mtime")
-    return files.where(supported()).select("path", seconds, "content").mapInPandas(parse, PARSED)
+    parsed = files.where(supported()).select("path", seconds, "content").mapInPandas(parse, PARSED)
+    table, extra = csv_rendering(F.col("columns"), F.col("cells"))
+    is_table = F.col("columns").isNotNull()
+    none = F.when(F.col("error").isNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    return parsed.select("filename", F.when(is_table, table).otherwise(F.col("text")).alias("text"), "source", "mtime", F.when(is_table, extra).otherwise(none).alias("extra"), "error")
+
+
+def csv_rendering(columns: Column, cells: Column, most: int = MOST_ROWS) -> tuple[Column, Column]:
+    """Text and metadata of a CSV file given as its header and rows of cells, in which missing ones are null.
+
+    The first of the text columns gives its cells; otherwise a name and a type column give a block per row that has a name;
+    otherwise the first ``most`` rows are listed under a schema.  A file without rows gives an empty text.
+    """
+    lower = F.transform(columns, lambda c: F.lower(c))
+    place = lambda names: F.coalesce(*[F.nullif(F.array_position(lower, F.lit(n)), F.lit(0)) for n in names]).cast("int")
+    text_at, name_at, kind_at = place(NARRATIVE), place(NAMES), place(KINDS)
+    numbers = F.transform(columns, lambda c, i: i + 1)
+    n = F.size(cells)
+
+    def kind(i: Column) -> Column:
+        of = F.transform(cells, lambda r: F.element_at(r, i))
+        all_are = lambda pattern: F.forall(of, lambda c: c.isNull() | c.rlike(pattern))
+        whole, missing = all_are(r"^\s*[-+]?\d+\s*$"), F.exists(of, lambda c: c.isNull())
+        number = all_are(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$")
+        truth = all_are(r"^(?:True|False|TRUE|FALSE|true|false)$") & ~missing
+        return F.when(whole & ~missing, "int64").when(number, "float64").when(truth, "bool").otherwise("object")
+
+    def shown(cell: Column, kind: Column) -> Column:
+        plain = collapse_space(F.coalesce(cell, F.lit("")))
+        as_double = cell.try_cast("double").cast("string")
+        real = F.when(cell.isNotNull() & ~F.contains(as_double, F.lit("E")), as_double).otherwise(plain)
+        return F.when(kind == "float64", real).when(kind == "bool", F.initcap(plain)).otherwise(plain)
+
+    kinds = F.transform(numbers, kind)
+    rows = F.transform(cells, lambda r: F.zip_with(r, kinds, shown))
+    pair = lambda row, i, form: F.format_string(form, F.element_at(columns, i), F.element_at(row, i))
+    listed = lambda row, form, keep: F.transform(F.filter(numbers, lambda i: keep(i) & (F.element_at(row, i) != "")), lambda i: pair(row, i, form))
+    narrative = F.array_join(F.transform(cells, lambda r: F.element_at(r, text_at)), "\n\n---\n\n")
+
+    def block(row: Column) -> Column:
+        said = F.element_at(row, kind_at)
+        head = F.array(F.concat(F.lit("## "), F.element_at(row, name_at)), F.concat(F.lit("- **Type:** "), F.when(said == "", "unspecified").otherwise(said)))
+        return F.array_join(F.concat(head, listed(row, "- **%s:** %s", lambda i: (i != name_at) & (i != kind_at))), "\n")
+
+    named = F.array_join(F.transform(F.filter(rows, lambda r: F.element_at(r, name_at) != ""), block), "\n\n")
+    lines = F.filter(F.transform(F.slice(rows, 1, most), lambda r: F.array_join(listed(r, "%s=%s", lambda i: F.lit(True)), "; ")), lambda x: x != "")
+    schema = F.array_join(F.zip_with(columns, kinds, lambda c, k: F.concat(c, F.lit(" ("), k, F.lit(")"))), ", ")
+    head = F.concat(F.lit("Schema: "), schema, F.lit("\n\nRows ("), F.least(F.lit(most), n).cast("string"), F.lit(" of "), n.cast("string"), F.lit("):\n"))
+    table = F.concat(head, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))
+
+    by_name = name_at.isNotNull() & kind_at.isNotNull()
+    mode = F.when(n == 0, "empty").when(text_at.isNotNull(), "narrative").when(by_name, "entity_per_row").otherwise("table")
+    text = F.when(mode == "empty", "").when(mode == "narrative", narrative).when(mode == "entity_per_row", named).otherwise(table)
+    meta = F.create_map(F.lit("row_count"), n.cast("string"), F.lit("csv_mode"), mode)
+    cut = F.create_map(F.lit("truncated_to"), F.lit(str(most)))
+    return strip_space(text), F.when((mode == "table") & (n > most), F.map_concat(meta, cut)).otherwise(meta)
 
 
 def parse_topic(spark: SparkSession, folder: str, with_errors: bool = False) -> DataFrame:
     """The documents of a topic's folder, not of its subfolders; empty texts are dropped.
 
-    Raises ``FileNotFoundError`` for a missing local folder.  ``with_errors`` keeps the rows of files that failed.
+    Raises ``FileNotFoundError`` for a missing folder.  ``with_errors`` keeps the rows of files that failed.
     """
-    local = folder.removeprefix("file://")
-    if "://" not in folder.removeprefix("file://") and not Path(local).is_dir():
+    if not Store(spark, folder).exists(""):
         raise FileNotFoundError(f"no folder for this topic: {folder}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     docs = parse_files(files)
@@ -64,33 +131,10 @@ def html_fallback(html):
     return strip_space(F.regexp_replace(c, r"[ \t]*\n\s*", "\n"))
 
 
-# Renderings of tabular rows by expressions, for tables that are already DataFrames.
-
-
-def entity_block(name, kind, others: dict):
-    """A labelled block for one row: name, type and the cells that are not empty; null if the name is."""
-    lines = [F.concat(F.lit("## "), cell_text(name)), F.concat(F.lit("- **Type:** "), F.when(cell_text(kind) == "", "unspecified").otherwise(cell_text(kind)))]
-    lines += [F.when(cell_text(v) != "", F.concat(F.lit(f"- **{k}:** "), cell_text(v))) for k, v in others.items()]
-    return F.when(cell_text(name) != "", F.concat_ws("\n", *lines))
-
-
-def table_line(cells: dict):
-    """``- a=1; b=2`` of the cells that are not empty; null if all are."""
-    shown = F.concat_ws("; ", *[F.when(cell_text(v) != "", F.concat(F.lit(f"{k}="), cell_text(v))) for k, v in cells.items()])
-    return F.when(shown != "", F.concat(F.lit("- "), shown))
-
-
-def narrative(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """Non-null texts of each key in order, joined by rules between them."""
-    parts = F.array_sort(F.collect_list(F.struct(order, text)))
-    return rows.where(F.col(text).isNotNull()).groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x[text]), "\n\n---\n\n").alias("text"))
-
-
 def tolerant_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One row of a JSON file under a schema; nothing where it is missing or corrupt."""
-    local = Path(path.removeprefix("file://"))
     parsed = _schema(schema)
-    if "://" not in path.removeprefix("file://") and not local.exists():
+    if not Store(spark, path).exists(""):
         return spark.createDataFrame([], parsed)
     raw = spark.read.option("wholetext", True).text(path)
     good = raw.select(F.from_json("value", parsed, {"mode": "PERMISSIVE"}).alias("v"), F.expr("try_parse_json(value)").isNotNull().alias("ok"))

@@ -14,7 +14,7 @@ def watch_topic(topic: Topic, checkpoint: str, once: bool = True, **build_option
 
     Builds are incremental by the manifest, so a batch that is delivered again after a failure changes nothing.
     """
-    files = topic.spark.readStream.format("binaryFile").schema(FILES).load(str(topic.engine.raw / topic.name)).select("path", "modificationTime")
+    files = topic.spark.readStream.format("binaryFile").schema(FILES).load(f"{topic.engine.raw}/{topic.name}").select("path", "modificationTime")
 
     def rebuild(batch, _number: int) -> None:
         if not batch.isEmpty():

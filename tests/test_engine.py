@@ -1,9 +1,12 @@
 import json
+import time
+import zipfile
 
 import pytest
 
 from tessera import models
 from tessera.engine import NO_SUMMARIES, NOT_ENOUGH, Busy, Engine
+from tessera.sources.store import Store
 from tessera.streaming.ingest import watch_topic
 
 
@@ -100,7 +103,7 @@ def test_failed_model_rows_keep_their_error(spark):
 def test_resolver_has_two_passes(spark, tmp_path):
     class Pairs(models.ExtractiveModel):
         def _resolve(self, prompt, **_):
-            has = lambda n: f"- {n} (" in prompt
+            has = lambda n: f'- "{n}" (' in prompt
             out = []
             if has("Alpha Social") and has("Zeta Social") and "): " + "d" * 120 + "\n" in prompt + "\n":
                 out.append(["Alpha Social Network, rewritten", "Zeta Social", "Alpha Social", "Not A Node At All"])
@@ -113,3 +116,65 @@ def test_resolver_has_two_passes(spark, tmp_path):
     topic = Engine(spark, str(tmp_path), str(tmp_path), model=Pairs()).topic("t")
     got = {(r["alias"], r["canonical"], r["origin"]) for r in topic._resolve(nodes).collect()}
     assert got == {("Zeta Social", "Alpha Social", "learned"), ("Concept 01", "Concept 00", "learned"), ("Concept 03", "Concept 02", "learned")}
+
+
+class Scripted:
+    """A model whose answers are given per task; one name makes it hang, one makes it fail."""
+
+    def __init__(self, structured=None, **answers):
+        self.answers, self.as_object = answers, structured
+
+    def complete(self, task, prompt, **fields):
+        if "hang" in prompt:
+            time.sleep(30)
+        return self.answers[task]
+
+    def structured(self, task, prompt, **fields):
+        if self.as_object is None:
+            raise NotImplementedError
+        return self.as_object
+
+    def stream(self, task, prompt, **fields):
+        yield from ("<think>no", "ise</think> ", "One ", "two.")
+
+
+def test_calls_are_bounded_in_time(spark):
+    rows = spark.createDataFrame([(1, "fine"), (2, "hang")], "k long, prompt string")
+    got = {r["k"]: r for r in models.map_model(rows, Scripted(summarise="said"), "summarise", ["k"], seconds=1).collect()}
+    assert got[1]["answer"] == "said" and got[1]["error"] is None and got[2]["answer"] is None and "TimeoutError" in got[2]["error"]
+    with pytest.raises(TimeoutError):
+        models.complete(Scripted(summarise="x"), "summarise", "hang", 0.2)
+
+
+def test_extraction_falls_back_to_plain_text():
+    assert models.complete(Scripted(extract="plain"), "extract", "p") == "plain"
+    assert models.complete(Scripted("object", extract="plain"), "extract", "p") == "object"
+    assert list(models.stream(Scripted(), "answer", "p")) == ["One ", "two."]
+    assert isinstance(models.make_model("chat", base_url="http://localhost:1/v1", model="m"), models.ChatModel)
+    assert models.SentenceEmbedder.available() in (True, False)
+
+
+def test_settings_progress_and_archive(built, tmp_path):
+    _, topic, raw, _ = built
+    (raw / "c.md").write_text("Radio Panels were compared with Geo Tests.")
+    assert topic.build(context="radio", entity_types=["CONCEPT"])["status"] == "ready"
+    assert topic.settings()["context"] == "radio" and topic.settings()["entity_types"] == ["CONCEPT"]
+    task = topic.engine.running["t"]
+    assert task["documents"] == task["documents_done"] == 1 and task["documents_failed"] == 0
+    n = topic.export_zip(str(tmp_path / "v.zip"))
+    with zipfile.ZipFile(tmp_path / "v.zip") as z:
+        assert len(z.namelist()) == n + 1 and "t/_index.md" in z.namelist()
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    store.replace("x", spark.createDataFrame([(1,)], "a int"))
+    with pytest.raises(Exception):
+        store.replace("x", spark.range(1).selectExpr("raise_error('no') AS a"))
+    assert store.table("x", "a int").collect() == [(1,)]
+    store.replace("x", store.table("x", "a int").selectExpr("a + 1 AS a"))
+    store.append("x", spark.createDataFrame([(7,)], "a int"))
+    assert sorted(r["a"] for r in store.table("x", "a int").collect()) == [2, 7] and store.table("y", "a int").count() == 0
+    for _ in range(3):
+        store.replace("x", store.table("x", "a int"))
+    assert len(store.folders("x")) == 2

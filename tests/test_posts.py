@@ -13,14 +13,18 @@ Text with **bold**, *thin* and `code` [^2] [^1].
 |---|---|
 | 1 | <2> |
 
-```chart
+```chartjs
 {"type": "bar"}
 ```
 
-```chart
+```chartjs
 broken
 ```
 
+```chart
+{"type": "no chart of a post"}
+```
+
 [^2]: Second
 [^10]: Tenth
 [^1]: First"""
@@ -29,7 +33,7 @@ broken
 def test_page():
     body = posts.post_body(POST)
     assert "<h1>A &amp; B</h1>" in body and "<strong>bold</strong>" in body and "<em>thin</em>" in body
-    assert "<ul>\n<li>one</li>\n<li>two</li>\n</ul>" in body and "<ol>\n<li>first</li>\n</ol>" in body
+    assert "<ul><li>one</li><li>two</li></ul>" in body and "<ol><li>first</li></ol>" in body
     assert "<th>a</th>" in body and "<td>&lt;2&gt;</td>" in body
     assert body.count("<canvas") == 1 and "<pre><code>broken</code></pre>" in body
     assert [k for k, _ in posts.footnotes(POST)] == ["1", "2", "10"] and posts.charts(POST) == [{"type": "bar"}]

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 
 from tessera.sources import files
-from tessera.sources.text_formats import csv_text, docx_text, html_text, plain_text
+from tessera.sources.text_formats import docx_text, html_text, plain_text
 
 
 def test_plain_and_html():
@@ -22,13 +22,27 @@ def test_docx():
     assert docx_text(buf.getvalue()) == "One line\n\nTwo"
 
 
-def test_csv_modes():
-    assert csv_text(b"id,Text\n1,a\n2,\n3,b\n") == ("a\n\n---\n\nb", {"row_count": "3", "csv_mode": "narrative"})
-    text, meta = csv_text(b"name,type,x\nA,T,1\n,T,2\nB,,\n")
-    assert text == "## A\n- **Type:** T\n- **x:** 1.0\n\n## B\n- **Type:** unspecified" and meta["csv_mode"] == "entity_per_row"
-    text, meta = csv_text(b"a,b\n" + b"".join(b"%d,x\n" % i for i in range(250)))
-    assert text.startswith("Schema: a (int64), b (") and "Rows (200 of 250):\n- a=0; b=x" in text and meta["truncated_to"] == "200"
-    assert csv_text(b"a,b\n")[1]["csv_mode"] == csv_text(b"")[1]["csv_mode"] == "empty"
+def test_html_main_content_and_tables():
+    page = b"<body><div>Menu</div><article><h1>T</h1><!-- no --><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td><b>x</b> y</td></tr></table><p>Body text.</p></article><aside>More</aside></body>"
+    assert html_text(page) == "T\na | b\n1 | x y\nBody text."
+    assert html_text(b"<main></main><p>only</p>") == "only" and html_text(b"<article>open<p>end") == "open\nend"
+
+
+def test_csv_modes(spark, tmp_path):
+    contents = {
+        "narrative": b"id,Text\n1,a\n2,\n3,b\n", "entities": b"name,type,x\nA,T,1\n,T,2\nB,,\n", "table": b"a,b\n" + b"".join(b"%d,x\n" % i for i in range(250)), "nothing": b"\n", "head": b"a,b\n",
+        "numbers": b"a,b,c\n1.50,True,\"x,  y\"\n,False,NA\n", "long": b"a\n1,2\n", "short": b"\xef\xbb\xbfa,b\n\n1\n",
+    }
+    for name, content in contents.items():
+        (tmp_path / f"{name}.csv").write_bytes(content)
+    rows = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {r["filename"].removesuffix(".csv"): r for r in files.parse_files(rows).collect()}
+    assert got["narrative"]["text"] == "a\n\n---\n\nb" and got["narrative"]["extra"] == {"row_count": "3", "csv_mode": "narrative"}
+    assert got["entities"]["text"] == "## A\n- **Type:** T\n- **x:** 1.0\n\n## B\n- **Type:** unspecified" and got["entities"]["extra"]["csv_mode"] == "entity_per_row"
+    assert got["table"]["text"].startswith("Schema: a (int64), b (object)\n\nRows (200 of 250):\n- a=0; b=x\n") and got["table"]["extra"]["truncated_to"] == "200" and got["table"]["text"].endswith("- a=199; b=x")
+    assert got["nothing"]["extra"]["csv_mode"] == got["head"]["extra"]["csv_mode"] == "empty" and got["nothing"]["text"] == ""
+    assert got["numbers"]["text"] == "Schema: a (float64), b (bool), c (object)\n\nRows (2 of 2):\n- a=1.5; b=True; c=x, y\n- b=False"
+    assert got["long"]["text"] is None and "line 2" in got["long"]["error"] and got["short"]["text"].endswith("- a=1")
 
 
 def test_parse_topic(spark, tmp_path):
