@@ -34,8 +34,9 @@ PARAGRAPHS = re.compile(r"\n[ \t\r]*\n")
 TABLE_LINE = re.compile(r"[ \t]*\|.*\|[ \t\r]*$|[^\t\n]*(?:\t[^\t\n]*){2,}$")
 CODE_LINE = re.compile(
     r"[\w\])]\s*(?:[-+*/:|]?=|==|!=|<=|>=|->|=>)\s*[\w\"'({\[]|\w\([^()]{0,200}\)"
-    r"|\b(?:def|return|import|function|class|elif|for|while|if|var|let|const)\b.{0,200}[:({;]|\b(?:SELECT|FROM|WHERE|INSERT|UPDATE|CREATE)\b|^[ \t]*[{}()\];]+[ \t]*$"
+    r"|^[ \t]*(?:def|return|import|function|class|elif|for|while|if|var|let|const)\b.{0,200}(?:[({;]|:[ \t]*\r?$)|\b(?:SELECT|FROM|WHERE|INSERT|UPDATE|CREATE)\b|^[ \t]*[{}()\];]+[ \t]*$"
 )
+CODE_CHARACTER = re.compile(r"[=({};>\])]|\b(?:SELECT|FROM|WHERE|INSERT|UPDATE|CREATE)\b|:[ \t]*\r?$")
 ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
 NUMBER = re.compile(r"[±+\-−~<>≈]?\s*\d[\d.,  %€$£]*\s?\w{0,3}$")
 
@@ -50,7 +51,7 @@ BLOCKS = "doc_id bigint, chars long, size int, ratio double, sentences double, c
 
 def _is_table(lines: list[str]) -> bool:
     """Most lines are rows, and at least a quarter of their cells are numbers."""
-    rows = [x for x in lines if TABLE_LINE.match(x)]
+    rows = [x for x in lines if ("|" in x or "\t" in x) and TABLE_LINE.match(x)]
     if 2 * len(rows) <= len(lines):
         return False
     cells = [c for x in rows for c in map(str.strip, re.split(r"[|\t]", x)) if c.strip("-: ")]
@@ -59,6 +60,8 @@ def _is_table(lines: list[str]) -> bool:
 
 def _is_code(lines: list[str], fenced: bool) -> bool:
     """Most lines, within a fence a quarter of them, hold what only code holds."""
+    if not any(map(CODE_CHARACTER.search, lines)):  # none of what CODE_LINE asks for
+        return False
     lines = [x for x in lines if not x.lstrip().startswith(("```", "~~~"))]
     return (4 if fenced else 2) * sum(bool(CODE_LINE.search(ADDRESS.sub(" ", x))) for x in lines) > len(lines)
 

@@ -58,6 +58,11 @@ def test_separators_and_fences_do_not_exempt(spark):
         assert sorted(r[0] for r in S.spam_pages(df).collect()) == [1, 2, 3, 4, 5]
 
 
+def test_prose_with_words_of_code_is_prose():
+    for text in ("Sales rose by 40 percent for most of the autumn; nobody knew why (it rained).", "It worked while stock was short: the panel (an old one) agreed from the start;"):
+        assert [kind for kind, _ in S.text_blocks(text)] in (["prose"], ["bare"])
+
+
 def test_empty(spark):
     assert S.spam_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
