@@ -180,7 +180,7 @@ def clustered_names(entities: DataFrame, aliases: DataFrame, recall: float = 0.9
     members = merged.join(forms, FORM)
     person = F.col("kind").isin("person", "initial")
     counts = members.groupBy("topic", "cluster").agg(F.max(person.cast("int")).alias("person"), F.max(F.col("kind").isin("org", "acronym").cast("int")).alias("org"), *[F.sum(v).alias(v) for v in votes])
-    named = counts.where((F.col("person") == 1) | (F.col("other_votes") <= 2 * (F.col("person_votes") + F.col("org_votes")) + 2 * F.col("org")))
+    named = counts.where((F.col("person") == 1) | (F.col("other_votes") <= 2 * (F.col("person_votes") + F.col("org_votes")) + 2 * F.col("org")))  # forms by votes alone passed a stricter bound
     kept = merged.join(named.select("topic", "cluster"), ["topic", "cluster"])
     placed = parsed.select("topic", "folded", "form").join(kept, FORM)
     return strings.join(placed, ["topic", "folded"]).select("topic", "name", "cluster")

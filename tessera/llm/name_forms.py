@@ -52,8 +52,13 @@ def edits(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours; 9 if clearly more than 2."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > 2 or len(a) > 64:
+    if abs(len(a) - len(b)) > 2:
         return 9
+    # Equal beginnings and ends cost nothing, so words of any length are compared; one letter of each stays for swaps.
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
+    a, b = a[max(0, head - 1) : len(a) - max(0, tail - 1)], b[max(0, head - 1) : len(b) - max(0, tail - 1)]
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -105,23 +110,23 @@ def word_similarity(a: str, b: str, strict: bool = False) -> float:
 
 
 def monge_elkan(a: list[str], b: list[str], strict: bool = False) -> tuple[float, float]:
-    """Mean and least similarity of each word to its best partner, of both directions; every partner is used once."""
+    """Monge–Elkan similarity, that is the mean over the words of one name of their best similarity to a word of the other, the
+    lesser of both directions; and the least of these best similarities."""
     if not a or not b:
         return 0.0, 0.0
-    pairs = sorted(((word_similarity(x, y, strict), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
-    used_a, used_b, got = set(), set(), []
-    for s, i, j in pairs:
-        if s > 0 and i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            got.append(s)
-    missing = max(len(a), len(b)) - len(got)
-    return sum(got) / max(len(a), len(b)), 0.0 if missing else min(got)
+    table = [[word_similarity(x, y, strict) for y in b] for x in a]
+    of_a, of_b = [max(row) for row in table], [max(column) for column in zip(*table)]
+    return min(sum(of_a) / len(a), sum(of_b) / len(b)), min(min(of_a), min(of_b))
+
+
+#: A string of more words is a text.
+MOST_WORDS = 40
 
 
 @dataclass(frozen=True)
 class Form:
-    """A parsed name.  kind: person, initial (person by initial), org, stem (organisation by one word), acronym or other."""
+    """A parsed name.  kind: person, initial (person by initial), org, stem (organisation by one word), acronym, name (a person or
+    organisation by its votes alone) or other."""
 
     kind: str
     words: tuple[str, ...]  # person: given name or initial, surname(s); otherwise the significant words
@@ -138,6 +143,7 @@ def given_name(word: str) -> str | None:
         return GIVEN[word]
     if len(word) >= 5:
         near = [n for letter in {word[0], word[1]} for n in FORMAL_BY_LETTER.get(letter, ()) if misspelt(word, n) and edits(word, n) <= (1 if min(len(word), len(n)) < 8 else 2)]
+        near = near or [n for n in NICKNAMES if len(n) == len(word) >= 6 and n[1:] == word[1:]]  # a wrong first letter
         if len(near) == 1:
             return near[0]
         if near:
@@ -185,9 +191,9 @@ def _is_body(word: str) -> bool:
 def parse(name: str, person_votes: int = 0, org_votes: int = 0, other_votes: int = 0) -> Form:
     """The form of a name.  Votes (how often its rows are typed so) decide only where words do not.
 
-    A string of more than 200 characters is no name of a person or organisation.
+    A string of more than ``MOST_WORDS`` words is a text and no name of a person or organisation.
     """
-    if len(name) > 200 and len(name.strip()) > 200:
+    if len(name) > 2 * MOST_WORDS and len(name.split(None, MOST_WORDS)) > MOST_WORDS:
         return Form("other", ())
     text = re.sub(r"\s+", " ", re.sub(r"(?<=\S)\s*\([^()]*\)", " ", name)).strip()
     dotted = re.fullmatch(r"(?:[^\W\d_]\.){2,6}[^\W\d_]?\.?", text)
@@ -202,8 +208,9 @@ def parse(name: str, person_votes: int = 0, org_votes: int = 0, other_votes: int
         tail = next((x for x in INDUSTRY if len(x) >= 5 and plain[0].endswith(x) and len(plain[0]) >= len(x) + 4), None)
         if tail:
             plain = [plain[0][: -len(tail)], tail]
-    if not plain or any(any(c.isdigit() for c in w) for w in plain):
+    if not any(any(c.isalpha() for c in w) for w in plain):
         return Form("other", tuple(plain))
+    numbered = any(any(c.isdigit() for c in w) for w in plain)  # no word of a person
     body = list(plain)
     while len(body) > 1 and (_legal(body[-1]) or len(body) > 2 and 1 <= len(body[-1]) <= 3 and any(map(_is_org_word, body[:-1])) and any(len(x) <= 3 and edits(body[-1], x) <= 1 for x in LEGAL)):
         body.pop()
@@ -217,12 +224,12 @@ def parse(name: str, person_votes: int = 0, org_votes: int = 0, other_votes: int
     known = [given_name(w) for w in in_titles]
     exact = [w in GIVEN for w in in_titles]
     bodies = any(map(_is_body, significant))
-    if 2 <= len(in_titles) <= 4 and not org_words and not any(w in TERM_WORDS for w in in_titles):
+    if 2 <= len(in_titles) <= 4 and not numbered and not org_words and not any(w in TERM_WORDS for w in in_titles):
         initials = [k for k, w in enumerate(in_titles) if len(w) == 1 and (typed.get(w, "").isupper() or "." in typed.get(w, ""))]
         run_in = [k for k, w in enumerate(in_titles) if len(w) == 2 and k in (0, len(in_titles) - 1) and typed.get(w, "").isupper() and not shouted]
         for k in run_in:
             known[k], exact[k] = None, False
-        votes_person = person_votes >= 2 and person_votes > org_votes and person_votes > 2 * other_votes
+        votes_person = person_votes >= 1 and person_votes > org_votes and person_votes > 2 * other_votes and not had_legal
         if any(known) or (initials or run_in) and len(in_titles) - len(initials) - len(run_in) == 1 and not had_legal or votes_person:
             return _person(in_titles, known, exact, initials + run_in, comma is not None)
     if not significant:
@@ -236,7 +243,8 @@ def parse(name: str, person_votes: int = 0, org_votes: int = 0, other_votes: int
         return Form("stem", tuple(significant))
     if len(significant) >= 3 and other_votes <= org_votes + person_votes and any(abbreviates(w, x) for w in significant for x in BODIES):
         return Form("org", tuple(significant))
-    return Form("other", tuple(significant))
+    meant = person_votes + org_votes
+    return Form("name" if meant >= 2 and meant > 2 * other_votes else "other", tuple(significant))
 
 
 def _person(words: list[str], known: list[str | None], exact: list[bool], initials: list[int], comma: bool) -> Form:
@@ -265,14 +273,16 @@ def same_entity(a: Form, b: Form) -> tuple[float, bool]:
         if not given or (kinds == {"person"} and a.words[0] != b.words[0] and a.words[0] in NICKNAMES and b.words[0] in NICKNAMES):
             return 0.0, False
         mean, least = monge_elkan(list(a.words[1:]), list(b.words[1:]), strict=True)
-        return ((given + 2 * mean) / 3, False) if least >= 0.75 else (0.0, False)
+        # Surnames decide; the score is the Monge–Elkan similarity of all words, each surname weighing as much as the given name.
+        n = (len(a.words) + len(b.words)) / 2
+        return ((given + (n - 1) * mean) / n, False) if least >= 0.75 else (0.0, False)
     if kinds == {"person", "initial"}:
         short, full = (a, b) if a.kind == "initial" else (b, a)
         if short.words[0] != full.words[0][0]:
             return 0.0, False
         mean, least = monge_elkan(list(short.words[1:]), list(full.words[1:]), strict=True)
         return (mean, True) if least >= 0.75 else (0.0, False)
-    if kinds == {"org"} or kinds == {"stem"}:
+    if kinds == {"stem"} or kinds <= {"org", "name"}:
         mean, least = monge_elkan(list(a.words), list(b.words))
         by_initial = any(len(w) == 1 for w in a.words) != any(len(w) == 1 for w in b.words)
         return (mean, by_initial) if least >= 0.7 and mean >= 0.85 else (0.0, False)
@@ -301,6 +311,8 @@ def blocking_sets(form: Form) -> list[tuple[str, list[str], bool]]:
         return [("s", grams(form.words[0]), False)]
     if form.kind == "acronym":
         return [("a", ["".join(sorted(form.words[0]))], True)]
+    if form.kind == "name":
+        return [("o", [g for w in sorted(form.words) for g in grams(w)], False)]
     if form.kind == "org":
         views = [("o", [g for w in sorted(form.words) for g in grams(w)], False)]
         rest = [w for w in form.words if not _is_org_word(w)]

@@ -1,3 +1,5 @@
+import collections
+import functools
 import itertools
 
 import pytest
@@ -123,6 +125,57 @@ def test_two_surnames_recall_against_brute_force(spark):
     assert len(links & got) >= 0.97 * len(links) > 0
 
 
+def test_names_outside_all_tables_link_to_their_reorderings(spark):
+    groups = [["Hiroshi Tanaka", "Tanaka, Hiroshi", "HIROSHI TANAKA"], ["Priya Raghunathan", "Raghunathan, Priya", "Priya Raghunatan"], ["Fatima Al-Zahrani", "Al-Zahrani, Fatima"], ["Wei Chen", "Chen, Wei"], ["Kofi Mensah", "Mensah, Kofi"]]
+    groups += [["3M Company", "3M Co."], ["Channel 4 Television Ltd", "Channel 4 Television", "Chanel 4 Television"], ["7Eleven Inc.", "7Eleven"]]
+    names = [(n, "PERSON" if k < 5 else "ORG") for k, g in enumerate(groups) for n in g for _ in range(1 if k < 5 else 2)]
+    want = {tuple(sorted(p)) for g in groups for p in itertools.combinations(g, 2)}
+    assert pairs(spark, names) == want
+
+
+def test_wrong_first_letter_of_a_listed_given_name():
+    assert N.parse("Kichael Corrwyck").key == N.parse("Michael Corrwyck").key
+
+
+def test_monge_elkan_is_the_mean_of_best_partners():
+    table = lambda a, b: [[N.word_similarity(x, y) for y in b] for x in a]
+    for a, b in ((["media", "group"], ["media", "groop"]), (["north", "sea", "north"], ["north", "sea"]), (["x"], ["y", "x"]), (["velmonte"], ["velmnote", "audio"])):
+        t = table(a, b)
+        want = min(sum(map(max, t)) / len(a), sum(map(max, zip(*t))) / len(b))
+        assert N.monge_elkan(a, b)[0] == pytest.approx(want)
+    assert N.monge_elkan([], ["a"]) == (0.0, 0.0)
+
+
+def test_recall_of_the_candidates_over_all_strings(spark):
+    """Queries: every hundredth string, compared with all strings of its topic by the similarity alone; nicknames off."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/extracted_entities.parquet").where("trim(name) <> ''").select("topic", "name", "type", "ent_id").collect()
+    votes = collections.defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        kind = (r["type"] or "").strip().upper()
+        votes[r["topic"], r["name"]][0 if kind in E.PERSON_TYPES else 1 if kind in E.ORG_TYPES else 2] += kind not in E.OPEN_TYPES
+    forms = collections.defaultdict(set)
+    for (topic, name), v in votes.items():
+        forms[topic].add(N.parse(name, *v))
+    asked = {(r["topic"], N.parse(r["name"], *votes[r["topic"], r["name"]])) for r in rows if r["ent_id"] % 100 == 0}
+    import numpy as np
+
+    n_rows, bands = E.banding(0.97, 0.42, 0.2)
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(1, 1 << 31, n_rows * bands, dtype=np.uint64) % E._P, rng.integers(0, 1 << 31, n_rows * bands, dtype=np.uint64) % E._P
+
+    @functools.lru_cache(maxsize=None)
+    def keys(form):
+        return frozenset((view, n, h) for view, grams, exact in N.blocking_sets(form) for n, h in enumerate([hash(g) for g in grams] if exact else E.band_keys(grams, n_rows, bands, a, b)))
+
+    links = met = 0
+    for topic, form in asked:
+        for other in forms[topic]:
+            if other != form and N.same_entity(form, other)[0] > 0:
+                links += 1
+                met += bool(keys(form) & keys(other))
+    assert links >= 30 and met >= 0.9 * links
+
+
 def test_long_strings_are_no_names():
     assert N.parse("Ann " * 100_000).kind == "other" and N.parse("x" * 500_000).kind == "other"
     assert N.edits("a" * 10_000, "b" * 10_000) == 9
