@@ -122,6 +122,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d)
 
 
+@query
+def p4_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.elected_descriptions(table(spark, d, "extracted_entities"), table(spark, d, "extractors"))
+
+
 @query
 def p4_types_and_sources(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d).where("field <> 'description'")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -41,11 +42,63 @@ def test_usable_descriptions(spark):
     assert got == [True] * len(good) + [False] * len(bad)
 
 
-def test_consensus():
-    assert S.consensus(["a b c d", "a x c d", "a x c"]) == ["a", "b", "c", "d"]
-    assert S.closest_to_consensus(["a b c d", "a x c d", "a x c d"]) == 0
-    for values in (["one"], ["a b", "b a", "c"], ["x y z", "x z", "y z w q"]):
-        assert S.closest_to_consensus(values) == 0  # priority outweighs all later values together
+def by_weight(values):
+    return sorted(values, key=lambda x: (-x[1], x[0]))
+
+
+def closest(values, ids=None):
+    voted = S.consensus(by_weight(values))
+    return min(by_weight(values), key=lambda v: (S.token_distance(v[0].split(), voted), -v[1], ids[v[0]] if ids else 0))[0]
+
+
+def test_consensus_is_a_vote():
+    assert S.consensus([("a b c d", 2.0), ("a x c d", 1.5), ("a x c", 1.0)]) == ["a", "x", "c", "d"]
+    assert closest([("a b c d", 2.0), ("a x c d", 1.5), ("a x c", 1.0)]) == "a x c d"  # not the heaviest one
+    assert S.consensus([("one", 1.0)]) == ["one"]
+
+
+def test_a_value_that_outweighs_all_others_is_the_consensus():
+    """Why priority needs no alignment: with such weights the vote gives the first value, whatever the others are."""
+    rng = random.Random(4)
+    for _ in range(300):
+        values = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 6))]
+        assert S.consensus([(v, 2.0**-n) for n, v in enumerate(values)]) == values[0].split()
+
+
+def vote(spark, rows):
+    ents = spark.createDataFrame([(*r, None, None) for r in rows], ENT)
+    ext = spark.createDataFrame([("curated", 4), ("auto", 1), ("raw", 0)], "extractor string, trust int")
+    return {r["first_id"]: r for r in S.elected_descriptions(ents, ext).collect()}
+
+
+def test_election_against_brute_force(spark):
+    rng, rows, want, n = random.Random(7), [], {}, 0
+    for g in range(25):
+        base = ["It", "leads", "the", rng.choice(["work", "plan"]), "in", rng.choice(["Rome", "Lyon", "Bern"])]
+        votes, first, ids = {}, n, {}
+        for _ in range(rng.randint(2, 9)):
+            tokens = base[:2] + [t if rng.random() < 0.7 else rng.choice(["old", "new", "big"]) for t in base[2:]]
+            text, extractor = f"{' '.join(tokens)}.", rng.choice(["curated", "auto", "raw"])
+            rows.append((n, "t", f"G{g}", "CONCEPT", text, None, extractor, at(5), None))
+            votes[text] = votes.get(text, 0) + {"curated": 5, "auto": 2, "raw": 1}[extractor] * (0.5 + 0.5 * 6 / 20)
+            ids.setdefault(text, n)
+            n += 1
+        want[first] = (ids, votes)
+    usable = {r["ent_id"] for r in spark.createDataFrame([(*r, None, None) for r in rows], ENT).where(S.usable_description(F.col("description"), F.col("name"))).collect()}
+    assert len(usable) > 60
+    for first, r in vote(spark, rows).items():
+        ids, votes = want[first]
+        ok = {t: w for t, w in votes.items() if any(x[0] in usable and x[4] == t and x[2] == rows[first][2] for x in rows)}
+        assert r["n_texts"] == len(ok) and r["ent_id"] == ids[closest([(t, round(w, 9)) for t, w in ok.items()], ids)]
+
+
+def test_a_large_group_is_voted_as_a_tree(spark):
+    """The majority wins although the most trusted, latest row says something else, and no step takes more than a few texts."""
+    rows = [(i, "t", "Hub", None, f"Hub leads panel number {i} in Rome.", None, "auto", at(1), None) for i in range(400)]
+    rows += [(400, "t", "Hub", None, "Hub sells cars in the far north.", None, "curated", at(9), None), (401, "t", "Hub", None, "", None, "auto", None, None), (402, None, "Hub", None, "Hub leads.", None, None, None, None)]
+    got = vote(spark, rows)
+    assert set(got) == {0} and got[0]["n_texts"] == 401 and got[0]["ent_id"] < 400 and got[0]["distance"] == 1
+    assert vote(spark, []) == {}
 
 
 def test_hot_group_and_edges(spark):
