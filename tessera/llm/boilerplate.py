@@ -7,12 +7,18 @@ title opens the main body; what stands before it is bad.  In the second pass sho
 the label of their nearest decided neighbours: a line that heads a good block is good, one between good and
 bad goes with the nearer.
 
-Scale.  A map over pages without a shuffle; rows of other file kinds are filtered out before Python.
+``learned_lines`` does the same without any cue words: in the first pass stop-word density, length, link density, the site's own
+name and the number of the site's pages that repeat a line decide, so it holds for languages and sites that the lists do not
+know.  It finds a little less and is a little less exact where the lists do know them.
+
+Scale.  With cue words a map over pages without a shuffle; rows of other file kinds are filtered out before Python.  Without, one
+aggregation counts hashed lines per site; only lines that repeat go back to their pages.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import ALL_STOP
+from tessera.session import Scratch
 
 # Cue words of notices, menus, sharing, teasers and footers in English, German, French and Spanish.
 MENU_WORDS = frozenset(
@@ -164,6 +171,41 @@ def _decide(line: str, site: re.Pattern | None) -> int:
     return OPEN
 
 
+OWN_VOICE = re.compile(r"\b(?:you|your|we|our|ihr|ihre|wir|unser\w*|vous|votre|nous|notre|usted|su|sus|nuestr\w+)\b", re.I)
+
+
+def line_key(line: str) -> int:
+    """What lines of a site are compared by: their words, all numbers alike."""
+    return int.from_bytes(hashlib.blake2b(re.sub(r"\d+", "0", _folded(line)).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _decide_learned(line: str, site: re.Pattern | None, pages: int) -> int:
+    """First pass, one line, without cue words; ``pages``: how many pages of the site have the line."""
+    text = line.strip()
+    bare = LIST_MARK.sub("", text).strip()
+    label, rest = LINK.sub(lambda m: m.group(1) or "", bare), LINK.sub("", bare)
+    if rest != bare and len(re.sub(r"\W", "", rest)) <= 0.3 * max(1, len(re.sub(r"\W", "", label))):
+        return BAD
+    ends = bool(SENTENCE.search(bare[-12:]))
+    if text.startswith((">", "|")) or HEADING.match(text) or CODE.match(line) and (CODE_START.match(line) or CODE_SIGNS.search(line)):
+        return GOOD
+    if not ends and READING_TIME.search(bare[-40:]):
+        return BAD
+    if bare is not text and LIST_MARK.match(text):
+        return GOOD
+    words, named = bare.split(), bool(site and site.search(bare))
+    parts = [p for p in MENU_SEPARATORS.split(text) if p.strip()]
+    if len(parts) >= 3 and max(map(len, parts)) <= 60 and not SENTENCE.search(text):
+        return BAD
+    stop = sum(w in ALL_STOP for w in bare.lower().replace("'", " ").replace("’", " ").split())
+    good = len(words) >= 8 and (ends and stop >= 0.15 * len(words) or len(bare) > 160 and stop >= 0.2 * len(words))
+    if named and (pages > 1 or len(words) < 16 or len(words) < 30 and OWN_VOICE.search(bare)):
+        return BAD
+    if good:
+        return BAD if pages > 2 and len(words) < 24 else GOOD
+    return BAD if pages > 1 else OPEN
+
+
 def _title_line(lines: list[str], filename: str | None, source: str | None, labels: list[int]) -> int | None:
     """Number of the line that opens the main body: the page's own title."""
     stem = _folded(re.sub(r"\.\w+$", "", filename or ""))
@@ -220,15 +262,23 @@ def _teasers(lines: list[str], blank: list[bool], labels: list[int], opening: in
         k = max(j, k + 1)
 
 
-def line_labels(text: str, filename: str | None = None, source: str | None = None) -> list[bool | None]:
-    """For each line of the page: True for main body, False for boilerplate, None for blank lines."""
+def line_labels(text: str, filename: str | None = None, source: str | None = None, repeats: dict[int, int] | None = None) -> list[bool | None]:
+    """For each line of the page: True for main body, False for boilerplate, None for blank lines.
+
+    ``repeats``: pages of the site per line key; if given, they decide instead of cue words.
+    """
     lines = text.split("\n")
     name = site_name(source, text)
     site = re.compile(re.escape(name) + SITE_SUFFIX, re.I) if name else None
     labels, fenced = [], False
     for line in lines:
         fence = line.lstrip().startswith(("```", "~~~"))
-        labels.append(GOOD if fenced or fence else _decide(line, site))
+        if fenced or fence:
+            labels.append(GOOD)
+        elif repeats is None:
+            labels.append(_decide(line, site))
+        else:
+            labels.append(_decide_learned(line, site, repeats.get(line_key(line), 1)) if line.strip() else OPEN)
         fenced ^= fence
     blank = [not line.strip() for line in lines]
 
@@ -236,7 +286,8 @@ def line_labels(text: str, filename: str | None = None, source: str | None = Non
     if opening is not None:
         labels[:opening] = [BAD] * opening
         labels[opening] = GOOD
-    _teasers(lines, blank, labels, opening)
+    if repeats is None:
+        _teasers(lines, blank, labels, opening)
     # Second pass: short undecided lines take the label of their nearest decided neighbours.
     decided = [k for k in range(len(lines)) if not blank[k] and labels[k] != OPEN]
     last_good = max((k for k in decided if labels[k] == GOOD), default=-1)
@@ -294,6 +345,35 @@ def boilerplate_lines(files: DataFrame) -> DataFrame:
     return _pages(files).mapInPandas(find, "file_id bigint, line_no int")
 
 
+def learned_lines(files: DataFrame) -> DataFrame:
+    """``file_id, line_no`` as ``boilerplate_lines`` gives them, found without cue words.
+
+    A line counts as repeated if two or more pages of its site have it; pages of unknown sites have no repeats.  Edge cases as there.
+    """
+    scratch = Scratch(files.sparkSession, "lines")
+    pages = scratch.write(_pages(files).withColumn("page", F.monotonically_increasing_id()), "pages")  # numbered once, as written
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sites = [(site_name(_none(source), text) or "").lower() for source, text in zip(batch["source"], batch["text"])]
+            yield pd.DataFrame({"page": batch["page"], "site": sites, "keys": [list({line_key(x) for x in text.split("\n") if x.strip()}) for text in batch["text"]]})
+
+    lines = pages.select("page", "source", "text").mapInPandas(keys, "page long, site string, keys array<long>").where("site <> ''")
+    lines = scratch.write(lines.select("page", "site", F.explode("keys").alias("key")), "keys")
+    repeated = lines.groupBy("site", "key").agg(F.count("*").alias("n")).where("n > 1")
+    held = lines.join(repeated, ["site", "key"]).groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("repeats"))  # no longer than the page
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file_id, filename, source, text, repeats in zip(batch["file_id"], batch["filename"], batch["source"], batch["text"], batch["repeats"]):
+                labels = line_labels(text, filename, _none(source), dict(repeats) if repeats is not None else {})
+                rows += [(file_id, k) for k, main in enumerate(labels, 1) if main is False]
+            yield pd.DataFrame(rows, columns=["file_id", "line_no"]).astype({"file_id": "Int64", "line_no": "int32"})
+
+    return pages.join(held, "page", "left").drop("page").mapInPandas(find, "file_id bigint, line_no int")
+
+
 def main_bodies(files: DataFrame) -> DataFrame:
     """``file_id, main_text``: each page reduced to the lines of its main body; runs of blank lines become one."""
 

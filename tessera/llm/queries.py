@@ -156,6 +156,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.boilerplate_lines(table(spark, d, "parsed_files"))
 
 
+@query
+def p1_learned(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.learned_lines(table(spark, d, "parsed_files"))
+
+
 @query
 def p1_main_bodies(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_bodies(table(spark, d, "parsed_files"))
