@@ -16,6 +16,7 @@ sides adaptive execution may split; the join is on distinct forms, not on rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -38,8 +39,9 @@ FORM = ["topic", "form"]
 _P = np.uint64((1 << 31) - 1)
 
 
-def banding(recall: float, similarity: float, background: float, most: int = 160) -> tuple[int, int]:
-    """``(rows, bands)`` with at least ``recall`` at ``similarity``, and the fewest collisions at ``background`` similarity.
+def banding(recall: float, similarity: float, background: float, strangers: int = 100, most: int = 160) -> tuple[int, int]:
+    """``(rows, bands)`` with at least ``recall`` at ``similarity``, and the least work: one row a band, and a candidate
+    for each of ``strangers`` forms of ``background`` similarity that is met.
 
     The collision curve of r rows and b bands is 1 - (1 - s**r)**b.
     """
@@ -47,18 +49,22 @@ def banding(recall: float, similarity: float, background: float, most: int = 160
     for rows in range(1, 9):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
         if rows * bands <= most:
-            collisions = 1 - (1 - background**rows) ** bands
-            if best is None or collisions < best[0]:
-                best = (collisions, rows, bands)
+            work = bands + strangers * (1 - (1 - background**rows) ** bands)
+            if best is None or work < best[0]:
+                best = (work, rows, bands)
     if best is None:
         raise ValueError("no banding reaches this recall")
     return best[1], best[2]
 
 
-def band_keys(grams: list[str], rows: int, bands: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
+
+
+def band_keys(grams: list[str], rows: int, bands: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number per band: equal where all minima of the band are."""
     h = np.array([zlib.crc32(g.encode()) for g in set(grams)], np.uint64) % _P
-    low = ((h[:, None] * a[None, :] + b[None, :]) % _P).min(axis=0).astype(np.uint32).reshape(bands, rows)
-    return [zlib.crc32(low[k].tobytes()) for k in range(bands)]
+    low = ((h[:, None] * a[None, :] + b[None, :]) % _P).min(axis=0).reshape(bands, rows)
+    return (low * _MIX[:rows]).sum(axis=1, dtype=np.uint64) * _MIX[7] + np.arange(bands, dtype=np.uint64)
 
 
 def _bander(rows: int, bands: int, seed: int):
@@ -66,12 +72,20 @@ def _bander(rows: int, bands: int, seed: int):
         rng = np.random.default_rng(seed)
         a = rng.integers(1, 1 << 31, rows * bands, dtype=np.uint64) % _P
         b = rng.integers(0, 1 << 31, rows * bands, dtype=np.uint64) % _P
+        known: dict[tuple, np.ndarray] = {}  # words recur from topic to topic
         for batch in batches:
-            out = []
+            ns, buckets = [], []
             for n, topic, form, ordered in zip(batch["n"], batch["topic"], batch["form"], batch["ordered"]):
                 for view, grams, exact in blocking_sets(_form(form, ordered)):
-                    out.append((n, topic, view, [zlib.crc32(g.encode()) for g in grams] if exact else band_keys(grams, rows, bands, a, b)))
-            yield pd.DataFrame(out, columns=["n", "topic", "view", "keys"])
+                    kept = (exact, *grams)
+                    if kept not in known:
+                        if len(known) >= 100_000:
+                            known.clear()
+                        known[kept] = np.array([zlib.crc32(g.encode()) for g in grams], np.uint64) if exact else band_keys(grams, rows, bands, a, b)
+                    place = np.uint64(int.from_bytes(hashlib.blake2b(f"{view}|{topic}".encode(), digest_size=8).digest(), "big"))
+                    ns.append(n)
+                    buckets.append(((known[kept] ^ place) * _MIX[0]).view(np.int64))
+            yield pd.DataFrame({"n": np.array(ns, np.int64), "buckets": pd.Series(buckets, dtype=object)})
 
     return band
 
@@ -141,7 +155,7 @@ def spellings(strings: DataFrame) -> DataFrame:
     return strings.groupBy("topic", "folded").agg(F.count("*").alias("weight"), *first, *[F.sum(v).alias(v) for v in ("person_votes", "org_votes", "other_votes")])
 
 
-def clustered_names(entities: DataFrame, aliases: DataFrame, recall: float = 0.97, similarity: float = 0.42, background: float = 0.2, seed: int = 7) -> DataFrame:
+def clustered_names(entities: DataFrame, aliases: DataFrame, recall: float = 0.99, similarity: float = 0.42, background: float = 0.2, seed: int = 7) -> DataFrame:
     """``topic, name, cluster``: the strings that are persons or organisations, with their cluster.
 
     entities: ``topic, name, type``; aliases: ``topic, alias, canonical, origin``; further columns are ignored.
@@ -157,11 +171,10 @@ def clustered_names(entities: DataFrame, aliases: DataFrame, recall: float = 0.9
     forms = parsed.groupBy("topic", "form", "kind").agg(F.min("ordered").alias("ordered"), F.sum("weight").alias("weight"), *[F.sum(v).alias(v) for v in votes])
     forms = scratch.write(forms.withColumn("n", F.monotonically_increasing_id()), "forms")  # numbered once, as written
 
-    # Only two numbers a band are shuffled.  The join is told not to broadcast: bands are many times the size of
+    # Only two numbers a band are shuffled; the bucket is a hash of topic, view, band and minima.  The join is told not to broadcast: bands are many times the size of
     # the forms, by which their size would be estimated.
     rows, bands = banding(recall, similarity, background)
-    banded = forms.select("n", "topic", "form", "ordered").mapInPandas(_bander(rows, bands, seed), "n long, topic string, view string, keys array<long>")
-    banded = banded.select("n", "topic", "view", F.posexplode("keys").alias("band", "key")).select("n", F.xxhash64("topic", "view", "band", "key").alias("bucket"))
+    banded = forms.select("n", "topic", "form", "ordered").mapInPandas(_bander(rows, bands, seed), "n long, buckets array<long>").select("n", F.explode("buckets").alias("bucket"))
     left, right = (banded.select("bucket", F.col("n").alias(x)).hint("merge") for x in ("n_a", "n_b"))
     met = left.join(right, "bucket").where("n_a < n_b").select("n_a", "n_b").distinct()
     a, b = (forms.select("topic", F.col("n").alias(f"n_{x}"), F.col("form").alias(f"form_{x}"), F.col("ordered").alias(f"ordered_{x}")) for x in "ab")

@@ -119,8 +119,8 @@ def monge_elkan(a: list[str], b: list[str], strict: bool = False) -> tuple[float
     return min(sum(of_a) / len(a), sum(of_b) / len(b)), min(min(of_a), min(of_b))
 
 
-#: A string of more words is a text.
-MOST_WORDS = 40
+#: A string of more words is a text, one with a longer word is neither.
+MOST_WORDS, MOST_LETTERS = 40, 100
 
 
 @dataclass(frozen=True)
@@ -191,10 +191,12 @@ def _is_body(word: str) -> bool:
 def parse(name: str, person_votes: int = 0, org_votes: int = 0, other_votes: int = 0) -> Form:
     """The form of a name.  Votes (how often its rows are typed so) decide only where words do not.
 
-    A string of more than ``MOST_WORDS`` words is a text and no name of a person or organisation.
+    A string of more than ``MOST_WORDS`` words, or with a word of more than ``MOST_LETTERS``, is no name of a person or organisation.
     """
-    if len(name) > 2 * MOST_WORDS and len(name.split(None, MOST_WORDS)) > MOST_WORDS:
-        return Form("other", ())
+    if len(name) > 2 * MOST_WORDS:
+        first = name.split(None, MOST_WORDS)
+        if len(first) > MOST_WORDS or any(len(w) > MOST_LETTERS for w in first):
+            return Form("other", ())
     text = re.sub(r"\s+", " ", re.sub(r"(?<=\S)\s*\([^()]*\)", " ", name)).strip()
     dotted = re.fullmatch(r"(?:[^\W\d_]\.){2,6}[^\W\d_]?\.?", text)
     if dotted or re.fullmatch(r"[^\W\d_a-z]{2,6}", text) and text.upper() == text and folded(text) not in GIVEN:

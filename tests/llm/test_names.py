@@ -41,6 +41,7 @@ def test_similarity():
 def test_banding_follows_the_collision_curve():
     rows, bands = E.banding(0.97, 0.42, 0.2)
     assert 1 - (1 - 0.42**rows) ** bands >= 0.97 and rows * bands <= 160
+    assert E.banding(0.97, 0.42, 0.2, strangers=1000)[0] > rows  # the more strangers, the more selective the bands
 
 
 def test_clusters(spark):
