@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,12 +86,6 @@ def keywords(question: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOPWORDS)))
 
 
-def keyword_score(text: Column, words: Column) -> Column:
-    """How many of the words the text contains, as parts of words too."""
-    low = F.lower(text)
-    return F.size(F.filter(words, lambda w: F.contains(low, w))).cast("long")
-
-
 def one_line(text: Column, cap: int = 180) -> Column:
     """First sentence of a text, at most ``cap`` characters."""
     first = F.element_at(F.split(strip_space(text), r"(?U)(?<=[.!?])\s+", 2), 1)
@@ -102,34 +98,21 @@ def without_fence(text: Column) -> Column:
     return strip_space(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
+_STRING_OR_BRACKET = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)|[{}\[\]]', re.S)
+_CLOSING = {"{": "}", "[": "]"}
+
+
 def balanced_block(text: str | None) -> str | None:
     """First balanced ``{...}`` or ``[...]``, string literals honoured; None if it never closes."""
-    if not text:
-        return None
-    starts = [i for i in (text.find("{"), text.find("[")) if i >= 0]
-    if not starts:
+    begin = re.search(r"[{\[]", text or "")
+    if begin is None:
         return None
-    start = min(starts)
-    opener = text[start]
-    closer = "}" if opener == "{" else "]"
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
-        if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c == opener:
-            depth += 1
-        elif c == closer:
-            depth -= 1
-            if depth == 0:
-                return text[start : i + 1]
+    weight = {begin[0]: 1, _CLOSING[begin[0]]: -1}
+    depth = 0
+    for token in _STRING_OR_BRACKET.finditer(text, begin.start()):
+        depth += weight.get(token[0], 0)
+        if not depth:
+            return text[begin.start() : token.end()]
     return None
 
 

@@ -53,6 +53,15 @@ def missing_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return used.join(entities.select(*k).distinct(), k, "left_anti")
 
 
+def removal_counts(nodes: DataFrame, edges: DataFrame, left: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``topic, nodes_removed, edges_removed, nodes_trimmed`` of a removal of sources, for topics in which anything changed."""
+    alive, rest = left
+    n = lambda df, name: df.groupBy("topic").agg(F.count("*").alias(name))
+    before = n(nodes, "n0").join(n(alive, "n1"), "topic", "left").join(n(edges, "e0"), "topic", "left").join(n(rest, "e1"), "topic", "left").join(n(alive.where("trimmed"), "nodes_trimmed"), "topic", "left").na.fill(0)
+    out = before.select("topic", (F.col("n0") - F.col("n1")).alias("nodes_removed"), (F.col("e0") - F.col("e1")).alias("edges_removed"), "nodes_trimmed")
+    return out.where("nodes_removed + edges_removed + nodes_trimmed > 0")
+
+
 def remove_sources(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes without the removed files (``topic, source``) and the edges that remain.
 

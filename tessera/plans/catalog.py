@@ -249,20 +249,42 @@ def endpoint_completion(spark: SparkSession, d: str) -> DataFrame:
     return upsert.missing_endpoints(rel, table(spark, d, "extracted_entities"))
 
 
-@query(
-    """WITH i AS (SELECT topic, id, name, min(coalesce(type, '')) AS t FROM entity_index WHERE sources IS NOT NULL GROUP BY topic, id, name),
-s AS (SELECT topic, id, list(DISTINCT s ORDER BY s) AS sources FROM (SELECT topic, id, unnest(sources) AS s FROM entity_index) WHERE s IS NOT NULL GROUP BY topic, id),
-k AS (SELECT topic, id, sources, list_filter(sources, lambda x: NOT x LIKE '%.csv') AS kept FROM s)
-SELECT topic, id, array_to_string(kept, ' | ') AS sources, len(kept) < len(sources) AS trimmed FROM k WHERE len(kept) > 0"""
-)
-def remove_sources(spark: SparkSession, d: str) -> DataFrame:
-    each = table(spark, d, "entity_index").select("topic", "id", F.explode("sources").alias("s")).where("s is not null")
+_REMOVAL = f"""{_EDGES}, each AS (SELECT topic, id, unnest(CASE WHEN len(coalesce(sources, [])) = 0 THEN CAST([NULL] AS VARCHAR[]) ELSE sources END) AS x FROM entity_index WHERE id IS NOT NULL),
+s AS (SELECT topic, id, coalesce(list(DISTINCT x ORDER BY x) FILTER (WHERE x IS NOT NULL), []) AS sources FROM each GROUP BY topic, id),
+k AS (SELECT topic, id, sources, list_filter(sources, lambda x: NOT x LIKE '%.csv') AS kept FROM s),
+dead AS (SELECT topic, id FROM k WHERE len(sources) > 0 AND len(kept) = 0),
+rest AS (SELECT e.* FROM edges e ANTI JOIN dead a ON e.topic = a.topic AND e.src = a.id ANTI JOIN dead b ON e.topic = b.topic AND e.dst = b.id)"""
+
+
+def _removal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
+    """Nodes of the index, nodes without any source among them, and edges; all CSV files are removed."""
+    each = table(spark, d, "entity_index").where("id is not null").select("topic", "id", F.explode_outer("sources").alias("s"))
     nodes = each.groupBy("topic", "id").agg(F.array_sort(F.collect_set("s")).alias("sources"))
     removed = each.where(F.col("s").endswith(".csv")).select("topic", F.col("s").alias("source")).distinct()
-    alive, _ = upsert.remove_sources(nodes, edges_of(spark, d), removed)
+    edges = edges_of(spark, d)
+    return nodes, edges, upsert.remove_sources(nodes, edges, removed)
+
+
+@query(f"WITH {_REMOVAL} SELECT topic, id, array_to_string(kept, ' | ') AS sources, len(kept) < len(sources) AS trimmed FROM k WHERE NOT (len(sources) > 0 AND len(kept) = 0)")
+def remove_sources(spark: SparkSession, d: str) -> DataFrame:
+    alive = _removal(spark, d)[2][0]
     return alive.select("topic", "id", F.array_join("sources", " | ").alias("sources"), "trimmed")
 
 
+@query(f"WITH {_REMOVAL} SELECT topic, src, label, dst, ord FROM rest")
+def remove_sources_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _removal(spark, d)[2][1].select("topic", "src", "label", "dst", "ord")
+
+
+@query(
+    f"""WITH {_REMOVAL}, n AS (SELECT topic, count(*) FILTER (WHERE len(sources) > 0 AND len(kept) = 0) AS gone, count(*) FILTER (WHERE len(kept) > 0 AND len(kept) < len(sources)) AS trimmed FROM k GROUP BY topic),
+e AS (SELECT topic, count(*) AS n FROM edges GROUP BY topic), r AS (SELECT topic, count(*) AS n FROM rest GROUP BY topic)
+SELECT n.topic, CAST(gone AS BIGINT) AS nodes_removed, CAST(coalesce(e.n, 0) - coalesce(r.n, 0) AS BIGINT) AS edges_removed, CAST(trimmed AS BIGINT) AS nodes_trimmed FROM n LEFT JOIN e ON n.topic = e.topic LEFT JOIN r ON n.topic = r.topic WHERE gone + trimmed + coalesce(e.n, 0) - coalesce(r.n, 0) > 0"""
+)
+def remove_sources_counts(spark: SparkSession, d: str) -> DataFrame:
+    return upsert.removal_counts(*_removal(spark, d))
+
+
 # Graph
 
 
