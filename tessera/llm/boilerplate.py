@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.words import ALL_STOP
 from tessera.session import Scratch
 
-# Cue words of notices, menus, sharing, teasers and footers in English, German, French and Spanish.
+# Rules that may be tuned: cue words of notices, menus, sharing, teasers and footers in English, German, French and Spanish.
 MENU_WORDS = frozenset(
     w.strip()
     for w in """

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.name_forms import Form, blocking_sets, parse, same_entity
 from tessera.session import Scratch
 
-# How entity types are counted as votes for a person or an organisation, or against both.
+# Rules that may be tuned: how entity types are counted as votes for a person or an organisation, or against both.
 PERSON_TYPES = ("PERSON", "HUMAN", "PEOPLE")
 ORG_TYPES = ("ORGANIZATION", "ORGANISATION", "ORG", "COMPANY", "INSTITUTION")
 OPEN_TYPES = ("OTHER", "ENTITY", "N/A", "NONE", "UNKNOWN", "")

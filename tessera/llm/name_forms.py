@@ -7,7 +7,7 @@ import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
-# Given names with their everyday short forms.
+# Rules that may be tuned: given names with their everyday short forms, and words that tell kinds of names.
 NICKNAMES = {
     "abigail": "abby abbie gail", "alexander": "alex sandy xander sasha", "andrew": "andy drew", "anthony": "tony ant", "barbara": "barb babs", "benedict": "ben benny", "benjamin": "benji",
     "catherine": "cathy cath", "charles": "charlie chuck", "charlotte": "lottie charley", "christina": "tina chrissy", "christopher": "chris kit topher", "daniel": "dan danny", "david": "dave davey",

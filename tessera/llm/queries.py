@@ -37,6 +37,19 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "parsed_files"))
 
 
+@query
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each text put together again from its pieces without their overlaps, and whether all pieces and overlaps are within bounds."""
+    pieces = splitting.split_texts(table(spark, d, "parsed_files"))
+    own = F.struct("piece_no", F.expr("substring(piece, overlap + 1)").alias("own"))
+    parts = F.transform(F.array_sort(F.collect_list(own)), lambda x: x.own)  # no longer than the text
+    bounds = F.max(F.when((F.col("length") > 6000) | (F.length("piece") != F.col("length")) | (F.col("overlap") > 200), 1).otherwise(0)) == 0
+    return pieces.groupBy("file_id").agg(F.sha1(F.array_join(parts, "").cast("binary")).alias("text_sha1"), bounds.alias("within"))
+
+
+ORACLE["p5_rebuilt"] = "SELECT file_id, sha1(text) AS text_sha1, true AS within FROM parsed_files WHERE length(text) > 6000"
+
+
 # Problem 6: consolidating pairwise matches
 
 
@@ -110,6 +123,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(packing.pack_documents(table(spark, d, "documents")))
 
 
+@query
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose pieces follow on without a gap, and containers above the capacity."""
+    packed = packing.pack_documents(table(spark, d, "documents"))
+    whole = packed.groupBy("doc_id").agg((F.sum("n_tokens") == F.max(F.col("start_token") + F.col("n_tokens"))).alias("whole"))
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    kept = whole.where("whole").agg(F.count("*").alias("n_docs")).withColumn("k", F.lit(1))
+    over = full.where("n > 2048").agg(F.count("*").alias("n_overfull")).withColumn("k", F.lit(1))
+    return kept.join(over, "k").drop("k")  # one row each
+
+
+ORACLE["p7_kept"] = "SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(0 AS BIGINT) AS n_overfull FROM documents"
+
+
 # Problem 4: best representative of each duplicate group
 
 

@@ -37,7 +37,7 @@ LEAST_SHARE = 64
 GROUP = ["topic", "key"]
 PROFILES = "first_id long, part long, profile string, weight double"
 
-# Texts that stand for a missing description, as patterns over trimmed lower-case text.
+# Rules that may be tuned: texts that stand for a missing description, as patterns over trimmed lower-case text.
 STAND_INS = (
     r"^\W*(n/?a|none|null|nil|nan|unknown|undefined|tbd|tba|todo|missing|empty|pending|placeholder)?\W*$"
     r"|^<.*>$|^[\{\[].*"
@@ -48,7 +48,7 @@ STAND_INS = (
     r"|^one of the allowed\b"
     r"|^(description|summary|text|details)\b.{0,20}\b(to be|will be|pending|goes here|here|follows|missing|unavailable)\b"
 )
-# Fixed value: what a sentence about an entity goes on with after its subject.
+# Likewise: what a sentence about an entity goes on with after its subject.
 VERBS = "is|are|was|were|has|had|describes|sets|sells|ran|runs|maintains|wrote|leads|led|presented|supplies|advises|links|measures|covers|provides|offers|reports|joined|publishes|reviews"
 
 
