@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import community, dedup, graph, incremental, index, search, upsert
+from tessera.operators.closure import closure
 from tessera.plans.tables import table
+from tessera.session import Scratch
 from tessera.sources import files
 
 QUERIES: dict = {}
@@ -661,6 +663,20 @@ def community_detect(spark: SparkSession, d: str) -> DataFrame:
     return community.detect_communities(graph.undirected(edges_of(spark, d)))
 
 
+@query(
+    f"""WITH {_EDGES}, p AS (SELECT topic, src AS id FROM edges WHERE src <> dst UNION SELECT topic, dst FROM edges WHERE src <> dst)
+SELECT topic, CAST(count(*) AS BIGINT) AS n_nodes, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_unconnected FROM p GROUP BY topic"""
+)
+def community_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with a community, rows of the assignment, and members that no edges within their community link to its name."""
+    pairs = graph.undirected(edges_of(spark, d))
+    found = Scratch(spark, "cover").write(community.detect_communities(pairs), "found")
+    a, b = (found.select("topic", F.col("id").alias(x), F.col("community").alias(f"c_{x}")) for x in "ab")
+    inner = pairs.join(a, ["topic", "a"]).join(b, ["topic", "b"]).where("c_a = c_b").select("topic", "a", "b")
+    linked = found.join(closure(inner), ["topic", "id"], "left").withColumn("off", (F.coalesce("root", "id") != F.col("community")).cast("long"))
+    return linked.groupBy("topic").agg(F.countDistinct("id").alias("n_nodes"), F.count("*").alias("n_rows"), F.sum("off").alias("n_unconnected"))
+
+
 @query(r"SELECT doc_id, sha1(regexp_replace(regexp_replace(text, '[ \t]*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_sha1 FROM documents WHERE text IS NOT NULL")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
