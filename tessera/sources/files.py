@@ -56,6 +56,11 @@ def parse_files(files: DataFrame) -> DataFrame:
     return parsed.select("filename", F.when(is_table, table).otherwise(F.col("text")).alias("text"), "source", "mtime", F.when(is_table, extra).otherwise(none).alias("extra"), "error")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, not again for every element of the arrays it is used with."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def csv_rendering(columns: Column, cells: Column, most: int = MOST_ROWS) -> tuple[Column, Column]:
     """Text and metadata of a CSV file given as its header and rows of cells, in which missing ones are null.
 
@@ -64,7 +69,7 @@ def csv_rendering(columns: Column, cells: Column, most: int = MOST_ROWS) -> tupl
     """
     lower = F.transform(columns, lambda c: F.lower(c))
     place = lambda names: F.coalesce(*[F.nullif(F.array_position(lower, F.lit(n)), F.lit(0)) for n in names]).cast("int")
-    text_at, name_at, kind_at = place(NARRATIVE), place(NAMES), place(KINDS)
+    text_at = place(NARRATIVE)
     numbers = F.transform(columns, lambda c, i: i + 1)
     n = F.size(cells)
 
@@ -82,26 +87,31 @@ def csv_rendering(columns: Column, cells: Column, most: int = MOST_ROWS) -> tupl
         real = F.when(cell.isNotNull() & ~F.contains(as_double, F.lit("E")), as_double).otherwise(plain)
         return F.when(kind == "float64", real).when(kind == "bool", F.initcap(plain)).otherwise(plain)
 
-    kinds = F.transform(numbers, kind)
-    rows = F.transform(cells, lambda r: F.zip_with(r, kinds, shown))
     pair = lambda row, i, form: F.format_string(form, F.element_at(columns, i), F.element_at(row, i))
     listed = lambda row, form, keep: F.transform(F.filter(numbers, lambda i: keep(i) & (F.element_at(row, i) != "")), lambda i: pair(row, i, form))
     narrative = F.array_join(F.transform(cells, lambda r: F.element_at(r, text_at)), "\n\n---\n\n")
 
-    def block(row: Column) -> Column:
+    def block(row: Column, name_at: Column, kind_at: Column) -> Column:
         said = F.element_at(row, kind_at)
         head = F.array(F.concat(F.lit("## "), F.element_at(row, name_at)), F.concat(F.lit("- **Type:** "), F.when(said == "", "unspecified").otherwise(said)))
         return F.array_join(F.concat(head, listed(row, "- **%s:** %s", lambda i: (i != name_at) & (i != kind_at))), "\n")
 
-    named = F.array_join(F.transform(F.filter(rows, lambda r: F.element_at(r, name_at) != ""), block), "\n\n")
-    lines = F.filter(F.transform(F.slice(rows, 1, most), lambda r: F.array_join(listed(r, "%s=%s", lambda i: F.lit(True)), "; ")), lambda x: x != "")
-    schema = F.array_join(F.zip_with(columns, kinds, lambda c, k: F.concat(c, F.lit(" ("), k, F.lit(")"))), ", ")
-    head = F.concat(F.lit("Schema: "), schema, F.lit("\n\nRows ("), F.least(F.lit(most), n).cast("string"), F.lit(" of "), n.cast("string"), F.lit("):\n"))
-    table = F.concat(head, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))
+    def named(rows: Column) -> Column:
+        return _bound(place(NAMES), lambda n: _bound(place(KINDS), lambda k: F.array_join(F.transform(F.filter(rows, lambda r: F.element_at(r, n) != ""), lambda r: block(r, n, k)), "\n\n")))
+
+    def table(rows: Column, kinds: Column) -> Column:
+        lines = F.filter(F.transform(rows, lambda r: F.array_join(listed(r, "%s=%s", lambda i: F.lit(True)), "; ")), lambda x: x != "")
+        schema = F.array_join(F.zip_with(columns, kinds, lambda c, k: F.concat(c, F.lit(" ("), k, F.lit(")"))), ", ")
+        head = F.concat(F.lit("Schema: "), schema, F.lit("\n\nRows ("), F.least(F.lit(most), n).cast("string"), F.lit(" of "), n.cast("string"), F.lit("):\n"))
+        return F.concat(head, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))
+
+    def rendered(kinds: Column) -> Column:
+        rows = F.transform(F.when(mode == "table", F.slice(cells, 1, most)).otherwise(cells), lambda r: F.zip_with(r, kinds, shown))
+        return _bound(rows, lambda rows: F.when(mode == "table", table(rows, kinds)).otherwise(named(rows)))
 
-    by_name = name_at.isNotNull() & kind_at.isNotNull()
+    by_name = place(NAMES).isNotNull() & place(KINDS).isNotNull()
     mode = F.when(n == 0, "empty").when(text_at.isNotNull(), "narrative").when(by_name, "entity_per_row").otherwise("table")
-    text = F.when(mode == "empty", "").when(mode == "narrative", narrative).when(mode == "entity_per_row", named).otherwise(table)
+    text = F.when(mode == "empty", "").when(mode == "narrative", narrative).otherwise(_bound(F.transform(numbers, kind), rendered))
     meta = F.create_map(F.lit("row_count"), n.cast("string"), F.lit("csv_mode"), mode)
     cut = F.create_map(F.lit("truncated_to"), F.lit(str(most)))
     return strip_space(text), F.when((mode == "table") & (n > most), F.map_concat(meta, cut)).otherwise(meta)
