@@ -7,9 +7,9 @@ parts are contracted, all edges between them kept as weights, and the moves go o
 are whole numbers and every tie is broken by a hash, so a result depends on the graph and the seed only.
 
 Two executors run it with the same outcome, row for row: on arrays for many graphs at once inside a task, and on
-DataFrames.  ``most_edges`` says which graphs a task may hold: a task takes whole graphs up to that number of edges and
-never more; larger ones go by DataFrames until their communities fit.  The bound changes where work is done, not what comes
-out.  Rounds are written to the shared folder; only counts reach the driver.
+DataFrames.  ``most_edges`` says which graphs a task may hold: only graphs of at most that many edges reach one, which
+splits what it has gathered as soon as that many edges are there, so it holds at most about twice as many and one Arrow
+batch; larger graphs go by DataFrames until their communities fit.  The bound changes where work is done, not what comes out.  Rounds are written to the shared folder; only counts reach the driver.
 """
 
 from __future__ import annotations
