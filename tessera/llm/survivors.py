@@ -12,8 +12,8 @@ are set aside by expressions in the JVM; then there are two ways to choose.
   decided likewise; ``sources`` are distinct file names of the rows and of the index entries of the same name.
 
 Scale.  Arg-mins combine on the map side.  For the vote, equal texts are counted before anything is collected, and a
-group is aligned as a tree: ``FAN`` texts make a profile, ``FAN`` profiles make one, and so on, so no task gets a whole
-group.  A profile keeps what has at least one part in ``LEAST_SHARE`` of its weight (tokens in a column, columns in the
+group is aligned as a tree: about ``FAN`` texts, chosen by their hash, make a profile, about ``FAN`` profiles make one, and
+so on, so no task gets all texts of a large group.  A profile keeps what has at least one part in ``LEAST_SHARE`` of its weight (tokens in a column, columns in the
 profile), which bounds its size; groups of up to ``FAN`` texts lose nothing.  Distances to the consensus are computed per
 text, spread over all tasks.
 """

@@ -148,7 +148,10 @@ def test_monge_elkan_is_the_mean_of_best_partners():
 
 
 def test_recall_of_the_candidates_over_all_strings(spark):
-    """Queries: every hundredth string, compared with all strings of its topic by the similarity alone; nicknames off."""
+    """Queries: the strings of every hundredth row, compared with all strings of their topic by the similarity alone.
+
+    Forms are the parsed ones, so what nicknames make equal is no link here; what the parser takes for no name has none.
+    """
     rows = spark.read.parquet("/root/testdata/sf0.1/extracted_entities.parquet").where("trim(name) <> ''").select("topic", "name", "type", "ent_id").collect()
     votes = collections.defaultdict(lambda: [0, 0, 0])
     for r in rows:

@@ -93,7 +93,7 @@ def test_election_against_brute_force(spark):
 
 
 def test_a_large_group_is_voted_as_a_tree(spark):
-    """The majority wins although the most trusted, latest row says something else, and no step takes more than a few texts."""
+    """The majority wins although the most trusted, latest row says something else; 401 texts make more than one level."""
     rows = [(i, "t", "Hub", None, f"Hub leads panel number {i} in Rome.", None, "auto", at(1), None) for i in range(400)]
     rows += [(400, "t", "Hub", None, "Hub sells cars in the far north.", None, "curated", at(9), None), (401, "t", "Hub", None, "", None, "auto", None, None), (402, None, "Hub", None, "Hub leads.", None, None, None, None)]
     got = vote(spark, rows)
