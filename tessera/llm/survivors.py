@@ -77,7 +77,16 @@ def align(left: Profile, right: Profile, left_weight: float, right_weight: float
     """Two profiles aligned to one: of all ways to pair columns in order, the one with the greatest product of agreeing weights."""
     n, m = len(left), len(right)
     score = [[0.0] * (m + 1) for _ in range(n + 1)]
-    gain = [[sum(w * q.get(t, 0.0) for t, w in p.items() if t) for q in right] for p in left]
+    gain = [[0.0] * m for _ in range(n)]
+    places: dict[str, list[tuple[int, float]]] = {}
+    for j, column in enumerate(right):
+        for t, w in column.items():
+            if t:
+                places.setdefault(t, []).append((j, w))
+    for own, column in zip(gain, left):  # only cells whose columns share a token gain anything
+        for t, w in column.items():
+            for j, other in places.get(t, ()):
+                own[j] += w * other
     for i in range(n - 1, -1, -1):
         row, below, own = score[i], score[i + 1], gain[i]
         for j in range(m - 1, -1, -1):
