@@ -14,7 +14,9 @@ class Store:
     """A folder on a local disk, HDFS or an object store, by the Hadoop file system of its address.
 
     A table is a folder of versions; a new one is written beside the old one, then the pointer is replaced by one file
-    write.  Readers see the old or the new version, whatever fails in between; versions before the last two are dropped.
+    write.  A failure while rows are written leaves the old version; versions before the last two are dropped.  The pointer
+itself is overwritten: where the file system does not do that atomically, a crash at that moment can leave it empty, which
+reads as an empty table, though both versions are still there.
     """
 
     def __init__(self, spark: SparkSession, root: str):
